@@ -80,3 +80,12 @@ def epoch_s(ts: ColumnOrName) -> Column:
 def int_div(a: ColumnOrName, b: int) -> Column:
     """Exact bigint division (a double quotient loses microseconds)."""
     return F.call_function("div", c(a), F.lit(int(b)).cast("bigint"))
+
+
+def round_to(x: ColumnOrName, digits: int) -> Column:
+    """Round a computed double, first dropping the noise that depends on summation order.
+
+    Partitions are summed in no fixed order, so an exact half (0.59375 to 4 places) would round up
+    in one run and down in the next.
+    """
+    return F.round(F.round(c(x), digits + 5), digits) + F.lit(0.0)  # no negative zero

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .base import ColumnOrName, c, clamp, profit_factor, step
+from .base import ColumnOrName, c, clamp, profit_factor, round_to, step
 
 # Coefficients of the Abramowitz-Stegun 7.1.26 error-function polynomial.
 ERF_P = 0.3275911
@@ -162,7 +162,7 @@ def order_size(px: ColumnOrName, usdc: ColumnOrName, *, min_shares: float = 5.0,
     shares = F.greatest(F.greatest(F.lit(0.0), c(usdc)) / p, floor_usdc / p)
     shares = F.floor(shares * 100.0 + 0.999999) / 100.0
     notional = shares * p
-    ok = F.struct(shares.alias("shares"), F.round(notional, 2).alias("notional"))
+    ok = F.struct(shares.alias("shares"), round_to(notional, 2).alias("notional"))
     if max_notional <= 0:
         return ok
     none = lambda v: F.struct(F.lit(0.0).alias("shares"), v.alias("notional"))

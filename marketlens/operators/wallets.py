@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.base import ColumnOrName, c, clamp, div_or, epoch_s, sum_if
+from ..functions.base import ColumnOrName, c, clamp, div_or, epoch_s, round_to, sum_if
 from ..functions.normalize import classify_activity, norm_wallet
 
 
@@ -178,8 +178,8 @@ def leader_trades(trades: DataFrame, leaders: DataFrame) -> DataFrame:
 def _flow(df: DataFrame) -> DataFrame:
     s = F.col("_up") + F.col("_dn")
     return df.where(s > 0).withColumns({
-        "up": F.round(F.col("_up") / s, 4), "down": F.round(F.col("_dn") / s, 4),
-        "n": F.bround(s * 10, 0).cast("bigint")}).drop("_up", "_dn")
+        "up": round_to(F.col("_up") / s, 4), "down": round_to(F.col("_dn") / s, 4),
+        "n": F.bround(F.round(s * 10, 8), 0).cast("bigint")}).drop("_up", "_dn")
 
 
 def market_side_flow(weighted: DataFrame) -> DataFrame:
@@ -206,9 +206,9 @@ def leader_style(weighted: DataFrame) -> DataFrame:
         F.count(F.when(F.col("k") >= 2, 1)).alias("_multi"), F.count(F.lit(1)).alias("_wallets"))
     den = F.greatest(F.lit(1e-9), F.col("_wp"))
     return _flow(agg).withColumns({
-        "avg_entry_c": F.round(div_or("_pw", "_wp", 0.0) * 100, 1),
-        "low_c_share": F.round(F.col("_lo") / den, 4), "high_c_share": F.round(F.col("_hi") / den, 4),
-        "multibet_ratio": F.round(F.col("_multi") / F.greatest(F.lit(1), F.col("_wallets")), 4),
+        "avg_entry_c": round_to(div_or("_pw", "_wp", 0.0) * 100, 1),
+        "low_c_share": round_to(F.col("_lo") / den, 4), "high_c_share": round_to(F.col("_hi") / den, 4),
+        "multibet_ratio": round_to(F.col("_multi") / F.greatest(F.lit(1), F.col("_wallets")), 4),
     }).drop("_pw", "_wp", "_lo", "_hi", "_multi", "_wallets")
 
 

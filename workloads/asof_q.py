@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from marketlens.functions.base import round_to
 from marketlens.operators import asof as A
 
 from . import views as V
-from .util import Registry
+from .util import Registry, rnd
 
 REGISTERED = Registry()
 add = REGISTERED.add
@@ -65,7 +66,7 @@ def _(s, d):
 
 
 @add("market_token_price", f"""
-SELECT l_partkey AS condition_id, round(avg(CASE WHEN l_linenumber % 2 = 0 THEN p ELSE 1 - p END), 6) AS up_price, count(*) AS n
+SELECT l_partkey AS condition_id, {rnd('avg(CASE WHEN l_linenumber % 2 = 0 THEN p ELSE 1 - p END)', 6)} AS up_price, count(*) AS n
 FROM (SELECT l_partkey, l_linenumber, round(l_discount * 9 + 0.05, 4) AS p FROM lineitem) GROUP BY 1""")
 def _(s, d):
     x = V.table(s, d, "lineitem")
@@ -73,4 +74,4 @@ def _(s, d):
                   F.col("l_shipdate").alias("ts"), F.round(F.col("l_discount") * 9 + 0.05, 4).alias("price"))
     r = V.table(s, d, "part").select(F.col("p_partkey").alias("condition_id"),
                                      F.array(F.concat("p_partkey", F.lit("u")), F.concat("p_partkey", F.lit("d"))).alias("tokens"))
-    return A.market_token_price(tp, r).groupBy("condition_id").agg(F.round(F.avg("up_price"), 6).alias("up_price"), F.count("*").alias("n"))
+    return A.market_token_price(tp, r).groupBy("condition_id").agg(round_to(F.avg("up_price"), 6).alias("up_price"), F.count("*").alias("n"))

@@ -8,10 +8,10 @@ from marketlens.functions import gates as G
 from marketlens.functions import normalize as N
 from marketlens.functions import prob as P
 from marketlens.functions import rounds as R
-from marketlens.functions.base import clamp
+from marketlens.functions.base import round_to
 
 from . import views as V
-from .util import LINE_COLS, LINE_ID, Registry, cdf_sql, clamp_sql, wilson_sql
+from .util import LINE_COLS, LINE_ID, Registry, cdf_sql, clamp_sql, rnd, wilson_sql
 
 REGISTERED = Registry()
 add = REGISTERED.add
@@ -125,14 +125,18 @@ def _(s, d):
 _TITLES_SQL = """titles AS (
   SELECT o_orderkey, o_orderdate::DATE AS day, (o_custkey % 96) * 15 AS m0, (o_custkey % 96) * 15 + 15 AS m1 FROM orders),
 texts AS (SELECT *, (day + (m0 // 60)::INTEGER * INTERVAL 1 HOUR + (m0 % 60)::INTEGER * INTERVAL 1 MINUTE) AS l0,
-    (day + ((m1 % 1440) // 60)::INTEGER * INTERVAL 1 HOUR + (m1 % 60)::INTEGER * INTERVAL 1 MINUTE) AS l1 FROM titles)"""
+    (day + ((m1 % 1440) // 60)::INTEGER * INTERVAL 1 HOUR + (m1 % 60)::INTEGER * INTERVAL 1 MINUTE) AS l1 FROM titles),
+raw AS (SELECT *, l0 AT TIME ZONE 'America/New_York' AS r0, l1 AT TIME ZONE 'America/New_York' AS r1 FROM texts),
+-- an hour that occurs twice means its first occurrence
+zoned AS (SELECT o_orderkey,
+    CASE WHEN (r0 - INTERVAL 1 HOUR) AT TIME ZONE 'America/New_York' = l0 THEN r0 - INTERVAL 1 HOUR ELSE r0 END AS z0,
+    CASE WHEN (r1 - INTERVAL 1 HOUR) AT TIME ZONE 'America/New_York' = l1 THEN r1 - INTERVAL 1 HOUR ELSE r1 END AS z1 FROM raw)"""
 
 
 @add("round_bounds_from_title", "WITH " + _TITLES_SQL + """
-SELECT o_orderkey, epoch_us(l0 AT TIME ZONE 'America/New_York') / 1e6 AS start_s,
-  epoch_us(l1 AT TIME ZONE 'America/New_York') / 1e6 + CASE WHEN epoch_us(l1 AT TIME ZONE 'America/New_York')
-    <= epoch_us(l0 AT TIME ZONE 'America/New_York') THEN 86400 ELSE 0 END AS end_s
-FROM texts""")
+SELECT o_orderkey, epoch_us(z0) / 1e6 AS start_s,
+  CASE WHEN z1 <= z0 THEN epoch_us(z0) / 1e6 + 86400 ELSE epoch_us(z1) / 1e6 END AS end_s
+FROM zoned""")
 def _(s, d):
     o = V.table(s, d, "orders")
     m0 = (F.col("o_custkey") % 96) * 15
@@ -418,13 +422,13 @@ def _(s, d):
 
 @add("order_size", V.with_views("signals") + f"""
 SELECT {LINE_ID}, CASE WHEN floor_usdc > 8.000001 OR raw > 8.000001 THEN 0.0 ELSE shares END AS shares,
-  round(CASE WHEN floor_usdc > 8.000001 THEN floor_usdc ELSE raw END, 2) AS notional
+  {rnd('CASE WHEN floor_usdc > 8.000001 THEN floor_usdc ELSE raw END', 2)} AS notional
 FROM (SELECT *, shares * entry AS raw FROM (SELECT *, greatest(1.0, 5.02 * entry) AS floor_usdc,
   floor(greatest(true_prob * 9 / entry, greatest(1.0, 5.02 * entry) / entry) * 100.0 + 0.999999) / 100.0 AS shares FROM signals))""")
 def _(s, d):
     o = P.order_size("entry", F.col("true_prob") * 9, max_notional=8.0)
     return V.signals(s, d).select(*LINE_COLS, o.alias("o")).select(
-        *LINE_COLS, F.col("o.shares").alias("shares"), F.round("o.notional", 2).alias("notional"))
+        *LINE_COLS, F.col("o.shares").alias("shares"), round_to("o.notional", 2).alias("notional"))
 
 
 @add("book_signals", V.with_views("books") + """

@@ -41,5 +41,10 @@ def pf_sql(gw: str, gl: str, no_loss: float = 2.0, neither: float = 1.0) -> str:
     return f"CASE WHEN {gl} > 0 THEN {gw} / {gl} WHEN {gw} > 0 THEN {no_loss} ELSE {neither} END"
 
 
+def rnd(x: str, digits: int) -> str:
+    """Half-up decimal rounding, the twin of ``round_to`` (DuckDB rounds doubles in binary)."""
+    return f"round(({x})::DECIMAL(30, {digits + 5}), {digits})::DOUBLE"
+
+
 LINE_ID = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
 LINE_COLS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]

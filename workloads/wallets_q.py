@@ -157,7 +157,7 @@ def _(s, d):
 
 
 @add("market_side_flow", _LEADER_VIEWS.rstrip() + ",\n" + _FLOW + """
-SELECT condition_id, round(u / (u + dn), 4) AS up, round(dn / (u + dn), 4) AS down, round_even((u + dn) * 10, 0)::BIGINT AS n
+SELECT condition_id, round(round(u / (u + dn), 9), 4) AS up, round(round(dn / (u + dn), 9), 4) AS down, round_even(round((u + dn) * 10, 8), 0)::BIGINT AS n
 FROM flow WHERE u + dn > 0""")
 def _(s, d):
     return W.market_side_flow(W.leader_trades(V.trades(s, d), _leaders(s, d)))
@@ -165,7 +165,7 @@ def _(s, d):
 
 @add("leaderboard_job", _LEADER_VIEWS.rstrip() + ",\n" + _FLOW + """
 SELECT 'leader' AS kind, wallet AS id, round(score, 6) AS a, round(wr, 6) AS b, settled AS n FROM leaders
-UNION ALL SELECT 'market', condition_id, round(u / (u + dn), 4), round(dn / (u + dn), 4), round_even((u + dn) * 10, 0)::BIGINT
+UNION ALL SELECT 'market', condition_id, round(round(u / (u + dn), 9), 4), round(round(dn / (u + dn), 9), 4), round_even(round((u + dn) * 10, 8), 0)::BIGINT
 FROM flow WHERE u + dn > 0""")
 def _(s, d):
     from marketlens.plans.leaderboard import build_leaderboard
@@ -239,9 +239,9 @@ def _(s, d):
        sum(price * weight) AS pwsum, sum(weight) AS wsum, coalesce(sum(weight) FILTER (WHERE price <= 0.30), 0) AS lo,
        coalesce(sum(weight) FILTER (WHERE price >= 0.70), 0) AS hi FROM weighted GROUP BY 1)""",
      """multi AS (SELECT condition_id, count(*) FILTER (WHERE k >= 2) / count(*)::DOUBLE AS ratio FROM pw GROUP BY 1)""") + """
-SELECT condition_id, round(u / (u + dn), 4) AS up, round(dn / (u + dn), 4) AS down, round_even(round((u + dn) * 10, 6), 0)::BIGINT AS n,
-  round(pwsum / wsum * 100, 1) AS avg_entry_c, round(lo / wsum, 4) AS low_c_share, round(hi / wsum, 4) AS high_c_share,
-  round(ratio, 4) AS multibet_ratio
+SELECT condition_id, round(round(u / (u + dn), 9), 4) AS up, round(round(dn / (u + dn), 9), 4) AS down, round_even(round((u + dn) * 10, 8), 0)::BIGINT AS n,
+  round(round(pwsum / wsum * 100, 6), 1) AS avg_entry_c, round(round(lo / wsum, 9), 4) AS low_c_share, round(round(hi / wsum, 9), 4) AS high_c_share,
+  round(round(ratio, 9), 4) AS multibet_ratio
 FROM agg JOIN multi USING (condition_id) WHERE u + dn > 0""")
 def _(s, d):
     t = V.trades(s, d).where("side = 'BUY'").withColumn("weight", 0.1 + (F.col("wallet") % 7) / 10.0)
