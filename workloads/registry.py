@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import asof_q, features_q, perf_q, scalar_q, wallets_q
+from . import asof_q, features_q, market_q, perf_q, scalar_q, scoring_q, wallets_q
 
 QUERIES: dict = {}
 TWINS: dict[str, str] = {}
-for _m in (scalar_q, wallets_q, asof_q, features_q, perf_q):
+for _m in (scalar_q, wallets_q, asof_q, features_q, perf_q, market_q, scoring_q):
     for _name, (_fn, _sql) in _m.REGISTERED.items():
         if _name in QUERIES:
             raise ValueError(f"query {_name} registered twice")
