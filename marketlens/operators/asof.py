@@ -31,7 +31,7 @@ def _asof(left: DataFrame, right: DataFrame, on: Sequence[str], left_ts: str, ri
                       F.struct(*[F.col(x) for x in left.columns]).alias("_l"))
     both = rhs.unionByName(lhs, allowMissingColumns=True).withColumn(
         CHUNK, F.floor(F.col("_t") / width) if sign < 0 else int_div("_t", width))
-    got = running(both, keys, ["_t", "_side", "_tie"], {"_hit": ("last", F.col("_r"))})
+    got = running(both, keys, ["_t", "_side", "_tie"], {"_hit": ("last", F.col("_r"))}, shuffle_once="_l")
     ok = F.lit(True)
     if tolerance_s is not None:
         ok = F.abs(F.col("_hit._rt") - F.col("_t") * sign) <= int(tolerance_s * 1_000_000)

@@ -64,7 +64,7 @@ def calibration_curve(hist: DataFrame, bins: int = 18, lo: float = 0.05, hi: flo
         F.avg(F.pow(F.col("true_prob") - F.col("won"), F.lit(2.0))).alias("brier"))
 
 
-def platt_fit(hist: DataFrame, *, max_iter: int = 100) -> DataFrame:
+def platt_fit(hist: DataFrame, *, max_iter: int = 50) -> DataFrame:
     """One row (a, b): P = logistic(a * logit(p) + b) fitted by maximum likelihood.
 
     Probabilities carry 6 decimals, so the data is first counted per (p, outcome); the regression then
@@ -75,6 +75,6 @@ def platt_fit(hist: DataFrame, *, max_iter: int = 100) -> DataFrame:
 
     pts = (hist.groupBy("true_prob", "won").agg(F.count(F.lit(1)).cast("double").alias("weight"))
            .select(array_to_vector(F.array(logit("true_prob"))).alias("features"), F.col("won").cast("double").alias("label"), "weight"))
-    model = LogisticRegression(weightCol="weight", regParam=0.0, maxIter=max_iter, tol=1e-12, standardization=False).fit(pts)
+    model = LogisticRegression(weightCol="weight", regParam=0.0, maxIter=max_iter, tol=1e-9, standardization=False).fit(pts)
     a, b = float(model.coefficients[0]), float(model.intercept)
     return hist.sparkSession.range(1).select(F.lit(a).alias("a"), F.lit(b).alias("b"))

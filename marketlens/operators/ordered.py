@@ -42,7 +42,7 @@ def _combine(kind: str, before: Column, inside: Column) -> Column:
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], aggs: Aggs, *, chunk: str = CHUNK,
-            exclusive: bool = False) -> DataFrame:
+            exclusive: bool = False, shuffle_once: str | None = None) -> DataFrame:
     """Running sum / max / min / last-non-null per key in ``order``, at any key size.
 
     ``df`` must hold ``chunk``, monotone in ``order`` within a key. ``exclusive`` leaves the
@@ -51,12 +51,17 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], aggs: Aggs
     keys, order = list(keys), list(order)
     src = df.select("*", *[e.alias(f"_in_{n}") for n, (_, e) in aggs.items()])
     part = [*keys, chunk]
+    if shuffle_once:
+        src = src.repartition(*part)
 
     per_chunk, carry_w = [], Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
     for n, (kind, _) in aggs.items():
         v = F.col(f"_in_{n}")
         agg = (F.max_by(v, F.when(v.isNotNull(), F.struct(*order))) if kind == "last" else _WINDOW_FN[kind](v))
         per_chunk.append(agg.alias(f"_ag_{n}"))
+    if shuffle_once:
+        per_chunk.append(F.count(shuffle_once).alias("_seen"))
+        per_chunk.extend(F.count(x).alias(f"_seen_{x}") for x in order)
     carry = src.groupBy(*part).agg(*per_chunk).select(*part, *[
         (F.last(f"_ag_{n}", True) if kind == "last" else _WINDOW_FN[kind](f"_ag_{n}")).over(carry_w).alias(f"_cy_{n}")
         for n, (kind, _) in aggs.items()])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -118,8 +118,9 @@ def cross_asset_agreement(open_rounds: DataFrame, slot: Sequence[str]) -> DataFr
     Two-step totals: partial counts per slot join back to the rows; nothing is paired.
     """
     ok = (F.col("open") > 0) & (F.col("price") > 0)
+    ok = F.coalesce(ok, F.lit(False))
     up = ok & (F.col("price") > F.col("open"))
-    x = open_rounds.withColumns({"_u": up.cast("bigint"), "_d": (ok & ~up).cast("bigint")})
+    x = open_rounds.withColumns({"_u": F.when(up, 1).otherwise(0).cast("bigint"), "_d": F.when(ok & ~up, 1).otherwise(0).cast("bigint")})
     all_ = x.groupBy(*slot).agg(F.sum("_u").alias("_su"), F.sum("_d").alias("_sd"))
     own = x.groupBy(*slot, "asset").agg(F.sum("_u").alias("_ou"), F.sum("_d").alias("_od"))
     return (x.join(all_, list(slot)).join(own, [*slot, "asset"])
@@ -268,27 +269,29 @@ def pick_with_caps(signals: DataFrame, slot: Sequence[str], *, bankroll: float,
                    total_cap: float = 0.60, side_cap: float = 0.40) -> DataFrame:
     """Greedy picks per decision time in rank order, skipping signals that break a cap.
 
-    Greedy picks depend on order, so one decision time runs as one small pandas group (the open rounds
-    of an instant); the job scales over decision times. Expects rank, condition_id, fingerprint, side, size.
+    Greedy picks depend on order. Partitions hold whole decision times sorted by rank and stream through
+    Arrow batches, so no decision time is collected; the running totals are the only state. Expects
+    rank, condition_id, fingerprint, side, size.
     """
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank")
-        total, by_side, by_cid, by_round, keep = 0.0, {}, {}, {}, []
-        for row in pdf.itertuples(index=False):
-            other = "Down" if row.side == "Up" else "Up"
-            cid, fp, size = row.condition_id, row.fingerprint, max(0.0, row.size)
-            ok = (sum(keep) < max_open
-                  and by_cid.get((cid, other), 0.0) == 0 and by_round.get((fp, other), 0.0) == 0
-                  and ((cid, row.side) not in by_cid or by_cid[(cid, row.side)] + size <= bankroll * max_cid_pct)
-                  and ((fp, row.side) not in by_round or by_round[(fp, row.side)] + size <= bankroll * max_cid_pct)
-                  and total + size <= bankroll * total_cap and by_side.get(row.side, 0.0) + size <= bankroll * side_cap)
-            keep.append(ok)
-            if ok:
-                total += size
-                by_side[row.side] = by_side.get(row.side, 0.0) + size
-                by_cid[(cid, row.side)] = by_cid.get((cid, row.side), 0.0) + size
-                by_round[(fp, row.side)] = by_round.get((fp, row.side), 0.0) + size
-        return pdf[keep]
-
-    return signals.groupBy(*slot).applyInPandas(run, T.StructType(signals.schema.fields))
-
+    slot = list(slot)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, total, n, used = None, 0.0, 0, {}
+        for pdf in batches:
+            keep = []
+            for at, cid, fp, side, size in zip(pdf[slot].itertuples(index=False, name=None), pdf["condition_id"], pdf["fingerprint"], pdf["side"], pdf["size"]):
+                if at != now:
+                    now, total, n, used = at, 0.0, 0, {}
+                other, size = "Down" if side == "Up" else "Up", max(0.0, size)
+                mine = [("cid", cid, side), ("round", fp, side)]
+                ok = (n < max_open and not used.get(("cid", cid, other)) and not used.get(("round", fp, other))
+                      and all(k not in used or used[k] + size <= bankroll * max_cid_pct for k in mine)
+                      and total + size <= bankroll * total_cap and used.get(("side", side), 0.0) + size <= bankroll * side_cap)
+                keep.append(ok)
+                if ok:
+                    total, n = total + size, n + 1
+                    for k in (*mine, ("side", side)):
+                        used[k] = used.get(k, 0.0) + size
+            yield pdf[keep]
+
+    return signals.repartition(*slot).sortWithinPartitions(*slot, "rank").mapInPandas(run, T.StructType(signals.schema.fields))

@@ -53,7 +53,7 @@ def direction(s: DataFrame, *, move_min: float = 0.0003, oracle_min: float = 0.0
     d = (F.when(F.col("move_pct") >= move_min, F.when(~conflict, tick_dir))
          .when(F.col("oracle_dir").isNotNull(), F.col("oracle_dir"))
          .when(F.col("tf_up_votes") > F.col("tf_dn_votes"), "Up").when(F.col("tf_dn_votes") > F.col("tf_up_votes"), "Down"))
-    s = s.withColumn("direction", d).withColumn("is_up", F.col("direction") == "Up")
+    s = s.withColumn("direction", d).withColumn("is_up", F.coalesce(F.col("direction") == "Up", F.lit(False)))
     return s.withColumns({
         "tf_votes": _if(F.col("is_up"), F.col("tf_up_votes"), F.col("tf_dn_votes")),
         "cl_agree": _if(ref & (o > 0), F.col("is_up") == (o > op), True),
@@ -172,7 +172,7 @@ def llr_posterior(s: DataFrame, w: LlrWeights = LlrWeights(), *, platt_ab: tuple
 
 
 def _by_side(side: Column, up: str | Column, down: str | Column) -> Column:
-    return F.when(side == "Up", c(up)).otherwise(c(down))
+    return F.when(side == "Up", c(up)).when(side == "Down", c(down))
 
 
 def choose_side(s: DataFrame, *, mode: str = "prob", forced_move: float = 0.0005, hard_block: float = -0.15, floor: float = 0.01,
@@ -552,27 +552,38 @@ def size_modifiers(s: DataFrame, cfg: SizeConfig = SizeConfig()) -> DataFrame:
     decay = lambda d, m, n: F.greatest(F.lit(m), F.pow(F.lit(d), n))
     push = (F.when((F.col("score") >= cfg.push_score) & (F.col("true_prob") >= cfg.push_prob) & (F.col("ev") >= cfg.push_ev) & F.col("cl_agree"), "push")
             .when((F.col("score") >= cfg.base_score) & (F.col("ev") >= cfg.base_ev), "base").otherwise("probe"))
+    s = s.withColumn("push_tier", push)
     mult = F.when(F.col("push_tier") == "push", cfg.push[0]).when(F.col("push_tier") == "base", cfg.push[1]).otherwise(cfg.push[2])
-    x = F.col("final_size")
-    s = s.withColumns({"final_size": F.col("size"), "push_tier": push})
-    floor_step = F.when(floor_ok & (x < cfg.super_min), F.least(cap, F.greatest(x, F.lit(cfg.super_min)))).otherwise(x)
-    cap_step = F.when(cheap & (x > top), round_to(top, 2)).otherwise(x)
+    inf, zero = F.lit(float("inf")), F.lit(0.0)
+
+    def scale(on: Column, m: Column | float, hi: Column = inf, lo: Column = low) -> Column:
+        m = m if isinstance(m, Column) else F.lit(float(m))
+        return F.struct(F.coalesce(on, F.lit(False)).alias("on"), m.cast("double").alias("mult"), lo.cast("double").alias("lo"), hi.cast("double").alias("hi"))
+
+    def bound(on: Column, lo: Column = zero, hi: Column = inf) -> Column:
+        return scale(on, F.lit(None), hi, lo)
+
+    floor_step, cap_step = bound(floor_ok, lo=F.least(cap, F.lit(cfg.super_min))), bound(cheap, hi=top)
+    contra = long & ~core & (F.col("entry") <= cfg.contra_entry) & ~strong_contra
     steps = [
         floor_step, cap_step,
-        F.when(long & core, round_to(F.least(cap, x * cfg.core_bonus), 2))
-         .when(long & (F.col("entry") <= cfg.contra_entry) & ~strong_contra, round_to(F.greatest(low, F.least(cap, x * cfg.contra_mult)), 2)).otherwise(x),
-        F.when(long & (F.abs(F.col("flag_size_mult") - 1.0) > 1e-9), round_to(F.greatest(low, F.least(cap, x * F.col("flag_size_mult"))), 2)).otherwise(x),
-        F.when(long & (F.col("entry") <= cfg.haircut_entry) & ~keep, F.greatest(low, round_to(x * cfg.haircut, 2))).otherwise(x),
-        F.when(long & (legs > 0), F.greatest(low, round_to(x * decay(cfg.stack_decay, cfg.stack_min, legs), 2))).otherwise(x),
-        F.when(long & (both > 0), F.greatest(low, round_to(x * decay(cfg.round_decay, cfg.round_min, both), 2))).otherwise(x),
-        F.when(F.abs(mult - 1.0) > 1e-9, F.greatest(low, round_to(F.least(cap, x * mult), 2))).otherwise(x),
+        scale(long & core, cfg.core_bonus, cap, zero), scale(contra, cfg.contra_mult, cap),
+        scale(long & (F.abs(F.col("flag_size_mult") - 1.0) > 1e-9), F.col("flag_size_mult"), cap),
+        scale(long & (F.col("entry") <= cfg.haircut_entry) & ~keep, cfg.haircut),
+        scale(long & (legs > 0), decay(cfg.stack_decay, cfg.stack_min, legs)),
+        scale(long & (both > 0), decay(cfg.round_decay, cfg.round_min, both)),
+        scale(F.abs(mult - 1.0) > 1e-9, mult, cap),
         floor_step, cap_step,
     ]
     if cfg.fixed > 0:
-        steps.append(F.greatest(low, F.lit(round(cfg.fixed, 2))))
+        steps.append(scale(F.lit(True), 0.0, lo=F.greatest(low, F.lit(round(cfg.fixed, 2)))))
     if cfg.max_size > 0:
-        steps.append(round_to(F.least(x, F.lit(cfg.max_size)), 2))
-    for e in steps:
-        s = s.withColumn("final_size", e)
-    return s
+        steps.append(scale(F.lit(True), 1.0, F.lit(cfg.max_size), zero))
+
+    def apply(x: Column, st: Column) -> Column:
+        bounded = F.when(x > st["hi"], round_to(st["hi"], 2)).otherwise(F.greatest(x, st["lo"]))
+        scaled = F.greatest(round_to(F.least(x * st["mult"], st["hi"]), 2), st["lo"])
+        return F.when(~st["on"], x).when(st["mult"].isNull(), bounded).otherwise(scaled)
 
+    # A fold over the step array: chained columns would repeat the stake in every later expression.
+    return s.withColumn("final_size", F.aggregate(F.array(*steps), F.col("size").cast("double"), apply))

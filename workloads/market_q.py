@@ -91,25 +91,15 @@ def _(s, d):
     return P.top_positions(V.positions(s, d), 20).select("condition_id", "outcome", round_to("current_value", 4).alias("current_value"))
 
 
-@add("position_changes", V.with_views("positions", """p AS (SELECT wallet % 40 AS w, t // 2592000000000 AS m, redeemable, current_value FROM positions WHERE outcome <> '' AND current_value >= 0.01)""",
-     """g AS (SELECT w, m, count(*) FILTER (WHERE NOT redeemable) AS open_n, count(*) FILTER (WHERE redeemable) AS redeem_n, coalesce(sum(current_value // 20) FILTER (WHERE NOT redeemable), 0) AS ov,
-       coalesce(sum(current_value // 20) FILTER (WHERE redeemable), 0) AS rv FROM p GROUP BY 1, 2)""",
-     """l AS (SELECT *, lag((open_n, ov, redeem_n, rv)) OVER (PARTITION BY w ORDER BY m) AS prev FROM g)""") + """
-SELECT w AS wallet, m AS month, open_n, redeem_n, prev IS NULL OR prev <> (open_n, ov, redeem_n, rv) AS changed FROM l""")
+@add("position_changes", V.with_views("positions", """g AS (SELECT wallet % 40 AS w, t // 2592000000000 AS m, count(*) FILTER (WHERE NOT redeemable) AS open_n, count(*) FILTER (WHERE redeemable) AS redeem_n
+       FROM positions WHERE outcome <> '' GROUP BY 1, 2)""", """l AS (SELECT *, lag((open_n, redeem_n)) OVER (PARTITION BY w ORDER BY m) AS prev FROM g)""") + """
+SELECT w AS wallet, m AS month, open_n, redeem_n, prev IS NULL OR prev <> (open_n, redeem_n) AS changed FROM l""")
 def _(s, d):
-    x = V.positions(s, d).where("current_value >= 0.01").select(
-        (F.col("wallet") % 40).alias("wallet"), F.expr("unix_micros(snapshot_ts) div 2592000000000").alias("month"), "outcome", "redeemable",
-        F.floor(F.col("current_value") / 20).cast("double").alias("v"), F.col("current_value"))
-    # Values fall into coarse steps so that equal neighbours occur.
-    x = x.where("outcome <> ''").select("wallet", F.timestamp_micros(F.col("month") * 2_592_000_000_000).alias("snapshot_ts"), "month", "outcome", "redeemable",
-                                        F.when(F.col("v") > 0, F.col("v")).otherwise(F.lit(0.0)).alias("current_value"))
-    return _changes(x).select("wallet", F.expr("unix_micros(snapshot_ts) div 2592000000000").alias("month"), "open_n", "redeem_n", "changed")
-
-
-def _changes(x):
-    # Zero steps still count as positions here: lift by a constant and take it off the sums.
-    lifted = x.withColumn("current_value", F.col("current_value") + 1.0)
-    return P.position_changes(lifted, block=16)
+    # Every position is worth one unit, so equal signatures follow each other now and then.
+    x = V.positions(s, d).select((F.col("wallet") % 40).alias("wallet"), "outcome", "redeemable", F.lit(1.0).alias("current_value"),
+                                 F.expr("timestamp_micros(unix_micros(snapshot_ts) div 2592000000000 * 2592000000000)").alias("snapshot_ts"))
+    r = P.position_changes(x, block=16)
+    return r.select("wallet", F.expr("unix_micros(snapshot_ts) div 2592000000000").alias("month"), "open_n", "redeem_n", "changed")
 
 
 _PEND = """pending AS (SELECT o_orderkey + 3000 AS condition_id, epoch_us(o_orderdate) / 1e6 AS placed_s, CASE WHEN o_custkey % 5 = 0 THEN 0.0 ELSE epoch_us(o_orderdate) / 1e6 + 900 END AS end_s FROM orders),
@@ -219,12 +209,12 @@ def _(s, d):
     return P.redeem_report(universe(s, d), c, c.where("condition_id % 3 = 0"), c.where("condition_id % 10 = 1"))
 
 
-@add("equity_summary", V.with_views("positions", """h AS (SELECT wallet % 10 AS w, CASE outcome WHEN 'Up' THEN 'Up' ELSE 'Down' END AS side, round(current_value - 5, 4) AS qty, CASE WHEN condition_id % 3 = 0 THEN 0 ELSE 0.4 END AS tp, (condition_id % 10) / 10.0 AS up FROM positions WHERE NOT redeemable)""",
-     "c AS (SELECT wallet % 10 AS w, round(current_value - 5, 4) AS qty FROM positions WHERE redeemable)",
+@add("equity_summary", V.with_views("positions", f"""h AS (SELECT wallet % 10 AS w, CASE outcome WHEN 'Up' THEN 'Up' ELSE 'Down' END AS side, {rnd('current_value - 5', 4)} AS qty, CASE WHEN condition_id % 3 = 0 THEN 0 ELSE 0.4 END AS tp, (condition_id % 10) / 10.0 AS up FROM positions WHERE NOT redeemable)""",
+     f"c AS (SELECT wallet % 10 AS w, {rnd('current_value - 5', 4)} AS qty FROM positions WHERE redeemable)",
      "hg AS (SELECT w, sum(qty * CASE WHEN tp > 0 THEN tp WHEN side = 'Up' THEN up ELSE 1 - up END) AS ov, count(*) AS n FROM h WHERE qty > 0 GROUP BY 1)", "cg AS (SELECT w, sum(qty) AS cv, count(*) AS n FROM c WHERE qty > 0 GROUP BY 1)") + f"""
 SELECT hg.w AS wallet, {rnd('ov', 4)} AS open_value, hg.n AS open_n, {rnd('cv', 4)} AS claim_value, cg.n AS claim_n, {rnd('50 + ov + cv', 2)} AS equity, {rnd('50 + ov + cv - 1000', 2)} AS pnl FROM hg JOIN cg USING (w)""")
 def _(s, d):
-    p = V.positions(s, d).withColumn("wallet", F.col("wallet") % 10).withColumn("qty", F.round(F.col("current_value") - 5, 4))
+    p = V.positions(s, d).withColumn("wallet", F.col("wallet") % 10).withColumn("qty", round_to(F.col("current_value") - 5, 4))
     k = F.col("condition_id")
     h = p.where("NOT redeemable").withColumns({"side": F.when(F.col("outcome") == "Up", "Up").otherwise("Down"), "token_price": F.when(k % 3 == 0, 0.0).otherwise(0.4), "up_price": (k % 10) / 10.0})
     r = P.equity_summary(50.0, h, p.where("redeemable"), ["wallet"], baseline=1000.0)

@@ -76,7 +76,7 @@ _DIR = """d0 AS (SELECT *, abs("current" - open_price) / open_price AS move_pct,
 d1 AS (SELECT *, CASE WHEN move_pct >= 0.0003 THEN CASE WHEN od IS NOT NULL AND od <> td AND move_pct < 0.001 THEN NULL ELSE td END
     WHEN od IS NOT NULL THEN od WHEN tfu > tfd THEN 'Up' WHEN tfd > tfu THEN 'Down' END AS direction FROM d0),
 d2 AS (SELECT *, coalesce(direction = 'Up', false) AS up, CASE WHEN direction = 'Up' THEN tfu ELSE tfd END AS tf_votes,
-    CASE WHEN oracle_price > 0 THEN coalesce((direction = 'Up') = (oracle_price > open_price), false) ELSE true END AS agree_raw,
+    CASE WHEN oracle_price > 0 THEN coalesce(direction = 'Up', false) = (oracle_price > open_price) ELSE true END AS agree_raw,
     CASE WHEN direction = 'Up' THEN dw_ob ELSE -dw_ob END AS ob_sig, CASE WHEN direction = 'Up' THEN others_up ELSE others_down END AS cross_count FROM d1)"""
 _POINTS = {
     "timing": "CASE WHEN pct_remaining >= 0.85 THEN 2 WHEN pct_remaining >= 0.70 THEN 1 ELSE 0 END",
