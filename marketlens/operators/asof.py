@@ -1,18 +1,19 @@
 """As-of joins: backward, forward, last-n, with tolerance.
 
-Both sides are unioned and the newest right row is carried forward by ``ordered.running``, so a
-hot key is split into time chunks and no pairs of rows are ever formed.
+Both sides are unioned and the newest right row is carried forward, inside (key, time chunk) by a
+window and between chunks by one row per chunk. A hot key is split by time and no pairs of rows are
+ever formed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.base import epoch_us, int_div
-from .ordered import CHUNK, block_window, lookback, own_rows, running
+from .ordered import CHUNK, block_window, lookback, own_rows
 
 
 def _asof(left: DataFrame, right: DataFrame, on: Sequence[str], left_ts: str, right_ts: str,
@@ -29,14 +30,22 @@ def _asof(left: DataFrame, right: DataFrame, on: Sequence[str], left_ts: str, ri
                        tie.alias("_tie"), payload.alias("_r"))
     lhs = left.select(*lkeys, (epoch_us(left_ts) * sign).alias("_t"), F.lit(side_left).alias("_side"),
                       F.struct(*[F.col(x) for x in left.columns]).alias("_l"))
-    both = rhs.unionByName(lhs, allowMissingColumns=True).withColumn(
-        CHUNK, F.floor(F.col("_t") / width) if sign < 0 else int_div("_t", width))
-    got = running(both, keys, ["_t", "_side", "_tie"], {"_hit": ("last", F.col("_r"))}, shuffle_once="_l")
+    chunk = F.floor(F.col("_t") / width) if sign < 0 else int_div("_t", width)
+    rhs, lhs = rhs.withColumn(CHUNK, chunk), lhs.withColumn(CHUNK, chunk)
+    part, order = [*keys, CHUNK], ["_t", "_side", "_tie"]
+    # Newest right row of every chunk, and the chunks that hold left rows. Only key columns of the left
+    # side are read here, so a chain of as-of joins does not compute its input twice per link.
+    seen = rhs.groupBy(*part).agg(F.max_by("_r", F.struct(*order)).alias("_c")).unionByName(
+        lhs.select(*part).distinct(), allowMissingColumns=True)
+    before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    carry = seen.groupBy(*part).agg(F.first("_c", True).alias("_c")).select(*part, F.last("_c", True).over(before).alias("_carry"))
+    local = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    both = rhs.unionByName(lhs, allowMissingColumns=True).withColumn("_in", F.last("_r", True).over(local))
+    got = both.where(F.col("_side") == side_left).join(carry, part, "left").withColumn("_hit", F.coalesce("_in", "_carry"))
     ok = F.lit(True)
     if tolerance_s is not None:
         ok = F.abs(F.col("_hit._rt") - F.col("_t") * sign) <= int(tolerance_s * 1_000_000)
-    return (got.where(F.col("_side") == side_left)
-            .select("_l.*", *[F.when(ok, F.col(f"_hit.{d}")).alias(d) for d in take]))
+    return got.select("_l.*", *[F.when(ok, F.col(f"_hit.{d}")).alias(d) for d in take])
 
 
 def asof_backward(left: DataFrame, right: DataFrame, on: Sequence[str], *, left_ts: str, right_ts: str,

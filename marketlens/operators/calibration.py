@@ -34,9 +34,12 @@ def hist_calibration(rounds: DataFrame, bars: DataFrame, *, leader: str = "BTC",
     d = asof_backward(rounds, feats, ["asset"], left_ts="start_ts", right_ts="ts", take=take, width_s=width_s)
     d = d.where((F.col("_n") >= 5) & (F.col("_k") >= 3) & F.col("_ret12").isNotNull())
     lead = feats.where(F.col("asset") == leader)
-    d = d.withColumn("_back", F.timestamp_micros(F.unix_micros(F.col("start_ts").cast("timestamp")) - LEADER_MINUTES * 60_000_000))
-    d = asof_backward(d, lead, [], left_ts="start_ts", right_ts="ts", take={"_ln": "_n", "_lk": "_k", "_ls": "_sigma", "_lc": "c"}, width_s=width_s)
-    d = asof_backward(d, lead, [], left_ts="_back", right_ts="ts", take={"_l0": "c"}, width_s=width_s)
+    # The leader is looked up by time only: once per distinct instant, for starts and for half an hour before.
+    back = F.timestamp_micros(F.unix_micros(F.col("start_ts").cast("timestamp")) - LEADER_MINUTES * 60_000_000)
+    d = d.withColumns({"_at": F.col("start_ts").cast("timestamp"), "_back": back})
+    when = rounds.select(F.explode(F.array(F.col("start_ts").cast("timestamp"), back)).alias("_at")).distinct()
+    seen = asof_backward(when, lead, [], left_ts="_at", right_ts="ts", take={"_ln": "_n", "_lk": "_k", "_ls": "_sigma", "_lc": "c"}, width_s=width_s)
+    d = d.join(seen, "_at").join(seen.select(F.col("_at").alias("_back"), F.col("_lc").alias("_l0")), "_back")
     root3 = math.sqrt(3.0)
     corr = F.lit(LEADER_CORR_OTHER)
     for a, v in LEADER_CORR.items():
@@ -74,7 +77,10 @@ def platt_fit(hist: DataFrame, *, max_iter: int = 50) -> DataFrame:
     from pyspark.ml.functions import array_to_vector
 
     pts = (hist.groupBy("true_prob", "won").agg(F.count(F.lit(1)).cast("double").alias("weight"))
-           .select(array_to_vector(F.array(logit("true_prob"))).alias("features"), F.col("won").cast("double").alias("label"), "weight"))
-    model = LogisticRegression(weightCol="weight", regParam=0.0, maxIter=max_iter, tol=1e-9, standardization=False).fit(pts)
+           .select(array_to_vector(F.array(logit("true_prob"))).alias("features"), F.col("won").cast("double").alias("label"), "weight")).persist()
+    try:
+        model = LogisticRegression(weightCol="weight", regParam=0.0, maxIter=max_iter, tol=1e-9, standardization=False).fit(pts)
+    finally:
+        pts.unpersist()
     a, b = float(model.coefficients[0]), float(model.intercept)
     return hist.sparkSession.range(1).select(F.lit(a).alias("a"), F.lit(b).alias("b"))

@@ -36,6 +36,15 @@ def _if(cond: Column, a, b) -> Column:
     return F.when(F.coalesce(cond, F.lit(False)), a).otherwise(b)
 
 
+def settle(s: DataFrame) -> DataFrame:
+    """Stage boundary: evaluates the columns so far once per row.
+
+    A filter on a late column would otherwise be pushed down through every step, and each step would
+    copy the earlier expressions into it several times over.
+    """
+    return s.select(F.inline(F.array(F.struct("*"))))
+
+
 def direction(s: DataFrame, *, move_min: float = 0.0003, oracle_min: float = 0.0002, conflict_max: float = 0.0010) -> DataFrame:
     """Side the price points to: tick move, else oracle move, else momentum votes.
 
@@ -106,7 +115,7 @@ def score_sheet(s: DataFrame) -> DataFrame:
     total = F.col(f"pts_{SHEET[0]}")
     for k in SHEET[1:]:
         total = total + F.col(f"pts_{k}")
-    return s.withColumns({"score": total, "regime_mult": F.when(trend, 1.15).when(revert, 0.85).otherwise(1.0)})
+    return settle(s.withColumns({"score": total, "regime_mult": F.when(trend, 1.15).when(revert, 0.85).otherwise(1.0)}))
 
 
 @dataclass(frozen=True)
@@ -199,7 +208,7 @@ def choose_side(s: DataFrame, *, mode: str = "prob", forced_move: float = 0.0005
         else:
             pick = _if(F.col("prob_up") >= F.col("prob_down"), "Up", "Down")
         s = s.withColumn("side", pick).withColumn("edge", _by_side(F.col("side"), "edge_up", "edge_down"))
-    return s.withColumn("true_prob", _by_side(F.col("side"), "prob_up", "prob_down")).drop("_base", "_e")
+    return settle(s.withColumn("true_prob", _by_side(F.col("side"), "prob_up", "prob_down")).drop("_base", "_e"))
 
 
 def copy_adjust(s: DataFrame, *, bonus_max: int = 2, win_mode: bool = True, arm_score: int = 2, arm_edge: float = 0.05,
@@ -309,9 +318,10 @@ def entry_and_size(s: DataFrame, cfg: EntryConfig = EntryConfig()) -> DataFrame:
     if cfg.fast_exec:
         taker = taker | ((score >= cfg.fast_score) & (F.col("edge") >= cfg.fast_edge) & (F.col("entry") <= cfg.max_entry))
     s = s.withColumn("size_reason", reason)
-    return s.withColumns({
+    s = s.withColumns({
         "size": F.when(F.col("size_reason") == "ok", size),
         "force_taker": (~F.col("use_limit") & taker) | F.col("arm_active")}).drop("_need", "_pay", "_ev", "_live", "_raw", "_model", "_floor")
+    return settle(s)
 
 
 def score_snapshot(s: DataFrame, *, mode: str = "prob", entry: EntryConfig = EntryConfig()) -> DataFrame:

@@ -311,9 +311,9 @@ def _steps() -> str:
         f"CASE WHEN {push} <> 1.0 THEN greatest(1.0, {r2(f'least(hard_cap, x * {push})')}) ELSE x END",
         floor_, cap, r2("least(x, 4.0)"),
     ]
-    out = ["""z0 AS (SELECT *, size AS x, CASE WHEN score >= 13 AND true_prob >= 0.64 AND ev >= 0.03 AND cl_agree THEN 'push' WHEN score >= 9 AND ev >= 0.01 THEN 'base' ELSE 'probe' END AS push_tier FROM f2 WHERE size_reason = 'ok')"""]
+    out = ["""z0 AS MATERIALIZED (SELECT *, size AS x, CASE WHEN score >= 13 AND true_prob >= 0.64 AND ev >= 0.03 AND cl_agree THEN 'push' WHEN score >= 9 AND ev >= 0.01 THEN 'base' ELSE 'probe' END AS push_tier FROM f2 WHERE size_reason = 'ok')"""]
     for i, e in enumerate(steps):
-        out.append(f"z{i + 1} AS (SELECT * EXCLUDE (x), {e} AS x FROM z{i})")
+        out.append(f"z{i + 1} AS MATERIALIZED (SELECT * EXCLUDE (x), {e} AS x FROM z{i})")
     return ",\n".join(out)
 
 

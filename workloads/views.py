@@ -88,9 +88,10 @@ ROUNDS = f"""rounds AS (
 def rounds(spark: SparkSession, d: str) -> DataFrame:
     from marketlens.operators.asof import asof_forward
     s = round_slots(spark, d)
-    t = ticks(spark, d)
-    opened = asof_forward(s, t, ["asset"], left_ts="start_ts", right_ts="ts", take={"open": "price"})
-    return asof_forward(opened, t, ["asset"], left_ts="end_ts", right_ts="ts", take={"close": "price"})
+    ends = s.select("*", F.posexplode(F.array("start_ts", "end_ts")).alias("_i", "_at"))
+    got = asof_forward(ends, ticks(spark, d), ["asset"], left_ts="_at", right_ts="ts", take={"_p": "price"})
+    return got.groupBy("asset", "start_ts", "end_ts").agg(
+        F.max(F.when(F.col("_i") == 0, F.col("_p"))).alias("open"), F.max(F.when(F.col("_i") == 1, F.col("_p"))).alias("close"))
 
 
 # ---------------------------------------------------------------- trades
