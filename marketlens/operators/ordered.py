@@ -8,6 +8,8 @@ third of all rows cannot scale. Everything ordered in this library goes through
   bounded by time span / chunk width, not by the data.
 * ``lookback`` / ``time_halo``: a bounded frame needs only rows near a chunk border, so border
   rows are copied into the next chunk by a narrow ``explode`` and dropped after the window.
+
+Keys and order columns must not be null: chunks are matched back to rows by equality.
 """
 
 from __future__ import annotations
