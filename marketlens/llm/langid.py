@@ -15,7 +15,7 @@ HIDDEN = 12
 #: Positions the network reads before it starts afresh: a text is cut into runs of this many bytes, all of them read.
 RUN = 256
 #: Runs processed in lock-step.
-LANES = 2048
+LANES = 1024
 #: Training sample: pieces of PIECE characters, at most PER_LANG for each language.
 PER_LANG, PIECE, STEPS = 400, 160, 260
 
@@ -36,7 +36,7 @@ class LangModel:
         total, votes = np.zeros((len(data), k)), np.zeros((len(data), k), np.int64)
         starts = [(i, s) for i, d in enumerate(data) for s in range(0, len(d), RUN)]
         starts.sort(key=lambda x: min(RUN, len(data[x[0]]) - x[1]), reverse=True)
-        wf, wb, bias = self.p["w"][:HIDDEN], self.p["w"][HIDDEN:], self.p["b"]
+        wf, wb, bias = (np.ascontiguousarray(x.T) for x in (self.p["w"][:HIDDEN], self.p["w"][HIDDEN:], self.p["b"][None]))
         for at in range(0, len(starts), LANES):
             part = starts[at: at + LANES]
             owner = np.array([i for i, _ in part])
@@ -44,22 +44,20 @@ class LangModel:
             t_max = int(lengths[0])
             block = b"".join(data[i][s: s + t_max].ljust(t_max, b"\0") for i, s in part)
             ids = np.ascontiguousarray(np.frombuffer(block, np.uint8).reshape(len(part), t_max).T)
-            prob, vote = np.zeros((len(part), k), np.float32), np.zeros((len(part), k), np.int64)
+            prob, vote = np.zeros((k, len(part)), np.float32), np.zeros((k, len(part)), np.int32)
 
             def visit(t: int, n: int, hf: np.ndarray, hb: np.ndarray, prob=prob, vote=vote) -> None:
-                y = hf @ wf
-                y += hb @ wb
+                y = wf @ hf.T
+                y += wb @ hb.T
                 y += bias
-                top = y.max(1, keepdims=True)
-                vote[:n] += y == top
-                y -= top
-                np.exp(y, out=y)
-                y /= y.sum(1, keepdims=True)
-                prob[:n] += y
+                vote[:, :n] += y == y.max(0)
+                np.exp(y, out=y)  # bounded: states lie in (-1, 1)
+                y /= y.sum(0)
+                prob[:, :n] += y
 
             gru.run(ids, lengths, self.fwd, self.bwd, visit)
-            np.add.at(total, owner, prob)
-            np.add.at(votes, owner, vote)
+            np.add.at(total, owner, prob.T)
+            np.add.at(votes, owner, vote.T)
         size = np.array([max(1, len(d)) for d in data])[:, None]
         return total / size, votes
 
