@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import re
-import zlib
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -27,18 +26,46 @@ PER_CLASS, MAX_CHARS, ROUNDS, STEPS = 1200, 12_000, 6, 60
 REPEATED = 0.15
 ACCEPT = 0.7
 
-_core = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
-
-
-def word_ids(word: str) -> tuple[int, list[int]]:
-    """Word id and character-piece ids (trigrams with ends, four-letter start and end) of a raw token."""
-    m = _core.search(word.lower())
-    w = m.group() if m else word[:8]
-    w = w[:64]
-    padded = f"^{w}$"
-    pieces = [padded[i: i + 3] for i in range(len(padded) - 2)] + [padded[:5], padded[-5:]]
-    crc = zlib.crc32
-    return crc(w.encode("utf-8", "replace")) % WORD_IDS, [crc(x.encode("utf-8", "replace")) % CHAR_IDS for x in pieces]
+_marks = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "…«»„“”‘’–—¡¿"
+_mix = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Pieces:
+    """Word id and character-piece ids (byte trigrams with both ends marked, starts and ends of five bytes) of tokens."""
+
+    def __init__(self, tokens: list[str]):
+        clean = [("^" + (t.lower().strip(_marks) or t) + "$").encode("utf-8", "replace") for t in tokens]
+        size = np.fromiter(map(len, clean), np.int64, len(clean))
+        x = np.frombuffer(b"".join(clean) + b"$$$$", np.uint8).astype(np.uint64)
+        ends = np.cumsum(size)
+        starts = ends - size
+        with np.errstate(over="ignore"):
+            power = np.cumprod(np.full(int(size.max(initial=1)), np.uint64(1099511628211)))
+            local = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(starts, size)
+            whole = np.add.reduceat(x[: len(local)] * power[local], starts) if len(clean) else np.zeros(0, np.uint64)
+            self.words = ((whole * _mix) >> np.uint64(64 - 14)).astype(np.int64)
+            tri = ((x[:-2] + x[1:-1] * np.uint64(257) + x[2:] * np.uint64(66049)) * _mix >> np.uint64(64 - 13)).astype(np.int64)
+
+            def five(at: np.ndarray, salt: int) -> np.ndarray:
+                h = np.full(len(at), np.uint64(salt))
+                for k in range(5):
+                    h = (h ^ x[np.minimum(at + k, ends - 1)]) * np.uint64(1099511628211)
+                return (h * _mix >> np.uint64(64 - 13)).astype(np.int64)
+
+            edge = np.stack([five(starts, 17), five(np.maximum(starts, ends - 5), 29)], 1).reshape(-1) if len(clean) else np.zeros(0, np.int64)
+        self.counts = size  # size - 2 trigrams and two edges
+        self.offsets = np.cumsum(self.counts) - self.counts
+        self.flat = np.empty(int(self.counts.sum()), np.int64)
+        place = np.arange(len(self.flat)) - np.repeat(self.offsets, self.counts)
+        inner = place < np.repeat(size - 2, size)
+        self.flat[inner] = tri[: len(local)][local < np.repeat(size - 2, size)]
+        self.flat[~inner] = edge
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Word ids, piece ids and piece counts of some tokens."""
+        n = self.counts[rows]
+        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.offsets[rows], n)
+        return self.words[rows], self.flat[at], n
 
 
 def windows(n: int) -> range:
@@ -52,12 +79,12 @@ class ToxModel:
     def __init__(self, p: dict[str, np.ndarray], base: float = 0.0):
         self.p, self.base = p, base
 
-    def inputs(self, ids: list[tuple[int, list[int]]]) -> np.ndarray:
+    def inputs(self, words: np.ndarray, chars: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Input vector of each word."""
-        counts = np.array([len(c) for _, c in ids])
-        flat = np.fromiter((x for _, c in ids for x in c), np.int64, int(counts.sum()))
-        chars = np.add.reduceat(self.p["ec"][flat], np.cumsum(counts) - counts, axis=0) if len(ids) else np.zeros((0, CHAR_DIM), np.float32)
-        return np.hstack([self.p["ew"][[w for w, _ in ids]], chars / np.sqrt(counts)[:, None].astype(np.float32)]) if len(ids) else np.zeros((0, WORD_DIM + CHAR_DIM), np.float32)
+        if not len(words):
+            return np.zeros((0, WORD_DIM + CHAR_DIM), np.float32)
+        c = np.add.reduceat(self.p["ec"].take(chars, axis=0), np.cumsum(counts) - counts, axis=0)
+        return np.hstack([self.p["ew"][words], c / np.sqrt(counts)[:, None].astype(np.float32)])
 
     def gates(self, v: np.ndarray) -> list[np.ndarray]:
         """Gate inputs (words, H) of the forward, then the backward direction."""
@@ -108,10 +135,11 @@ class Scorer:
                     row[w] = len(row)
                     new.append(w)
         if new:
-            gates = self.model.gates(self.model.inputs([word_ids(w) for w in new]))
+            x = Pieces(new)
+            gates = self.model.gates(self.model.inputs(x.words, x.flat, x.counts))
             self.tables = [np.concatenate([a, b.astype(np.float32)]) for a, b in zip(self.tables, gates)]
         sizes = np.array([len(w) for w in words])
-        flat = np.fromiter((row[w] for ws in words for w in ws), np.int64, int(sizes.sum()))
+        flat = np.fromiter(map(row.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum()))
         base = np.cumsum(sizes) - sizes
         own = [np.array(windows(n)) for n in sizes]
         owner = np.repeat(np.arange(len(words)), [len(x) for x in own])
@@ -146,16 +174,18 @@ def train(rows: list[tuple[int, str]], seed: int = 5) -> ToxModel:
     if len(set(y.tolist())) < 2:
         p["w"][:], p["b"][:] = 0, 30.0 if len(y) and y[0] else -30.0
         return model
-    cache: dict[str, tuple[int, list[int]]] = {}
-    lists = [[cache.setdefault(w, None) or cache.__setitem__(w, word_ids(w)) or cache[w] for w in ws] for ws in texts]
-    # first choice of windows: summed log-odds of character pieces and words over the texts that hold them
+    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(texts)))}
+    pieces = Pieces(list(vocabulary))
+    lists = [np.array([vocabulary[w] for w in ws], np.int64) for ws in texts]
+    # first choice of windows: log-odds of words and character pieces over the texts that hold them
     seen = np.zeros((2, WORD_IDS + CHAR_IDS))
     for label, ws in zip(y, lists):
-        own = {w for w, _ in ws} | {WORD_IDS + c for _, cs in ws for c in cs}
-        seen[label, list(own)] += 1
+        own, chars, _ = pieces.take(np.unique(ws))
+        seen[label, np.unique(np.concatenate([own, WORD_IDS + chars]))] += 1
     odds = np.log((seen[1] + 0.5) / (y.sum() + 1)) - np.log((seen[0] + 0.5) / ((1 - y).sum() + 1))
     odds = np.where(seen.sum(0) >= 3, odds, 0)
-    value = [[max(odds[w], max(odds[WORD_IDS + c] for c in cs)) for w, cs in ws] for ws in lists]
+    per_word = np.maximum(odds[pieces.words], np.maximum.reduceat(odds[WORD_IDS + pieces.flat], pieces.offsets)) if len(vocabulary) else odds[:0]
+    value = [per_word[ws] for ws in lists]
 
     def best_by_odds(i: int) -> int:
         return max(windows(len(value[i])), key=lambda s: sum(sorted(value[i][s: s + WINDOW])[-3:]), default=0)
@@ -182,23 +212,20 @@ def train(rows: list[tuple[int, str]], seed: int = 5) -> ToxModel:
                 w = windows(len(texts[i]))
                 wins.append((i, hard[i] if rng.random() < 0.5 else w[int(rng.integers(len(w)))]))
             size = [min(WINDOW, len(lists[i]) - s) for i, s in wins]
-            names = {}
             ids, mask = np.zeros((max(size), len(wins)), np.int64), np.zeros((max(size), len(wins), 1), np.float32)
             for j, (i, s) in enumerate(wins):
                 own = lists[i][s: s + size[j]]
-                if y[i] == 0 and rng.random() < REPEATED:
-                    own = [own[int(rng.integers(len(own)))]] * size[j]
-                for t, w in enumerate(own):
-                    ids[t, j] = names.setdefault((w[0], tuple(w[1])), len(names))
+                ids[: size[j], j] = own[int(rng.integers(len(own)))] if y[i] == 0 and rng.random() < REPEATED else own
                 mask[: size[j], j] = 1
-            adam.step(gradients(model, list(names), ids, mask, np.array([y[i] for i, _ in wins], np.float32)), 1.0 if rnd < ROUNDS - 2 else 0.3)
+            rows_, ids = np.unique(ids, return_inverse=True)
+            adam.step(gradients(model, *pieces.take(rows_), ids, mask, np.array([y[i] for i, _ in wins], np.float32)), 1.0 if rnd < ROUNDS - 2 else 0.3)
     return model
 
 
-def gradients(model: ToxModel, words: list, ids: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+def gradients(model: ToxModel, words: np.ndarray, chars: np.ndarray, counts: np.ndarray, ids: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
     """Gradient of the mean cross-entropy of the windows ``ids`` (T, B)."""
     p, h = model.p, HIDDEN
-    v = model.inputs(words).astype(np.float32)
+    v = model.inputs(words, chars, counts).astype(np.float32)
     f, b = (np.stack(x, 1) for x in (model.gates(v)[:3], model.gates(v)[3:]))
     hf, tf = gru.forward(f[ids], mask, p["uf"])
     hb, tb = gru.forward(b[ids[::-1]], mask[::-1], p["ub"])
@@ -220,9 +247,8 @@ def gradients(model: ToxModel, words: list, ids: np.ndarray, mask: np.ndarray, y
     dv = np.einsum("nkh,dkh->nd", gf, p["wf"]) + np.einsum("nkh,dkh->nd", gb, p["wb"])
     g = {"wf": np.einsum("nd,nkh->dkh", v, gf), "wb": np.einsum("nd,nkh->dkh", v, gb), "bf": gf.sum(0), "bb": gb.sum(0), "uf": duf, "ub": dub,
          "v": np.einsum("tb,tbh->h", de, both), "w": dz @ pooled, "b": np.array([dz.sum()]), "ew": 1e-5 * p["ew"], "ec": 1e-5 * p["ec"]}
-    counts = np.array([len(c) for _, c in words])
-    np.add.at(g["ew"], [w for w, _ in words], dv[:, :WORD_DIM])
-    np.add.at(g["ec"], np.fromiter((x for _, c in words for x in c), np.int64), np.repeat(dv[:, WORD_DIM:] / np.sqrt(counts)[:, None], counts, axis=0))
+    np.add.at(g["ew"], words, dv[:, :WORD_DIM])
+    np.add.at(g["ec"], chars, np.repeat(dv[:, WORD_DIM:] / np.sqrt(counts)[:, None], counts, axis=0))
     return g
 
 
