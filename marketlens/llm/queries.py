@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, quality, simhash, toxicity
+from . import gif, mixing, packing, quality, simhash, tokencount, toxicity, langid
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -43,3 +43,30 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document: 4-word shingles, 4 bits."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op3_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as an animated GIF and read back."""
+    return gif.digest_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces in sequences of at most 1024 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), ids=False)
+
+
+@query
+def op4_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to 90 % of the largest entropy over sources, at most two epochs."""
+    return mixing.mix_documents(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
+TWINS["op4_temperature_mixing"] = mixing.TWIN
+
+
+@query
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document."""
+    return tokencount.count_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
