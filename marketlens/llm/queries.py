@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import gif, mixing, packing, quality, simhash, tokencount, toxicity, langid
+from . import gif, htmlmain, mixing, packing, quality, simhash, tokencount, toxicity, langid
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -70,3 +70,9 @@ TWINS["op4_temperature_mixing"] = mixing.TWIN
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every line of every document."""
     return tokencount.count_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return htmlmain.extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
