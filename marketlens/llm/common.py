@@ -11,16 +11,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-#: Rows in one Arrow batch sent to Python: bounds a worker's memory when texts are long.
-BATCH_ROWS = 256
+#: Rows and bytes of one Arrow batch sent to Python: bound a worker's memory when texts are long.
+BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for very long texts; a smaller setting of the session stays."""
+    """Keep Arrow batches small enough for very long texts; a smaller row limit of the session stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key))
     if now <= 0 or now > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def text_column(spark: SparkSession, make: Callable[[], Callable[[list], dict[str, list]]], ddl: str) -> Callable[[Column], Column]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import gif, htmlmain, mixing, packing, quality, simhash, tokencount, toxicity, langid
+from . import gif, hnsw, htmlmain, mixing, packing, quality, simhash, tokencount, toxicity, langid
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -76,3 +76,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return htmlmain.extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@query
+def op8_hnsw_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at cosine 0.98 within their label."""
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
