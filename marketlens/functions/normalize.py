@@ -59,9 +59,14 @@ def outcome_side(outcome: ColumnOrName, side: ColumnOrName) -> Column:
 
 
 def parse_iso(text: ColumnOrName) -> Column:
-    """First 19 characters as a UTC timestamp; unreadable text gives null."""
-    return F.try_to_timestamp(F.replace(F.left(c(text), F.lit(19)), F.lit("T"), F.lit(" ")),
-                              F.lit("yyyy-MM-dd HH:mm:ss"))
+    """Date and time to the second as a UTC timestamp; a zone offset behind it (or behind its fraction) counts, none means
+    UTC. Unreadable text gives null."""
+    t = F.trim(c(text))
+    at = F.try_to_timestamp(F.replace(F.left(t, F.lit(19)), F.lit("T"), F.lit(" ")), F.lit("yyyy-MM-dd HH:mm:ss"))
+    zone = r"^.{19}(?:\.\d+)?\s*([+-])(\d{2}):?(\d{2})?$"
+    part = lambda i: F.coalesce(F.regexp_extract(t, zone, i).try_cast("int"), F.lit(0))
+    shift = (part(2) * 60 + part(3)) * F.when(F.regexp_extract(t, zone, 1) == "-", 1).otherwise(-1)
+    return at + F.make_dt_interval(mins=shift)
 
 
 def winner_by_price(p0: ColumnOrName, p1: ColumnOrName, o0: ColumnOrName, o1: ColumnOrName,
@@ -106,8 +111,8 @@ def classify_family(series_slug: ColumnOrName, title: ColumnOrName) -> tuple[Col
     for s, a, d in SERIES_FAMILIES:
         asset = F.when(slug == s, F.lit(a)) if asset is None else asset.when(slug == s, F.lit(a))
         minutes = F.when(slug == s, F.lit(d)) if minutes is None else minutes.when(slug == s, F.lit(d))
-    # "15m" contains "5m": the title test looks for the shorter text first.
-    by_title = F.when(q.contains("5m"), F.lit(5)).when(q.contains("15m"), F.lit(15)).otherwise(F.lit(0))
+    # "15m" contains "5m": the longer text is tested first, unlike in the reference, which reads 15m titles as 5.
+    by_title = F.when(q.contains("15m"), F.lit(15)).when(q.contains("5m"), F.lit(5)).otherwise(F.lit(0))
     return asset.otherwise(_keyword_asset(q)), minutes.otherwise(by_title)
 
 

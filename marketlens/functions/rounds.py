@@ -85,22 +85,21 @@ def _exact_window(minutes: Column, start_s: Column, end_s: Column, title: Column
 def round_key(asset: ColumnOrName, minutes: ColumnOrName, start_s: ColumnOrName, end_s: ColumnOrName,
               cid: ColumnOrName, title: ColumnOrName | None = None,
               year: int | ColumnOrName | None = None) -> Column:
-    """``ASSET-15m-start-end``; falls back to a shortened market id."""
+    """``ASSET-15m-start-end``; falls back to the market id, in full: a shortened one would merge markets."""
     a = F.upper(F.coalesce(c(asset), F.lit("?")))
     dur, st, en, exact = _exact_window(c(minutes).cast("bigint"), c(start_s), c(end_s), title, year)
     cid = c(cid).cast("string")
-    short = F.when(F.coalesce(cid, F.lit("")) == "", F.lit("n/a")).otherwise(
-        F.concat(F.left(cid, F.lit(10)), F.lit("...")))
-    fallback = F.concat(a, F.lit("-"), dur.cast("string"), F.lit("m-cid"), short)
+    named = F.when(F.coalesce(cid, F.lit("")) == "", F.lit("n/a")).otherwise(cid)
+    fallback = F.concat(a, F.lit("-"), dur.cast("string"), F.lit("m-cid"), named)
     return F.when(exact, _window_key(a, dur, st, en)).otherwise(fallback)
 
 
 def round_fingerprint(asset: ColumnOrName, minutes: ColumnOrName, start_s: ColumnOrName, end_s: ColumnOrName,
                       title: ColumnOrName, year: int | ColumnOrName | None = None) -> Column:
-    """Market-id-free round identity; falls back to the start of the question."""
+    """Market-id-free round identity; falls back to the question."""
     a = F.upper(F.coalesce(c(asset), F.lit("?")))
     dur, st, en, exact = _exact_window(c(minutes).cast("bigint"), c(start_s), c(end_s), title, year)
-    q = F.left(F.lower(F.trim(F.coalesce(c(title), F.lit("")))), F.lit(64))
+    q = F.lower(F.trim(F.coalesce(c(title), F.lit(""))))
     fallback = F.concat(a, F.lit("-"), dur.cast("string"), F.lit("m-q:"), q)
     return F.when(exact, _window_key(a, dur, st, en)).otherwise(fallback)
 

@@ -30,6 +30,9 @@ def _asof(left: DataFrame, right: DataFrame, on: Sequence[str], left_ts: str, ri
                        tie.alias("_tie"), payload.alias("_r"))
     lhs = left.select(*lkeys, (epoch_us(left_ts) * sign).alias("_t"), F.lit(side_left).alias("_side"),
                       F.struct(*[F.col(x) for x in left.columns]).alias("_l"))
+    # A right row without a key or a time matches nothing; such left rows stay, without a match.
+    for x in [*keys, "_t"]:
+        rhs = rhs.where(F.col(x).isNotNull())
     chunk = F.floor(F.col("_t") / width) if sign < 0 else int_div("_t", width)
     rhs, lhs = rhs.withColumn(CHUNK, chunk), lhs.withColumn(CHUNK, chunk)
     part, order = [*keys, CHUNK], ["_t", "_side", "_tie"]

@@ -223,16 +223,13 @@ def lead_signal(ticks: DataFrame, leader: str, vol: float, *, far_s: float = 60,
             .drop("_far", "_near", "_pf", "_pn"))
 
 
-def price_velocity(ticks: DataFrame, *, min_age_s: float = 60, max_obs: int = 40, keys: Sequence[str] = ("asset",),
-                   ts: str = "ts", price: str = "price", width_s: float = DAY_S, block: int = 65_536) -> DataFrame:
-    """Price now minus the newest one at least ``min_age_s`` old among the last ``max_obs``; else 0."""
-    d = lookback(ticks, keys, [ts], max_obs, ts=ts, width_s=width_s, block=block).withColumn("_t", epoch_us(ts))
-    w = Window.partitionBy(*keys, "_blk").orderBy("_t").rangeBetween(Window.unboundedPreceding, -int(min_age_s * 1e6))
-    old = F.last(F.struct(F.col(INDEX).alias("i"), F.col(price).alias("p"))).over(w)
-    d = d.withColumn("_old", old)
-    near = F.col(INDEX) - F.col("_old.i") < max_obs
-    return own_rows(d.withColumn("velocity", F.when(near, F.col(price) - F.col("_old.p")).otherwise(F.lit(0.0)))
-                    .drop("_old", "_t"))
+def price_velocity(ticks: DataFrame, *, min_age_s: float = 60, keys: Sequence[str] = ("asset",), ts: str = "ts",
+                   price: str = "price", width_s: float = DAY_S) -> DataFrame:
+    """Price now minus the newest one at least ``min_age_s`` old, however many came since; 0 without one."""
+    d = ticks.withColumn("_then", F.timestamp_micros(epoch_us(ts) - int(min_age_s * 1e6)))
+    old = ticks.select(*keys, F.col(ts).alias("_ts"), F.col(price).alias("_p"))
+    d = asof_backward(d, old, list(keys), left_ts="_then", right_ts="_ts", take={"_old": "_p"}, width_s=width_s)
+    return d.withColumn("velocity", F.coalesce(F.col(price) - F.col("_old"), F.lit(0.0))).drop("_old", "_then")
 
 
 def prev_round_direction(rounds: DataFrame, *, keys: Sequence[str] = ("asset", "duration"), ts: str = "start_ts",

@@ -9,11 +9,16 @@ third of all rows cannot scale. Everything ordered in this library goes through
 * ``lookback`` / ``time_halo``: a bounded frame needs only rows near a chunk border, so border
   rows are copied into the next chunk by a narrow ``explode`` and dropped after the window.
 
-Keys and order columns must not be null: chunks are matched back to rows by equality.
+Keys and times may be null: a null key is a key like others, and rows without a time come first. Chunks
+are matched back to rows by one struct column, in which nulls are equal, so the rows move once.
+
+A time chunk is as large as the data in it. ``balanced_chunks`` instead cuts by rows: chunks are range
+partitions over (keys, order), so no task gets more than about its share, however dense one key or day is.
 """
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,6 +27,7 @@ from pyspark.sql import functions as F
 from ..functions.base import epoch_us, int_div
 
 CHUNK = "_chunk"
+PART = "_part"
 BLOCK = "_blk"
 INDEX = "_idx"
 OWN = "_own"
@@ -30,6 +36,28 @@ Aggs = dict[str, tuple[str, Column]]
 _WINDOW_FN = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
+def with_part(df: DataFrame, cols: Sequence[str], name: str = PART) -> DataFrame:
+    """Adds one struct of the given columns: never null itself, equal where all fields are equal or both null."""
+    return df.withColumn(name, F.struct(*[F.col(x) for x in cols]) if cols else F.struct(F.lit(0).alias("_")))
+
+
+def part_keys(keys: Sequence[str]) -> list[Column]:
+    return [F.col(f"{PART}.{k}") for k in keys]
+
+
+def balanced_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = CHUNK) -> DataFrame:
+    """Adds a chunk number that grows with (keys, order) and holds about equally many rows.
+
+    Chunks are the range partitions of one sort over sampled bounds; they are written to the checkpoint folder, so
+    that every later use sees the same ones. Equal (keys, order) stay together: make ``order`` unique.
+    """
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, *[F.col(x) for x in [*keys, *order]]).withColumn(name, F.spark_partition_id().cast("bigint")).checkpoint()
+
+
 def add_chunk(df: DataFrame, ts: str, width_s: float, name: str = CHUNK) -> DataFrame:
     """Adds the time-chunk number of a timestamp column."""
     return df.withColumn(name, int_div(epoch_us(ts), int(width_s * 1_000_000)))
@@ -51,40 +79,40 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], aggs: Aggs
     current row out of its own value. Rows move once, by (keys, chunk).
     """
     keys, order = list(keys), list(order)
-    src = df.select("*", *[e.alias(f"_in_{n}") for n, (_, e) in aggs.items()])
-    part = [*keys, chunk]
+    src = with_part(df.select("*", *[e.alias(f"_in_{n}") for n, (_, e) in aggs.items()]), [*keys, chunk])
 
-    per_chunk, carry_w = [], Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    per_chunk, carry_w = [], Window.partitionBy(*part_keys(keys)).orderBy(F.col(f"{PART}.{chunk}")).rowsBetween(Window.unboundedPreceding, -1)
     for n, (kind, _) in aggs.items():
         v = F.col(f"_in_{n}")
         agg = (F.max_by(v, F.when(v.isNotNull(), F.struct(*order))) if kind == "last" else _WINDOW_FN[kind](v))
         per_chunk.append(agg.alias(f"_ag_{n}"))
-    carry = src.groupBy(*part).agg(*per_chunk).select(*part, *[
+    carry = src.groupBy(PART).agg(*per_chunk).select(PART, *[
         (F.last(f"_ag_{n}", True) if kind == "last" else _WINDOW_FN[kind](f"_ag_{n}")).over(carry_w).alias(f"_cy_{n}")
         for n, (kind, _) in aggs.items()])
 
     frame = (Window.unboundedPreceding, -1 if exclusive else 0)
-    local_w = Window.partitionBy(*part).orderBy(*order).rowsBetween(*frame)
+    local_w = Window.partitionBy(PART).orderBy(*order).rowsBetween(*frame)
     inside = src.withColumns({
         f"_lo_{n}": (F.last(f"_in_{n}", True) if kind == "last" else _WINDOW_FN[kind](f"_in_{n}")).over(local_w)
         for n, (kind, _) in aggs.items()})
-    out = inside.join(carry, part, "left")
+    out = inside.join(carry, PART, "left")
     return out.select(*[F.col(x) for x in df.columns],
                       *[_combine(k, F.col(f"_cy_{n}"), F.col(f"_lo_{n}")).alias(n) for n, (k, _) in aggs.items()])
 
 
-def dense_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, ts: str, width_s: float,
+def dense_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, ts: str, width_s: float | None,
                 name: str = INDEX) -> DataFrame:
-    """0-based position of each row within its key; counts per chunk are carried, rows are not."""
+    """0-based position of each row within its key; counts per chunk are carried, rows are not.
+
+    ``width_s`` None: chunks of equal row counts (``balanced_chunks``)."""
     keys = list(keys)
-    src = add_chunk(df, ts, width_s)
-    part = [*keys, CHUNK]
-    before = src.groupBy(*part).agg(F.count(F.lit(1)).alias("_n")).select(
-        *part, F.coalesce(F.sum("_n").over(
-            Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)),
+    src = with_part(balanced_chunks(df, keys, order) if width_s is None else add_chunk(df, ts, width_s), [*keys, CHUNK])
+    before = src.groupBy(PART).agg(F.count(F.lit(1)).alias("_n")).select(
+        PART, F.coalesce(F.sum("_n").over(
+            Window.partitionBy(*part_keys(keys)).orderBy(F.col(f"{PART}.{CHUNK}")).rowsBetween(Window.unboundedPreceding, -1)),
             F.lit(0)).alias("_before"))
-    local = src.withColumn("_rn", F.row_number().over(Window.partitionBy(*part).orderBy(*order)))
-    return local.join(before, part).select(
+    local = src.withColumn("_rn", F.row_number().over(Window.partitionBy(PART).orderBy(*order)))
+    return local.join(before, PART).select(
         *[F.col(x) for x in df.columns], (F.col("_before") + F.col("_rn") - 1).alias(name))
 
 
@@ -125,5 +153,6 @@ def time_halo(df: DataFrame, ts: str, width_s: float, back_s: float) -> DataFram
     """
     width, back, t = int(width_s * 1e6), int(back_s * 1e6), epoch_us(ts)
     home, reach = int_div(t, width), int_div(t + F.lit(back), width)
-    return (df.withColumn(CHUNK, F.explode(F.sequence(home, reach)))
-            .withColumn(OWN, F.col(CHUNK) == home))
+    chunks = F.coalesce(F.sequence(home, reach), F.array(home))  # a row without a time keeps the null chunk
+    return (df.withColumn(CHUNK, F.explode(chunks))
+            .withColumn(OWN, F.col(CHUNK).eqNullSafe(home)))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.base import ColumnOrName, c, clamp, div_or, profit_factor, round_to, safe_double, sum_if
 from ..functions.normalize import age_bucket, score_bucket
 from ..functions.prob import direction_bias, drawdown_scale, fee_stake, wilson_lb
-from .ordered import CHUNK, add_chunk, block_window, lookback, own_rows
+from .ordered import CHUNK, PART, add_chunk, balanced_chunks, block_window, lookback, own_rows, part_keys, with_part
 
 MONTH_S = 30 * 86_400
 _PRIOR = (Window.unboundedPreceding, -1)
@@ -60,6 +60,11 @@ def _ratio(mean: Column, sd: Column, n: Column) -> Column:
     return F.when(F.coalesce(sd, F.lit(0.0)) == 0.0, F.lit(0.0)).otherwise(F.try_divide(mean, sd) * F.sqrt(n))
 
 
+def _join_groups(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """Joins two tables of one row per group; a null group key matches itself."""
+    return with_part(a, by).join(with_part(b, by).drop(*by), PART).drop(PART)
+
+
 def pnl_summary(rows: DataFrame, by: Sequence[str], order: Sequence[str], *, pnl: str = "pnl", bank_after: str | None = None,
                 unit: float = 1000.0, ts: str = "ts", width_s: float = MONTH_S) -> DataFrame:
     """Trades, win rate, totals, Sharpe, Sortino (99 without losses), maximum drawdown per group.
@@ -83,7 +88,7 @@ def pnl_summary(rows: DataFrame, by: Sequence[str], order: Sequence[str], *, pnl
         "win_rate": F.col("wins") / F.col("trades"), "sharpe": _ratio(F.col("_m"), F.col("_sd"), F.col("_n")),
         "sortino": F.when(F.col("_nd") == 0, F.lit(99.0)).otherwise(_ratio(F.col("_m"), F.col("_sdd"), F.col("_n")))})
     dd = max_drawdown(x, by, order, pnl="_p", ts=ts, width_s=width_s)
-    return agg.drop("_m", "_sd", "_n", "_nd", "_sdd").join(dd, list(by))
+    return _join_groups(agg.drop("_m", "_sd", "_n", "_nd", "_sdd"), dd, list(by))
 
 
 def pnl_breakdown(rows: DataFrame) -> DataFrame:
@@ -153,14 +158,15 @@ def asset_quality(perf: DataFrame, *, min_trades: int = 10, block_pf: float = 0.
         "edge_adj": -(F.when(block, max(0.015, edge_penalty + 0.005)).otherwise(0.0) + F.when(weak, edge_penalty).otherwise(0.0))})
 
 
-def sample_prior(samples: DataFrame, keys: Sequence[str], order: Sequence[str], *, keep: int = 200) -> DataFrame:
-    """Win rate, Wilson bound and expectancy of the newest ``keep`` outcomes per key.
+def sample_prior(samples: DataFrame, keys: Sequence[str], order: Sequence[str], *, keep: int | None = None) -> DataFrame:
+    """Win rate, Wilson bound and expectancy of all outcomes per key, or of the newest ``keep`` where a window is wanted.
 
-    ``row_number <= keep`` is applied per map task before the shuffle, so a hot key ships at most
-    ``keep`` rows per task.
+    With ``keep``, a row number limit of up to 1,000 is applied per map task before the shuffle.
     """
-    w = Window.partitionBy(*keys).orderBy(*[F.desc(x) for x in order])
-    newest = samples.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= keep)
+    newest = samples
+    if keep is not None:
+        w = Window.partitionBy(*keys).orderBy(*[F.desc(x) for x in order])
+        newest = samples.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= keep)
     g = newest.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if("won").alias("wins"), F.sum("pnl").alias("_p"),
                                   sum_if(F.col("pnl") > 0, "pnl").alias("_gw"), sum_if(F.col("pnl") < 0, -F.col("pnl")).alias("_gl"))
     return g.select(*keys, "n", "wins", (F.col("wins") / F.col("n")).alias("wr"), wilson_lb("wins", "n").alias("wr_lb"),
@@ -185,7 +191,7 @@ def profile_results(ledger: DataFrame, order: Sequence[str], *, bankroll: float
     x = ledger.where(F.upper("result").isin("WIN", "LOSS")).withColumn("_p", safe_double("pnl"))
     g = x.groupBy("profile").agg(F.count(F.lit(1)).alias("trades"), F.count_if(F.upper("result") == "WIN").alias("wins"), F.sum("_p").alias("_s"))
     dd = max_drawdown(x, ["profile"], order, pnl="_p", start=bankroll, ts=ts, width_s=width_s)
-    return g.join(dd, "profile").select(
+    return _join_groups(g, dd, ["profile"]).select(
         "profile", "trades", "wins", round_to(F.col("wins") / F.col("trades") * 100, 2).alias("wr"),
         round_to("_s", 2).alias("pnl"), round_to("max_dd", 2).alias("max_dd"))
 
@@ -210,6 +216,12 @@ def skip_funnel(gated: DataFrame, reason: str = "reason") -> DataFrame:
 
 
 # ---------------------------------------------------------------- equity, drawdown, streaks
+def _chunked(rows: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str, width_s: float | None) -> DataFrame:
+    """Rows with their chunk and its key struct; without a width, chunks of equal row counts."""
+    d = balanced_chunks(rows, keys, order) if width_s is None else add_chunk(rows, ts, width_s)
+    return with_part(d, [*keys, CHUNK])
+
+
 def equity_curve(rows: DataFrame, keys: Sequence[str], order: Sequence[str], *, pnl: str = "pnl", start: float = 0.0,
                  ts: str = "ts", width_s: float = MONTH_S) -> DataFrame:
     """Adds equity, peak and drawdown after each row, and equity / peak before it.
@@ -218,16 +230,15 @@ def equity_curve(rows: DataFrame, keys: Sequence[str], order: Sequence[str], *,
     ones through one row. The rows move once.
     """
     keys = list(keys)
-    part = [*keys, CHUNK]
-    w = Window.partitionBy(*part).orderBy(*order)
-    d = add_chunk(rows, ts, width_s).withColumn("_eq", F.sum(pnl).over(w.rowsBetween(*_SO_FAR)))
+    w = Window.partitionBy(PART).orderBy(*order)
+    d = _chunked(rows, keys, order, ts, width_s).withColumn("_eq", F.sum(pnl).over(w.rowsBetween(*_SO_FAR)))
     d = d.withColumns({"_pk": F.max("_eq").over(w.rowsBetween(*_SO_FAR)), "_pk0": F.max("_eq").over(w.rowsBetween(*_PRIOR))})
-    cw = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(*_PRIOR)
-    carry = (d.groupBy(*part).agg(F.sum(pnl).alias("_tot"), F.max("_eq").alias("_mx"))
+    cw = Window.partitionBy(*part_keys(keys)).orderBy(F.col(f"{PART}.{CHUNK}")).rowsBetween(*_PRIOR)
+    carry = (d.groupBy(PART).agg(F.sum(pnl).alias("_tot"), F.max("_eq").alias("_mx"))
              .withColumn("_e0", F.coalesce(F.sum("_tot").over(cw), F.lit(0.0)) + start)
              .withColumn("_p0", F.greatest(F.lit(start), F.max(F.col("_e0") + F.col("_mx")).over(cw)))
-             .select(*part, "_e0", "_p0"))
-    out = d.join(carry, part)
+             .select(PART, "_e0", "_p0"))
+    out = d.join(carry, PART)
     equity, peak = F.col("_e0") + F.col("_eq"), F.greatest("_p0", F.col("_e0") + F.col("_pk"))
     return out.select(*[F.col(x) for x in rows.columns], equity.alias("equity"), peak.alias("peak"), (peak - equity).alias("drawdown"),
                       (equity - F.col(pnl)).alias("equity_before"), F.greatest("_p0", F.col("_e0") + F.col("_pk0")).alias("peak_before"))
@@ -243,7 +254,7 @@ def max_drawdown(rows: DataFrame, keys: Sequence[str], order: Sequence[str], *,
     keys = list(keys)
     part = [*keys, CHUNK]
     w = Window.partitionBy(*part).orderBy(*order).rowsBetween(*_SO_FAR)
-    d = add_chunk(rows, ts, width_s).withColumn("_eq", F.sum(pnl).over(w))
+    d = (balanced_chunks(rows, keys, order) if width_s is None else add_chunk(rows, ts, width_s)).withColumn("_eq", F.sum(pnl).over(w))
     d = d.withColumn("_dd", F.greatest(F.max("_eq").over(w), F.lit(0.0)) - F.col("_eq"))
     cw = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(*_PRIOR)
     chunks = (d.groupBy(*part).agg(F.sum(pnl).alias("_tot"), F.max("_eq").alias("_mx"), F.min("_eq").alias("_mn"), F.max("_dd").alias("_in"))
@@ -268,17 +279,16 @@ def loss_streak_rows(rows: DataFrame, keys: Sequence[str], order: Sequence[str],
     The position of the last win is a running maximum, so chunks only hand over (rows, last win).
     """
     keys = list(keys)
-    part = [*keys, CHUNK]
-    w = Window.partitionBy(*part).orderBy(*order)
-    d = add_chunk(rows, ts, width_s).withColumn("_rn", F.row_number().over(w))
+    w = Window.partitionBy(PART).orderBy(*order)
+    d = _chunked(rows, keys, order, ts, width_s).withColumn("_rn", F.row_number().over(w))
     d = d.withColumn("_win", F.max(F.when(F.col(won), F.col("_rn"))).over(w.rowsBetween(*_SO_FAR)))
-    cw = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(*_PRIOR)
-    carry = (d.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"), F.max("_win").alias("_lw"))
+    cw = Window.partitionBy(*part_keys(keys)).orderBy(F.col(f"{PART}.{CHUNK}")).rowsBetween(*_PRIOR)
+    carry = (d.groupBy(PART).agg(F.count(F.lit(1)).alias("_n"), F.max("_win").alias("_lw"))
              .withColumn("_n0", F.coalesce(F.sum("_n").over(cw), F.lit(0)))
              .withColumn("_w0", F.coalesce(F.max(F.col("_n0") + F.col("_lw")).over(cw), F.lit(0)))
-             .select(*part, "_n0", "_w0"))
+             .select(PART, "_n0", "_w0"))
     pos = F.col("_n0") + F.col("_rn")
-    return d.join(carry, part).select(*[F.col(x) for x in rows.columns], pos.alias("seq"),
+    return d.join(carry, PART).select(*[F.col(x) for x in rows.columns], pos.alias("seq"),
                                       (pos - F.coalesce(F.col("_n0") + F.col("_win"), F.col("_w0"))).alias("streak"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -108,11 +109,10 @@ def family_score(min_roi: float = 0.02) -> Column:
                + F.least(F.lit(1.0), F.log1p("settled_all") / math.log1p(180)) * 0.05))
 
 
-def own_sides(trades: DataFrame, own_wallet: ColumnOrName | str) -> DataFrame:
-    """Per market, the side of the wallet's last purchase: (condition_id, own_side)."""
+def own_sides(trades: DataFrame, own_wallet: ColumnOrName | str, order: Sequence[str] = ("ts",)) -> DataFrame:
+    """Per market, the side of the wallet's last purchase in ``order``: (condition_id, own_side)."""
     own = trades.where((F.upper("side") == "BUY") & (F.coalesce("outcome", F.lit("")) != "")
                        & (F.col("wallet") == own_wallet))
-    order = [x for x in ("ts", "l_orderkey", "l_linenumber", "trade_id", "seq") if x in trades.columns]
     return own.groupBy("condition_id").agg(F.max_by("outcome", F.struct(*order)).alias("own_side"))
 
 
@@ -167,11 +167,9 @@ def family_weight(trades_with_family: DataFrame, leaders: DataFrame, family_scor
 
 
 def leader_trades(trades: DataFrame, leaders: DataFrame) -> DataFrame:
-    """Leader purchases with the leader's weight.
-
-    ``leaders`` is a top-k result, so its size is bounded by k and broadcasting it is safe.
-    """
-    w = F.broadcast(leaders.select("wallet", F.col("score").alias("weight")))
+    """Leader purchases with the leader's weight. The join side is left to Spark's size check: ``leaders`` may be a top-k
+    list or every wallet."""
+    w = leaders.select("wallet", F.col("score").alias("weight"))
     return trades.where(F.upper("side") == "BUY").join(w, "wallet")
 
 

@@ -24,11 +24,11 @@ def activity_columns(raw: DataFrame) -> DataFrame:
         N.norm_wallet("proxyWallet").alias("wallet"), F.col("conditionId").alias("condition_id"), "type", "side", "outcome",
         F.col("usdcSize").alias("usdc_size"), "size", N.norm_epoch("timestamp").alias("ts"), "title",
         F.coalesce(F.nullif("id", F.lit("")), F.nullif("transactionHash", F.lit("")),
-                   F.left(F.to_json(F.struct(*sorted(raw.columns))), F.lit(120))).alias("event_id"))
+                   F.sha2(F.to_json(F.struct(*sorted(raw.columns))), 256)).alias("event_id"))
 
 
 def read_activity(spark: SparkSession, path: str) -> DataFrame:
-    """Wallet events over all landed pages, one row per id, else transaction, else row text."""
+    """Wallet events over all landed pages, one row per id, else transaction, else hash of the whole row."""
     return activity_columns(_json(spark, path, S.ACTIVITY)).dropDuplicates(["event_id"])
 
 
@@ -85,8 +85,10 @@ def read_token_prices(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    """Event lines; unreadable ones are skipped. ``present`` lists the keys a line held and ``seq`` keeps file order."""
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.monotonically_increasing_id().alias("seq"))
+    """Event lines; unreadable ones are skipped. ``present`` lists the keys a line held. ``seq`` orders lines by file path,
+    then by place: (path, start of the split, row within the split), whatever files and splits share a task."""
+    row = (F.monotonically_increasing_id() % (1 << 33)).alias("row")  # rows of a task come in the order of its splits
+    raw = spark.read.text(path).select("value", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), row).alias("seq"))
     keys = F.json_object_keys("value")
     return (raw.withColumn("present", keys).where(F.col("present").isNotNull())
             .withColumn("r", F.from_json("value", S.METRICS)).select("seq", "present", "r.*").where(F.col("event").isNotNull()))
@@ -138,9 +140,9 @@ def parse_ticks(raw: DataFrame, value: str = "value") -> DataFrame:
         F.col("asset").isNotNull() & (F.coalesce("price", F.lit(0.0)) != 0))
 
 
-def parse_books(raw: DataFrame, value: str = "value", depth: int = 20) -> DataFrame:
-    """Depth messages -> typed levels with the best quotes."""
-    lv = lambda c: F.transform(F.slice(c, 1, depth), lambda x: F.struct(x[0].try_cast("double").alias("price"), x[1].try_cast("double").alias("size")))
+def parse_books(raw: DataFrame, value: str = "value") -> DataFrame:
+    """Depth messages -> all typed levels, best first, with the best quotes."""
+    lv = lambda c: F.transform(c, lambda x: F.struct(x[0].try_cast("double").alias("price"), x[1].try_cast("double").alias("size")))
     m = raw.select(F.from_json(F.col(value).cast("string"), S.BOOK_MSG).alias("m")).select(
         "m.asset", N.norm_epoch("m.ts").alias("ts"), F.coalesce("m.tick", F.lit(0.01)).alias("tick"),
         F.array_sort(lv("m.bids"), lambda a, b: F.when(a["price"] > b["price"], -1).when(a["price"] < b["price"], 1).otherwise(0)).alias("bids"),

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import schemas as S
 from ..operators.calibration import new_rows
 
-LEDGER_COLUMNS = ("time", "market", "asset", "duration", "side", "bet_usdc", "entry", "open_price", "current_price", "true_prob", "mkt_price",
-                  "edge", "mins_left", "order_id", "token_id", "result", "pnl", "bankroll")
+LEDGER_COLUMNS = tuple(x.split()[0] for x in S.LEDGER.split(","))
 
 
 def write_events(events: DataFrame, path: str) -> None:
@@ -23,10 +22,17 @@ def write_ledger(rows: DataFrame, path: str) -> None:
 
 
 def upsert_hist_calib(rows: DataFrame, path: str) -> None:
-    """Appends rows whose (asset, round_ts, side) is not stored yet; the first write wins."""
+    """Appends rows whose (asset, round_ts, side) is not stored yet; the first write wins.
+
+    Only the stored days between the first and the last day of ``rows`` are read. A path that does not exist is an empty
+    store; every other error is raised."""
     spark = rows.sparkSession
-    try:
-        stored = spark.read.parquet(path).select("asset", "round_ts", "side")
-    except AnalysisException:
+    rows = rows.withColumn("day", F.to_date(F.timestamp_seconds("round_ts")))
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        first, last = rows.agg(F.min("day"), F.max("day")).first()
+        stored = spark.read.schema("asset string, round_ts long, side string, day date").parquet(path)
+        stored = stored.where(F.col("day").between(F.lit(first), F.lit(last))).drop("day")
+    else:
         stored = spark.createDataFrame([], "asset string, round_ts long, side string")
-    new_rows(rows, stored).withColumn("day", F.to_date(F.timestamp_seconds("round_ts"))).write.mode("append").partitionBy("day").parquet(path)
+    new_rows(rows, stored).write.mode("append").partitionBy("day").parquet(path)

@@ -95,7 +95,7 @@ def test_title_window_and_key(spark):
     n = R.round_key(F.lit("btc"), F.lit(15), F.lit(0.0), F.lit(0.0), F.lit("0xabcdef0123456789"))
     r = one(spark, s=s, e=e, es=es, ee=ee, k=k, n=n)
     assert (r["s"], r["e"], r["es"], r["ee"]) == (1771680600, 1771681500, 1.0, 2.0)
-    assert r["k"] == "BTC-15m-20260221T133000Z-20260221T134500Z" and r["n"] == "BTC-15m-cid0xabcdef01..."
+    assert r["k"] == "BTC-15m-20260221T133000Z-20260221T134500Z" and r["n"] == "BTC-15m-cid0xabcdef0123456789"
 
 
 def test_families_and_quotes(spark):
@@ -105,5 +105,5 @@ def test_families_and_quotes(spark):
     bid, ask = P.best_quotes(lv(.4, .45), lv(.6, .5))
     bid0, _ = P.best_quotes(F.array().cast("array<struct<price: double, size: double>>"), lv(.6, .5))
     r = one(spark, a=a, m=m, b=b, k=k, f=N.slug_filter(F.lit("btc-updown-5m-1771")), g=N.slug_filter(F.lit("sol-updown-5m-1771")), bid=bid, ask=ask, bid0=bid0)
-    assert (r["a"], r["m"], r["b"], r["k"], r["f"], r["g"]) == ("ETH", 5, "SOL", 5, True, False)
+    assert (r["a"], r["m"], r["b"], r["k"], r["f"], r["g"]) == ("ETH", 5, "SOL", 15, True, False)
     assert (r["bid"], r["ask"]) == (.45, .5) and r["bid0"] == pytest.approx(.4)

@@ -173,11 +173,11 @@ def _(s, d):
     return x.select("asset", V.us("ts").alias("t_us"), F.round("lead_p", 6).alias("lead_p"))
 
 
-@add("price_velocity", V.with_views("ticks", "i AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY t) AS i FROM ticks)") + """
-SELECT x.asset, x.t AS t_us, round(coalesce(x.price - arg_max(y.price, y.i), 0), 6) AS velocity
-FROM i x LEFT JOIN i y ON x.asset = y.asset AND y.i BETWEEN x.i - 39 AND x.i AND y.t <= x.t - 14400000000 GROUP BY x.asset, x.t, x.price""")
+@add("price_velocity", V.with_views("ticks") + """
+SELECT x.asset, x.t AS t_us, round(coalesce(x.price - y.price, 0), 6) AS velocity
+FROM (SELECT *, t - 14400000000 AS t0 FROM ticks) x ASOF LEFT JOIN ticks y ON x.asset = y.asset AND x.t0 >= y.t""")
 def _(s, d):
-    x = X.price_velocity(V.ticks(s, d), min_age_s=14_400, block=BLOCK)
+    x = X.price_velocity(V.ticks(s, d), min_age_s=14_400)
     return x.select("asset", V.us("ts").alias("t_us"), F.round("velocity", 6).alias("velocity"))
 
 

@@ -184,7 +184,7 @@ def _(s, d):
 
 @add("sample_prior", V.with_views("resolves", f"""nw AS (SELECT *, row_number() OVER (PARTITION BY asset, duration, side ORDER BY t DESC, l_orderkey DESC, l_linenumber DESC, l_partkey DESC) AS rn FROM resolves)""",
     """g AS (SELECT asset, duration, side, count(*) AS n, count(*) FILTER (WHERE won) AS wins, sum(pnl) AS p, coalesce(sum(pnl) FILTER (WHERE pnl > 0), 0) AS gw, coalesce(-sum(pnl) FILTER (WHERE pnl < 0), 0) AS gl
-    FROM nw WHERE rn <= 200 GROUP BY 1, 2, 3)""") + f"""
+    FROM nw GROUP BY 1, 2, 3)""") + f"""
 SELECT asset, duration, side, n, wins, {rnd('wins / n', 6)} AS wr, {rnd(wilson_sql('wins', 'n'), 6)} AS wr_lb, {rnd('p / n', 6)} AS expectancy, {rnd(pf_sql('gw', 'gl'), 6)} AS pf FROM g""")
 def _(s, d):
     return R.sample_prior(V.resolves(s, d), ["asset", "duration", "side"], V.RES_ORDER).withColumns(r6("wr", "wr_lb", "expectancy", "pf"))
@@ -192,12 +192,12 @@ def _(s, d):
 
 @add("profile_adjustments", V.with_views("resolves", f"""nw AS (SELECT *, CASE WHEN entry < 0.3 THEN 'low' WHEN entry < 0.55 THEN 'mid' ELSE 'high' END AS band,
     row_number() OVER (PARTITION BY wallet, CASE WHEN entry < 0.3 THEN 'low' WHEN entry < 0.55 THEN 'mid' ELSE 'high' END ORDER BY t DESC, l_orderkey DESC, l_linenumber DESC, l_partkey DESC) AS rn FROM resolves)""",
-    f"""g AS (SELECT wallet, band, count(*) AS n, {wilson_sql('count(*) FILTER (WHERE won)', 'count(*)')} AS lb, avg(pnl) AS e FROM nw WHERE rn <= 60 GROUP BY 1, 2)""") + f"""
+    f"""g AS (SELECT wallet, band, count(*) AS n, {wilson_sql('count(*) FILTER (WHERE won)', 'count(*)')} AS lb, avg(pnl) AS e FROM nw GROUP BY 1, 2)""") + f"""
 SELECT wallet, band, n, {rnd('CASE WHEN n >= 12 THEN greatest(-0.03, least(0.03, (lb - 0.5) * 0.5)) ELSE 0 END', 6)} AS prob_adj,
   CASE WHEN n >= 12 AND lb >= 0.54 AND e > 0 THEN 1 WHEN n >= 12 AND lb <= 0.44 AND e < 0 THEN -1 ELSE 0 END AS score_adj FROM g""")
 def _(s, d):
     band = F.when(F.col("entry") < 0.3, "low").when(F.col("entry") < 0.55, "mid").otherwise("high")
-    p = R.sample_prior(V.resolves(s, d).withColumn("band", band), ["wallet", "band"], V.RES_ORDER, keep=60)
+    p = R.sample_prior(V.resolves(s, d).withColumn("band", band), ["wallet", "band"], V.RES_ORDER)
     return R.profile_adjustments(p).select("wallet", "band", "n", round_to("prob_adj", 6).alias("prob_adj"), "score_adj")
 
 

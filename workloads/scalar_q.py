@@ -109,7 +109,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
   upper(asset) || '-' || duration || 'm-' || CASE WHEN is_exact
     THEN strftime(make_timestamp(floor(start_s)::BIGINT * 1000000), '%Y%m%dT%H%M%SZ') || '-'
       || strftime(make_timestamp(floor(end_s)::BIGINT * 1000000), '%Y%m%dT%H%M%SZ')
-    ELSE 'cid' || left(l_orderkey::VARCHAR, 10) || '...' END AS round_key,
+    ELSE 'cid' || l_orderkey::VARCHAR END AS round_key,
   upper(asset) || '-' || duration || 'm-' || CASE WHEN is_exact
     THEN strftime(make_timestamp(floor(start_s)::BIGINT * 1000000), '%Y%m%dT%H%M%SZ') || '-'
       || strftime(make_timestamp(floor(end_s)::BIGINT * 1000000), '%Y%m%dT%H%M%SZ')

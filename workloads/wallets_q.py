@@ -14,6 +14,7 @@ add = REGISTERED.add
 
 NOW = 1_706_745_600.0  # the day after the last event
 OWN = 1
+OWN_ORDER = ("ts", "l_orderkey", "l_linenumber")
 
 _BUY = "type IN ('TRADE', 'BUY', 'PURCHASE') AND coalesce(side, 'BUY') = 'BUY'"
 _BUY_STRICT = "type IN ('TRADE', 'BUY', 'PURCHASE') AND coalesce(side, '') = 'BUY'"
@@ -84,13 +85,13 @@ affinity AS (
      "SELECT condition_id, wallet, outcome, n, round(usdc, 4) AS usdc, same_side FROM peers")
 def _(s, d):
     t = V.trades(s, d)
-    p = W.peer_trades(t, W.own_sides(t, OWN), OWN)
+    p = W.peer_trades(t, W.own_sides(t, OWN, OWN_ORDER), OWN)
     return p.select("condition_id", "wallet", "outcome", "n", F.round("usdc", 4).alias("usdc"), "same_side")
 
 
 def _affinity(s, d):
     t = V.trades(s, d)
-    return W.peer_affinity(W.peer_trades(t, W.own_sides(t, OWN), OWN))
+    return W.peer_affinity(W.peer_trades(t, W.own_sides(t, OWN, OWN_ORDER), OWN))
 
 
 @add("peer_affinity", V.with_views("trades", _AFFINITY) +
@@ -109,20 +110,19 @@ def _(s, d):
     return W.top_candidates(x).select("wallet", "same_market_trades", "same_market_usdc")
 
 
-_LEADERS = f"""cand AS (SELECT * FROM affinity ORDER BY same_market_trades DESC, round(same_market_usdc, 4) DESC, wallet LIMIT 80),
-leaders AS (
+_LEADERS = f"""leaders AS (
   SELECT c.wallet, s.settled, s.wins, s.wr, s.roi, c.same_side_ratio, c.same_market_trades, c.same_market_usdc,
     round(greatest(0, least(1, (wr - 0.45) / 0.20)) * 0.45 + greatest(0, least(1, (roi + 0.20) / 0.60)) * 0.25
       + greatest(0, least(1, (same_side_ratio - 0.45) / 0.25)) * 0.20
       + greatest(0, least(1, ln(1 + settled) / ln(61))) * 0.10, 9) AS score
-  FROM cand c JOIN scored s USING (wallet) WHERE s.settled >= 8 AND s.roi >= -1
+  FROM affinity c JOIN scored s USING (wallet) WHERE s.settled >= 8 AND s.roi >= -1
   ORDER BY score DESC, wallet LIMIT 18)"""
-_LEADER_VIEWS = V.with_views("activity trades", _fold_sql(), _score_sql(1800, 5.0), _AFFINITY, _LEADERS)
+_LEADER_VIEWS = V.with_views("activity trades", _fold_sql(), _score_sql(3600, 2.0), _AFFINITY, _LEADERS)
 
 
 def _leaders(s, d):
     from marketlens.plans.leaderboard import leaders
-    return leaders(V.trades(s, d), V.activity(s, d), OWN, NOW, lag_s=1800, min_bet=5.0, min_roi=-1.0)
+    return leaders(V.trades(s, d), V.activity(s, d), OWN, NOW, min_roi=-1.0, order=OWN_ORDER)
 
 
 @add("top_leaders", _LEADER_VIEWS + """SELECT wallet, round(score, 6) AS score, settled, wins, round(wr, 6) AS wr, round(roi, 6) AS roi,
@@ -163,13 +163,18 @@ def _(s, d):
     return W.market_side_flow(W.leader_trades(V.trades(s, d), _leaders(s, d)))
 
 
-@add("leaderboard_job", _LEADER_VIEWS.rstrip() + ",\n" + _FLOW + """
+_OWN_FLOW = f"""weighted AS (SELECT k.*, l.score AS weight FROM trades k JOIN leaders l USING (wallet) WHERE k.side = 'BUY' AND k.wallet <> {OWN}
+    AND k.condition_id IN (SELECT condition_id FROM trades WHERE wallet = {OWN} AND side = 'BUY' AND outcome <> '')),
+""" + _FLOW.split("\n", 1)[1]
+
+
+@add("leaderboard_job", _LEADER_VIEWS.rstrip() + ",\n" + _OWN_FLOW + """
 SELECT 'leader' AS kind, wallet AS id, round(score, 6) AS a, round(wr, 6) AS b, settled AS n FROM leaders
 UNION ALL SELECT 'market', condition_id, round(round(u / (u + dn), 9), 4), round(round(dn / (u + dn), 9), 4), round_even(round((u + dn) * 10, 8), 0)::BIGINT
 FROM flow WHERE u + dn > 0""")
 def _(s, d):
     from marketlens.plans.leaderboard import build_leaderboard
-    lead, flow = build_leaderboard(V.trades(s, d), V.activity(s, d), OWN, NOW, lag_s=1800, min_bet=5.0, min_roi=-1.0)
+    lead, flow = build_leaderboard(V.trades(s, d), V.activity(s, d), OWN, NOW, min_roi=-1.0, order=OWN_ORDER)
     a = lead.select(F.lit("leader").alias("kind"), F.col("wallet").alias("id"), F.round("score", 6).alias("a"),
                     F.round("wr", 6).alias("b"), F.col("settled").alias("n"))
     b = flow.select(F.lit("market").alias("kind"), F.col("condition_id").alias("id"), F.col("up").alias("a"),
