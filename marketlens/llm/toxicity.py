@@ -21,7 +21,7 @@ LANES = 1024
 CACHE = 60_000
 #: Training sample: at most this many labelled texts of each class, of at most MAX_CHARS characters; rounds of
 #: choosing the window that speaks most for the label, and steps in each.
-PER_CLASS, MAX_CHARS, ROUNDS, STEPS = 1200, 12_000, 6, 60
+PER_CLASS, MAX_CHARS, ROUNDS, STEPS = 1000, 12_000, 6, 60
 #: Share of the negative training windows in which one of their words is repeated throughout: it is no more toxic so.
 REPEATED = 0.15
 ACCEPT = 0.7
@@ -254,10 +254,16 @@ def gradients(model: ToxModel, words: np.ndarray, chars: np.ndarray, counts: np.
 
 def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> list[tuple[int, str]]:
     """The bounded training sample: at most per_class texts of each label, first by hash, of at most MAX_CHARS characters
-    (longer texts are left out of training, never cut; all are scored)."""
-    x = docs.filter(F.length("text").between(1, MAX_CHARS)).select("doc_id", "text")
-    x = labelled(x, labels, "toxic").filter("y IN (0.0, 1.0)").select(F.col("y").cast("int").alias("y"), "text", F.xxhash64("text").alias("o"))
-    return [(r["y"], r["text"]) for r in sample_per_class(x, "y", F.struct("o", "text"), per_class).select("y", "text").collect()]
+    (longer texts are left out of training, never cut; all are scored). The sample's ids are drawn first, from ids and
+    hashes alone; then the texts of these ids are fetched, so no other text moves."""
+    light = docs.filter(F.length("text").between(1, MAX_CHARS)).select("doc_id", F.xxhash64("text").alias("o"))
+    light = labelled(light, labels, "toxic").filter("y IN (0.0, 1.0)")
+    ids = [(r["doc_id"], int(r["y"])) for r in sample_per_class(light, "y", F.struct("o", "doc_id"), per_class).select("doc_id", "y").collect()]
+    if not ids:
+        return []
+    drawn = docs.sparkSession.createDataFrame(sorted(set(ids)), "i long, y int")
+    got = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("i")).filter(F.length("text").between(1, MAX_CHARS))
+    return [(r["y"], r["text"]) for r in got.select("y", "text").collect()]
 
 
 def score_text(df: DataFrame, model: ToxModel, text: str = "text", into: str = "score", at: str = "window_start") -> DataFrame:
