@@ -43,15 +43,15 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     return int.from_bytes(np.packbits(bits).tobytes(), "big")
 
 
-def with_fingerprint(df: DataFrame, text: str = "text", shingle: int = 4) -> DataFrame:
-    """``df`` with ``fp`` (signed long holding the 64 bits). Null and empty texts: 0. Words are split at the ASCII white
+def with_fingerprint(df: DataFrame, text: str = "text", shingle: int = 4, into: str = "fp") -> DataFrame:
+    """``df`` with a fingerprint (signed long holding the 64 bits). Null and empty texts: 0. Words are split at the ASCII white
     space that ``bytes.split`` knows (0x09-0x0D, 0x20); only A-Z are lower-cased. Equal texts get equal results."""
     def make():
         def f(texts: list) -> dict:
-            return {"fp": np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)}
+            return {into: np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)}
         return f
 
-    return with_text_column(df, text, make, "fp long")
+    return with_text_column(df, text, make, f"{into} long")
 
 
 def popcount(x: np.ndarray) -> np.ndarray:
@@ -227,8 +227,9 @@ def keep_first(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
     named = df.join(keep, F.col(doc_id) == F.col("__k")).drop("__k")
     order = Window.partitionBy(doc_id).orderBy(*[F.col(c).asc_nulls_last() for c in df.columns if c != doc_id])
     named = named.withColumn("__r", F.row_number().over(order)).filter("__r = 1").drop("__r")
-    bare = with_fingerprint(df.filter(F.col(doc_id).isNull()), text)
-    bare = bare.join(groups.filter("component_id IS NULL").select(F.conv("fingerprint", 16, -10).cast("long").alias("fp")).distinct(), "fp", "left_semi")
-    order = Window.partitionBy("fp").orderBy(*[F.col(c).asc_nulls_last() for c in df.columns if c != doc_id])
+    bare = with_fingerprint(df.filter(F.col(doc_id).isNull()), text, options.get("shingle", 4), "__fp")
+    lone = groups.filter("component_id IS NULL").select(F.conv("fingerprint", 16, -10).cast("long").alias("__fp")).distinct()
+    bare = bare.join(lone, "__fp", "left_semi")
+    order = Window.partitionBy("__fp").orderBy(*[F.col(c).asc_nulls_last() for c in df.columns if c != doc_id])
     bare = bare.withColumn("__r", F.row_number().over(order)).filter("__r = 1").select(*df.columns)
     return named.unionByName(bare)
