@@ -13,6 +13,10 @@ from .ordered import CHUNK, add_chunk
 DAY_S = 86_400
 
 
+#: Rows whose runs are summed up together for every band.
+BLOCK_ROWS = 4096
+
+
 def price_grid(lo: float = 0.08, hi: float = 0.40, step: float = 0.005) -> list[float]:
     """Grid points by repeated addition, each rounded to 6 places."""
     out, x = [], lo
@@ -96,34 +100,36 @@ def band_totals(samples: DataFrame, grid: list[float], *, stake: float = 0.99) -
 def band_loss_streaks(samples: DataFrame, grid: list[float], *, tie: str = "slug", width_s: float = DAY_S) -> DataFrame:
     """Longest losing run of every band in time order.
 
-    A time chunk is summed up per band by (rows, losses before the first win, losses after the last
-    win, longest run); chunks are then merged in order like ``loss_streak_rows``. Inside a chunk one
-    row updates all bands that hold its cell as one slice of an array.
+    A block of at most BLOCK_ROWS rows is summed up per band by (rows, losses before the first win, losses after
+    the last win, longest run), by vector operations over the block for each band; blocks are then merged in
+    order like ``loss_streak_rows``.
     """
     k = len(grid)
     d = _with_cell(add_chunk(samples, "end_ts", width_s), grid).select(CHUNK, "_cell", "low_won", F.col("end_ts").alias("_t"), F.col(tie).alias("_tie"))
     i, j = np.triu_indices(k, 1)
-    schema = T.StructType([T.StructField(CHUNK, T.LongType()), *[T.StructField(x, T.ArrayType(T.LongType())) for x in ("n", "head", "tail", "best", "won")]])
+    schema = T.StructType([T.StructField(CHUNK, T.LongType()), T.StructField("_sub", T.LongType()), *[T.StructField(x, T.ArrayType(T.LongType())) for x in ("n", "head", "tail", "best", "won")]])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_t", "_tie"])
-        n, head, tail, best, won = (np.zeros((k, k), dtype=np.int64) for _ in range(5))
-        for cell, win in zip(pdf["_cell"].to_numpy(), pdf["low_won"].to_numpy()):
-            s = np.s_[: cell + 1, cell + 1:]
-            n[s] += 1
-            if win:
-                tail[s] = 0
-                won[s] = 1
-            else:
-                tail[s] += 1
-                np.maximum(best[s], tail[s], out=best[s])
-                head[s] += won[s] == 0
-        return pd.DataFrame({CHUNK: [pdf[CHUNK].iloc[0]], **{nm: [a[i, j].tolist()] for nm, a in
-                                                             (("n", n), ("head", head), ("tail", tail), ("best", best), ("won", won))}})
+        cells, wins = pdf["_cell"].to_numpy(), pdf["low_won"].to_numpy(dtype=bool)
+        out = []
+        for sub, s in enumerate(range(0, len(pdf), BLOCK_ROWS)):
+            cell, win = cells[s: s + BLOCK_ROWS], wins[s: s + BLOCK_ROWS]
+            stats = np.zeros((5, len(i)), dtype=np.int64)
+            for b in range(len(i)):
+                own = win[(cell >= i[b]) & (cell < j[b])]
+                at = np.flatnonzero(own)
+                if len(at):
+                    head, tail = at[0], len(own) - 1 - at[-1]
+                    stats[:, b] = len(own), head, tail, max(head, tail, np.diff(at).max(initial=1) - 1), 1
+                else:
+                    stats[:, b] = len(own), len(own), len(own), len(own), 0
+            out.append([pdf[CHUNK].iloc[0], sub, *stats.tolist()])
+        return pd.DataFrame(out, columns=schema.names)
 
     per = d.groupBy(CHUNK).applyInPandas(run, schema)
-    bands = per.select(CHUNK, F.posexplode(F.arrays_zip("n", "head", "tail", "best", "won")).alias("b", "x")).select(CHUNK, "b", "x.*").where("n > 0")
-    w = Window.partitionBy("b").orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    bands = per.select(CHUNK, "_sub", F.posexplode(F.arrays_zip("n", "head", "tail", "best", "won")).alias("b", "x")).select(CHUNK, "_sub", "b", "x.*").where("n > 0")
+    w = Window.partitionBy("b").orderBy(CHUNK, "_sub").rowsBetween(Window.unboundedPreceding, -1)
     bands = bands.withColumn("_n0", F.coalesce(F.sum("n").over(w), F.lit(0)))
     bands = bands.withColumn("_w0", F.coalesce(F.max(F.when(F.col("won") == 1, F.col("_n0") + F.col("n") - F.col("tail"))).over(w), F.lit(0)))
     out = bands.groupBy("b").agg(F.max(F.greatest("best", F.when(F.col("head") > 0, F.col("_n0") - F.col("_w0") + F.col("head")).otherwise(0))).alias("max_loss_streak"))

@@ -38,9 +38,6 @@ def _(s, d):
     return B.band_totals(samples(s, d), _GRID).select("lo", "hi", F.col("n").cast("bigint").alias("n"), F.col("wins").cast("bigint").alias("wins"), round_to("gp", 4).alias("gp"))
 
 
-# A coarser grid keeps the twin's window over (band x sample) pairs affordable; the Spark side does not form them.
-_GRID6 = B.price_grid(0.08, 0.40, 0.04)
-_BANDS6 = _BANDS.replace(", ".join(f"{g}::DOUBLE" for g in _GRID), ", ".join(f"{g}::DOUBLE" for g in _GRID6))
 _SCAN = f"""bs AS (SELECT lo, hi, t, slug, p_low, low_won, row_number() OVER (PARTITION BY lo, hi ORDER BY t, slug) AS i FROM bands JOIN samples ON p_low >= lo AND p_low < hi),
 st AS (SELECT *, i - coalesce(max(CASE WHEN low_won THEN i END) OVER (PARTITION BY lo, hi ORDER BY i), 0) AS streak FROM bs),
 scan AS (SELECT lo, hi, count(*) AS n, count(*) FILTER (WHERE low_won) AS wins, sum(CASE WHEN low_won THEN 0.99 * (1 / p_low - 1) ELSE 0 END) AS gp, count(*) FILTER (WHERE NOT low_won) * 0.99 AS gl, max(streak) AS mls FROM st GROUP BY 1, 2)"""
@@ -48,19 +45,19 @@ _SCAN_SEL = f"SELECT lo, hi, n, wins, {rnd('wins / n', 6)} AS wr, {rnd('gp / gl'
 
 
 def scan(s, d):
-    x = B.band_profit_scan(samples(s, d), grid=_GRID6, width_s=180 * DAY)
+    x = B.band_profit_scan(samples(s, d), grid=_GRID, width_s=180 * DAY)
     return x.select("lo", "hi", F.col("n").cast("bigint").alias("n"), F.col("wins").cast("bigint").alias("wins"), round_to("wr", 6).alias("wr"), round_to("pf", 6).alias("pf"),
                     round_to("bank_final", 4).alias("bank_final"), round_to("pnl", 4).alias("pnl"), "max_loss_streak")
 
 
-@add("band_profit_scan", f"WITH {_SAMPLES},\n{_BANDS6},\n{_SCAN}\n{_SCAN_SEL}")
+@add("band_profit_scan", f"WITH {_SAMPLES},\n{_BANDS},\n{_SCAN}\n{_SCAN_SEL}")
 def _(s, d):
     return scan(s, d)
 
 
-@add("best_bands", f"WITH {_SAMPLES},\n{_BANDS6},\n{_SCAN}\n{_SCAN_SEL} ORDER BY pf DESC, n DESC, lo, hi LIMIT 10")
+@add("best_bands", f"WITH {_SAMPLES},\n{_BANDS},\n{_SCAN}\n{_SCAN_SEL} ORDER BY pf DESC, n DESC, lo, hi LIMIT 20")
 def _(s, d):
-    return B.best_bands(scan(s, d), 10)
+    return B.best_bands(scan(s, d))
 
 
 @add("low_side_samples", """WITH tp AS (SELECT l_partkey AS pk, CASE WHEN l_linenumber % 2 = 0 THEN 'u' ELSE 'd' END AS tok, epoch_us(l_shipdate) AS t, round(l_discount * 9 + 0.05, 4) AS p FROM lineitem),
