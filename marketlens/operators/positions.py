@@ -266,32 +266,41 @@ def exposure_caps(regimes: DataFrame, by: Sequence[str], *, trend: tuple[float,
 
 
 def pick_with_caps(signals: DataFrame, slot: Sequence[str], *, bankroll: float, max_open: int = 8, max_cid_pct: float = 0.10,
-                   total_cap: float = 0.60, side_cap: float = 0.40) -> DataFrame:
+                   total_cap: float | str = 0.60, side_cap: float | str = 0.40, open_positions: DataFrame | None = None) -> DataFrame:
     """Greedy picks per decision time in rank order, skipping signals that break a cap.
 
+    ``open_positions`` (slot columns, condition_id, fingerprint, side, size) are those held at each decision time: they
+    take slots and count towards every cap before the first signal. ``total_cap`` and ``side_cap`` are shares of the
+    bankroll, or names of columns that hold them per decision time (``exposure_caps``).
+
     Greedy picks depend on order. Partitions hold whole decision times sorted by rank and stream through
     Arrow batches, so no decision time is collected; the running totals are the only state. Expects
     rank, condition_id, fingerprint, side, size.
     """
-    slot = list(slot)
+    slot, names = list(slot), signals.columns
+    share = lambda x: F.col(x) if isinstance(x, str) else F.lit(float(x))
+    d = signals.withColumns({"_held": F.lit(False), "_tc": share(total_cap), "_sc": share(side_cap)})
+    if open_positions is not None:
+        d = d.unionByName(open_positions.select(*slot, "condition_id", "fingerprint", "side", "size").withColumn("_held", F.lit(True)), allowMissingColumns=True)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, total, n, used = None, 0.0, 0, {}
         for pdf in batches:
             keep = []
-            for at, cid, fp, side, size in zip(pdf[slot].itertuples(index=False, name=None), pdf["condition_id"], pdf["fingerprint"], pdf["side"], pdf["size"]):
+            for at, cid, fp, side, size, held, tc, sc in zip(pdf[slot].itertuples(index=False, name=None), *(pdf[x] for x in ("condition_id", "fingerprint", "side", "size", "_held", "_tc", "_sc"))):
                 if at != now:
                     now, total, n, used = at, 0.0, 0, {}
                 other, size = "Down" if side == "Up" else "Up", max(0.0, size)
                 mine = [("cid", cid, side), ("round", fp, side)]
-                ok = (n < max_open and not used.get(("cid", cid, other)) and not used.get(("round", fp, other))
+                ok = held or (n < max_open and not used.get(("cid", cid, other)) and not used.get(("round", fp, other))
                       and all(k not in used or used[k] + size <= bankroll * max_cid_pct for k in mine)
-                      and total + size <= bankroll * total_cap and used.get(("side", side), 0.0) + size <= bankroll * side_cap)
-                keep.append(ok)
+                      and total + size <= bankroll * tc and used.get(("side", side), 0.0) + size <= bankroll * sc)
+                keep.append(ok and not held)
                 if ok:
                     total, n = total + size, n + 1
                     for k in (*mine, ("side", side)):
                         used[k] = used.get(k, 0.0) + size
-            yield pdf[keep]
+            yield pdf.loc[keep, names]
 
-    return signals.repartition(*slot).sortWithinPartitions(*slot, "rank").mapInPandas(run, T.StructType(signals.schema.fields))
+    d = d.repartition(*slot).sortWithinPartitions(*slot, F.col("_held").desc(), "rank")
+    return d.mapInPandas(run, T.StructType(signals.schema.fields))

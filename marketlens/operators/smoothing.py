@@ -92,30 +92,32 @@ def velocity_prob(pos: ColumnOrName, vel: ColumnOrName, vol: ColumnOrName | floa
     return F.when(F.coalesce(c(pos), F.lit(0.0)) == 0, F.lit(0.5)).otherwise(norm_cdf(c(vel) / per_sec * 10.0))
 
 
+FILTER_START = (0.0, 0.0, 1.0, 0.0, 0.01)
+
+
+def filter_step(state: tuple, dt: float, price: float, vol: float) -> tuple:
+    """One step of the constant-velocity filter: (position, velocity, three covariance terms). Noise scales with
+    volatility and price; the cross term enters the position variance once."""
+    pos, vel, p00, p01, p11 = state
+    q = (vol * price / math.sqrt(SECONDS_PER_YEAR)) ** 2
+    r = (vol * price * 0.001) ** 2
+    pos += vel * dt
+    p00 += dt * p01 + dt * dt * p11 + q
+    p01 += dt * p11
+    p11 += q * 0.01
+    gain_p, gain_v, miss = p00 / (p00 + r), p01 / (p00 + r), price - pos
+    return pos + gain_p * miss, vel + gain_v * miss, (1.0 - gain_p) * p00, (1.0 - gain_p) * p01, p11 - gain_v * p01
+
+
 def _filter_rows(t: list[float], price: list[float], vol: list[float]) -> tuple[list[float], list[float]]:
-    """Constant-velocity filter over one block; noise scales with volatility and price."""
-    pos_out, vel_out = [], []
-    pos = vel = 0.0
-    p00, p01, p11 = 1.0, 0.0, 0.01
+    """The filter over one block; the first row sets the position."""
+    pos, vel, state = [], [], (price[0], *FILTER_START[1:]) if price else FILTER_START
     for i, z in enumerate(price):
-        if i == 0:
-            pos, vel = z, 0.0
-        else:
-            dt = t[i] - t[i - 1]
-            q = (vol[i] * z / math.sqrt(SECONDS_PER_YEAR)) ** 2
-            r = (vol[i] * z * 0.001) ** 2
-            # Predict; the cross term enters the position variance once.
-            pos += vel * dt
-            p00 += dt * p01 + dt * dt * p11 + q
-            p01 += dt * p11
-            p11 += q * 0.01
-            # Update.
-            gain_p, gain_v, miss = p00 / (p00 + r), p01 / (p00 + r), z - pos
-            pos, vel = pos + gain_p * miss, vel + gain_v * miss
-            p00, p01, p11 = (1.0 - gain_p) * p00, (1.0 - gain_p) * p01, p11 - gain_v * p01
-        pos_out.append(pos)
-        vel_out.append(vel)
-    return pos_out, vel_out
+        if i:
+            state = filter_step(state, t[i] - t[i - 1], z, vol[i])
+        pos.append(state[0])
+        vel.append(state[1])
+    return pos, vel
 
 
 def kalman_velocity(ticks: DataFrame, *, keys: Sequence[str] = ("asset",), ts: str = "ts", price: str = "price", vol: str = "vol",

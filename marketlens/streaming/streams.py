@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.smoothing import TAUS
+from ..operators.smoothing import FILTER_START, TAUS, filter_step
 from ..operators.wallets import leader_style
 
 
@@ -73,11 +73,13 @@ def latest_per_market(snapshots: DataFrame, every: str = "250 milliseconds", *,
 
 
 def entry_resolve_stream(entries: DataFrame, resolves: DataFrame, *, within: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """RESOLVE rows left-joined to the ENTRY of their market inside a time limit."""
+    """RESOLVE rows with the last ENTRY of their market inside a time limit, nulls where there is none. A row comes out once
+    the watermark shows that no later ENTRY can reach it."""
     e = entries.withWatermark("ts", late).select(F.col("condition_id").alias("_cid"), F.col("ts").alias("_ets"), "score", "open_price_source")
     r = resolves.withWatermark("ts", late)
-    return r.join(e, (F.col("condition_id") == F.col("_cid")) & (F.col("_ets") <= F.col("ts")) & (F.col("_ets") >= F.col("ts") - F.expr(f"INTERVAL {within}")),
-                  "leftOuter").drop("_cid")
+    both = r.join(e, (F.col("condition_id") == F.col("_cid")) & (F.col("_ets") <= F.col("ts")) & (F.col("_ets") >= F.col("ts") - F.expr(f"INTERVAL {within}")), "leftOuter")
+    last = both.groupBy(*resolves.columns).agg(F.max_by(F.struct("_ets", "score", "open_price_source"), "_ets").alias("_e"))
+    return last.select(*resolves.columns, "_e._ets", "_e.score", "_e.open_price_source")
 
 
 def dedupe_seen(rows: DataFrame, key: str, *, within: str = "1 hour", ts: str = "ts") -> DataFrame:
@@ -93,48 +95,118 @@ def flow_refresh(write_to, leaders: DataFrame):
     return run
 
 
+_FLOW_OUT = "condition_id string, up double, down double, n long"
+
+
+def leader_flow_stream(trades: DataFrame, leaders: DataFrame, *, late: str = "10 minutes", idle_s: float = 86_400) -> DataFrame:
+    """Leader-weighted Up / Down share of every market over all its purchases so far (update mode).
+
+    State is two sums and the last time per market; it goes once the watermark is ``idle_s`` past the last purchase."""
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        up, down, last = state.get if state.exists else (0.0, 0.0, 0)
+        for pdf in frames:
+            up += float(pdf.loc[pdf["outcome"] == "Up", "weight"].sum())
+            down += float(pdf.loc[pdf["outcome"] == "Down", "weight"].sum())
+            last = max(last, int(pdf["ts"].max().value // 1_000_000))
+        state.update((up, down, last))
+        state.setTimeoutTimestamp(max(last + int(idle_s * 1000), state.getCurrentWatermarkMs() + 1))
+        if up + down > 0:
+            s = up + down
+            yield pd.DataFrame({"condition_id": [key[0]], "up": [round(round(up / s, 9), 4)], "down": [round(round(down / s, 9), 4)], "n": [round(round(s * 10, 8))]})
+
+    buys = trades.withWatermark("ts", late).where(F.upper("side") == "BUY").join(leaders.select("wallet", F.col("score").alias("weight")), "wallet")
+    return buys.select("condition_id", "ts", "outcome", "weight").groupBy("condition_id").applyInPandasWithState(run, _FLOW_OUT, "up double, down double, last_ms long", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+_KALMAN_OUT = "asset string, ts timestamp, price double, pos double, vel double"
+
+
+def kalman_stream(ticks: DataFrame, *, late: str = "10 seconds", idle_s: float = 86_400) -> DataFrame:
+    """Filtered position and velocity per asset: (asset, ts, price, vol) in, one row per tick out.
+
+    Ticks of a micro-batch are taken in time order; a tick older than the last one used is dropped (the filter cannot go
+    back). State goes once the watermark is ``idle_s`` past the last tick."""
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, *s = state.get if state.exists else (None, *FILTER_START)
+        out = []
+        for row in pd.concat(list(frames)).sort_values("ts").itertuples(index=False):
+            now = row.ts.value / 1e9
+            if last is not None and now < last:
+                continue
+            s = (row.price, *FILTER_START[1:]) if last is None else filter_step(tuple(s), now - last, row.price, row.vol)
+            last = now
+            out.append((key[0], row.ts, row.price, s[0], s[1]))
+        state.update((last, *s))
+        state.setTimeoutTimestamp(max(int((last + idle_s) * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["asset", "ts", "price", "pos", "vel"])
+
+    d = ticks.withWatermark("ts", late).select("asset", "ts", "price", "vol").groupBy("asset")
+    return d.applyInPandasWithState(run, _KALMAN_OUT, "last_s double, pos double, vel double, p00 double, p01 double, p11 double", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 _EMA_OUT = "asset string, ts timestamp, price double, " + ", ".join(f"ema_{t} double" for t in TAUS)
 _EMA_STATE = "last_s double, " + ", ".join(f"e{t} double" for t in TAUS)
 
 
-def ema_stream(ticks: DataFrame) -> DataFrame:
-    """Running time-decayed averages per asset; state is one number per time constant."""
+def ema_stream(ticks: DataFrame, *, late: str = "10 seconds", idle_s: float = 86_400) -> DataFrame:
+    """Running time-decayed averages per asset; state is one number per time constant.
+
+    A tick older than the last one gets the averages without decay and does not move the clock back. State goes once the
+    watermark is ``idle_s`` past the last tick."""
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         pdf = pd.concat(list(frames)).sort_values("ts")
         last, *ema = state.get if state.exists else (None, *[0.0] * len(TAUS))
         out = []
         for ts, price in zip(pdf["ts"], pdf["price"]):
             now = ts.value / 1e9
             ema = [price if last is None else e + (1.0 - math.exp(-max(0.0, now - last) / tau)) * (price - e) for e, tau in zip(ema, TAUS)]
-            last = now
+            last = now if last is None else max(last, now)
             out.append((key[0], ts, price, *ema))
         state.update((last, *ema))
+        state.setTimeoutTimestamp(max(int((last + idle_s) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["asset", "ts", "price", *[f"ema_{t}" for t in TAUS]])
 
-    return ticks.select("asset", "ts", "price").groupBy("asset").applyInPandasWithState(run, _EMA_OUT, _EMA_STATE, "append", GroupStateTimeout.NoTimeout)
+    d = ticks.withWatermark("ts", late).select("asset", "ts", "price").groupBy("asset")
+    return d.applyInPandasWithState(run, _EMA_OUT, _EMA_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 _QUEUE_OUT = "condition_id string, end_ts timestamp, status string"
 
 
-def settlement_stream(pending: DataFrame, *, late: str = "10 seconds") -> DataFrame:
+def settlement_stream(pending: DataFrame, *, late: str = "10 seconds", forget_s: float = 86_400) -> DataFrame:
     """Queues every market once its end has passed in event time; a market is queued exactly once.
 
-    ``pending`` has (condition_id, ts, end_ts). Timers fire on the watermark, so a settled market is
-    not emitted again when its rows repeat.
+    ``pending`` has (condition_id, ts, end_ts). Timers fire on the watermark. A settled market is remembered for
+    ``forget_s`` of event time, so that rows which repeat until then do not queue it again; then its state goes.
     """
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         end, done = state.get if state.exists else (0, 0)
+        forget = lambda: max(end, state.getCurrentWatermarkMs()) + int(forget_s * 1000) + 1
+        if state.hasTimedOut and done:
+            state.remove()
+            return
         if state.hasTimedOut:
             state.update((end, 1))
+            state.setTimeoutTimestamp(forget())
             yield pd.DataFrame({"condition_id": [key[0]], "end_ts": [pd.Timestamp(end, unit="ms")], "status": ["queued"]})
             return
         for pdf in frames:
             end = max([end, *[int(x.value // 1_000_000) for x in pdf["end_ts"]]])
         if done:
             state.update((end, 1))
+            state.setTimeoutTimestamp(forget())
         elif end <= state.getCurrentWatermarkMs():
             state.update((end, 1))
+            state.setTimeoutTimestamp(forget())
             yield pd.DataFrame({"condition_id": [key[0]], "end_ts": [pd.Timestamp(end, unit="ms")], "status": ["queued"]})
         else:
             state.update((end, 0))

@@ -74,6 +74,15 @@ def test_picks_match_greedy_loop(spark):
     assert got == want
 
 
+def test_picks_count_open_positions_and_caps_per_time(spark):
+    sig = spark.createDataFrame([(t, r, f"c{r}", f"f{r}", "Up" if r % 2 else "Down", 5.0, 0.5 if t else 0.2) for t in (0, 1) for r in range(6)],
+                                "t int, rank int, condition_id string, fingerprint string, side string, size double, cap double")
+    held = spark.createDataFrame([(1, "c0", "x", "Up", 10.0), (1, "y", "f1", "Up", 30.0)], "t int, condition_id string, fingerprint string, side string, size double")
+    got = sorted((r.t, r["rank"]) for r in P.pick_with_caps(sig, ["t"], bankroll=100.0, max_open=4, total_cap="cap", side_cap=0.45, open_positions=held).collect())
+    # t=0: four picks of 5 fill the cap of 20. t=1: two held; c0 is held on the other side, f1 is full, then 40 of 50 is used
+    assert got == [(0, 0), (0, 1), (0, 2), (0, 3), (1, 2), (1, 3)]
+
+
 def test_platt_recovers_slope(spark):
     import math
     import random
