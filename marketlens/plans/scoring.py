@@ -325,14 +325,17 @@ def entry_and_size(s: DataFrame, cfg: EntryConfig = EntryConfig()) -> DataFrame:
 
 
 def score_snapshot(s: DataFrame, *, mode: str = "prob", entry: EntryConfig = EntryConfig()) -> DataFrame:
-    """The whole funnel; ``reason`` is the first gate that refused, in evaluation order."""
+    """The whole funnel; ``reason`` is the first gate that refused, in evaluation order.
+
+    The gates before scoring read a few columns of the snapshot, so they filter first: a row they refuse is never scored
+    (its scored columns are null), and a caller that counts reasons reads only the gates' columns for it."""
     from ..functions.gates import high_win_reason, snapshot_gate_reason
-    d = copy_adjust(choose_side(llr_posterior(score_sheet(direction(s))), mode=mode))
-    d = d.withColumn("_win", high_win_reason() if mode == "prob" else F.lit("ok"))
-    d = entry_and_size(d.withColumn("_pre", snapshot_gate_reason()), entry)
-    return d.withColumn("reason", F.when(F.col("_pre") != "ok", F.col("_pre"))
-                        .when(F.col("side_blocked"), "edge_hard_block")
-                        .when((F.col("_win") != "ok"), F.col("_win")).otherwise(F.col("size_reason"))).drop("_pre", "_win")
+    d = settle(direction(s).withColumn("_pre", snapshot_gate_reason()))
+    refused = d.where(F.col("_pre") != "ok").withColumnRenamed("_pre", "reason")
+    d = copy_adjust(choose_side(llr_posterior(score_sheet(d.where(F.col("_pre") == "ok").drop("_pre"))), mode=mode))
+    d = entry_and_size(d.withColumn("_win", high_win_reason() if mode == "prob" else F.lit("ok")), entry)
+    d = d.withColumn("reason", F.when(F.col("side_blocked"), "edge_hard_block").when(F.col("_win") != "ok", F.col("_win")).otherwise(F.col("size_reason"))).drop("_win")
+    return d.unionByName(refused, allowMissingColumns=True)
 
 
 # ---------------------------------------------------------------- quality and conviction
