@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.base import clamp, div_or, epoch_us, round_to, step
 from ..functions.prob import TRADING_MINUTES, norm_cdf
 from .asof import asof_backward
-from .ordered import CHUNK, INDEX, OWN, block_window, lookback, own_rows, time_halo
+from .ordered import CHUNK, OWN, add_chunk, block_window, lookback, own_rows, running, time_halo
 
 # Annualised volatility steps and the stake multiplier of each.
 VOL_REGIMES = ((0.40, 0.7), (0.80, 1.0), (1.50, 1.2))
@@ -175,6 +175,29 @@ def window_vwap(bars: DataFrame, round_s: float, keys: Sequence[str] = ("asset",
                                              .otherwise(F.lit(0.0)), 6)))
 
 
+def window_vwap_at(decisions: DataFrame, bars: DataFrame, keys: Sequence[str] = ("asset",), *, at: str = "ts", start: str = "start_ts",
+                   ts: str = "ts", width_s: float = DAY_S, block: int = 65_536) -> DataFrame:
+    """``decisions`` with vwap and vwap_dev as of time ``at``: over the bars since ``start``, or over the last three bars
+    where none has opened since; nulls before the first bar.
+
+    The bars since a round's start are a difference of two running sums, so two as-of joins replace a range join."""
+    typical = (F.col("h") + F.col("l") + F.col("c")) / 3.0
+    b = bars.select(*keys, F.col(ts).alias("_bt"), "c", (typical * F.col("v")).alias("_tv"), F.col("v").alias("_v"))
+    b = running(add_chunk(b, "_bt", width_s), keys, ["_bt"], {"_ctv": ("sum", F.col("_tv")), "_cv": ("sum", F.col("_v"))}).drop(CHUNK)
+    b = lookback(b, keys, ["_bt"], 2, ts="_bt", width_s=width_s, block=block)
+    w = block_window(keys).rowsBetween(-2, 0)
+    b = own_rows(b.withColumns({"_tv3": F.sum("_tv").over(w), "_v3": F.sum("_v").over(w)}))
+    now = asof_backward(decisions, b, list(keys), left_ts=at, right_ts="_bt", width_s=width_s,
+                        take={"_t1": "_ctv", "_v1": "_cv", "_t3": "_tv3", "_v3": "_v3", "_c": "c", "_last": "_bt"})
+    both = asof_backward(now, b, list(keys), left_ts=start, right_ts="_bt", take={"_t0": "_ctv", "_v0": "_cv"}, width_s=width_s, strict=True)
+    since = F.col("_last") >= F.col(start)
+    tv = F.when(since, F.col("_t1") - F.coalesce("_t0", F.lit(0.0))).otherwise(F.col("_t3"))
+    v = F.when(since, F.col("_v1") - F.coalesce("_v0", F.lit(0.0))).otherwise(F.col("_v3"))
+    vwap = F.when(v > 0, F.try_divide(tv, v)).otherwise(F.col("_c"))
+    out = both.withColumn("vwap", vwap).withColumn("vwap_dev", F.when(F.col("vwap") > 0, F.try_divide(F.col("_c") - F.col("vwap"), F.col("vwap"))).when(F.col("vwap").isNotNull(), F.lit(0.0)))
+    return out.select(*decisions.columns, "vwap", "vwap_dev")
+
+
 def ls_crowding(ratio: Column, side_up: Column, long_ext: float = 1.8, short_ext: float = 0.6) -> Column:
     """-1 where the crowd already sits on the side (limits are ours)."""
     return (F.when(side_up & (ratio > long_ext), F.lit(-1)).when(~side_up & (ratio < short_ext), F.lit(-1))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.base import ColumnOrName, c, clamp, div_or, profit_factor, round_to, safe_double, sum_if
+from ..functions.base import ColumnOrName, c, clamp, div_or, epoch_s, profit_factor, round_to, safe_double, sum_if
 from ..functions.normalize import age_bucket, score_bucket
 from ..functions.prob import direction_bias, drawdown_scale, fee_stake, wilson_lb
 from .ordered import CHUNK, PART, add_chunk, balanced_chunks, block_window, lookback, own_rows, part_keys, with_part
@@ -416,3 +420,40 @@ def variant_weights(scores: DataFrame, *, by: Sequence[str] = (), min_samples: i
     return d.withColumn("weight", F.when(thin, F.lit(1.0 / len(VARIANTS))).otherwise(F.col("_raw") / F.sum("_raw").over(w))).drop("_raw")
 
 
+def variant_switch(rows: DataFrame, keys: Sequence[str], order: Sequence[str], *, best: str = "best", hold_s: float = 300, start: str | None = None,
+                   ts: str = "ts") -> DataFrame:
+    """Adds ``active``: the variant in use after each row, where ``best`` takes over at most once per ``hold_s`` seconds.
+
+    ``start`` is in use before the first row (None: the first best). When a switch may happen depends on the switch
+    before, so a run is read in order; partitions hold whole runs sorted and stream through Arrow batches, the state is
+    (active, time of the last switch), and work is done per stretch of equal ``best``, not per row. One run is one task.
+    Rows without a time come first and never switch; a null best changes nothing.
+    """
+    keys, names = list(keys), rows.columns
+    d = rows.withColumn("_at", epoch_s(ts))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run_key, active, last = None, None, -math.inf
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            at, want = pdf["_at"].to_numpy(dtype=float), pdf[best].to_numpy(dtype=object)
+            own = list(pdf[keys].itertuples(index=False, name=None)) if keys else [()] * len(pdf)
+            cut = [i for i in range(len(pdf)) if not i or own[i] != own[i - 1] or want[i] != want[i - 1]]
+            out = np.empty(len(pdf), dtype=object)
+            for s, e in zip(cut, [*cut[1:], len(pdf)]):
+                if own[s] != run_key:
+                    run_key, active, last = own[s], start, -math.inf
+                if active is None:
+                    active = want[s]
+                i = e if want[s] is None or want[s] == active else s + int(np.searchsorted(np.nan_to_num(at[s:e], nan=-math.inf), last + hold_s))
+                if i < e and not math.isfinite(at[i]):
+                    i += int((~np.isfinite(at[i:e])).sum())
+                out[s:i] = active
+                if i < e:
+                    active, last = want[s], at[i]
+                    out[i:e] = active
+            yield pdf[names].assign(active=out)
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("active", T.StringType())])
+    return d.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema) if keys else d.coalesce(1).sortWithinPartitions(*order).mapInPandas(run, schema)

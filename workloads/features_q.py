@@ -127,6 +127,20 @@ def _(s, d):
     return x.select("asset", V.us("ts").alias("t_us"), round_to("vwap", 5).alias("vwap"), "vwap_dev")
 
 
+# Decisions come 30 minutes before and 90 minutes behind a round's start, so that some have no bar of the round yet.
+@add("window_vwap_at", V.with_views("bars rounds", """q AS (SELECT asset, start_t, start_t + u.o::BIGINT * 60000000 AS dt FROM rounds, (SELECT unnest([-30, 90]) AS o) u),
+n AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY t) AS i FROM bars),
+l AS (SELECT q.*, n.i AS i1, n.t AS t1, n.c FROM q ASOF LEFT JOIN n ON q.asset = n.asset AND q.dt >= n.t)""") + f"""
+SELECT asset, start_t AS start_us, dt AS at_us, {rnd('tv / v', 5)} AS vwap, {rnd('(c - tv / v) / (tv / v)', 6)} AS vwap_dev FROM (
+  SELECT l.asset, l.start_t, l.dt, l.c, sum((n.h + n.l + n.c) / 3 * n.v) AS tv, sum(n.v) AS v FROM l
+  LEFT JOIN n ON n.asset = l.asset AND n.i <= l.i1 AND CASE WHEN l.t1 >= l.start_t THEN n.t >= l.start_t ELSE n.i >= l.i1 - 2 END GROUP BY ALL)""")
+def _(s, d):
+    q = V.rounds(s, d).select("asset", "start_ts", F.explode(F.array(F.lit(-30), F.lit(90))).alias("o"))
+    q = q.select("asset", "start_ts", (F.col("start_ts") + F.make_dt_interval(mins=F.col("o"))).alias("at"))
+    x = X.window_vwap_at(q, V.bars(s, d), at="at", block=BLOCK)
+    return x.select("asset", V.us("start_ts").alias("start_us"), V.us("at").alias("at_us"), round_to("vwap", 5).alias("vwap"), round_to("vwap_dev", 6).alias("vwap_dev"))
+
+
 @add("smooth_ofi", V.with_views("bars") + f"""
 SELECT asset, t AS t_us, {rnd(f'CASE WHEN count(x) {W} ROWS 11 PRECEDING) >= 3 THEN avg(x) {W} ROWS 11 PRECEDING) ELSE x END', 6)} AS ofi
 FROM (SELECT *, (2 * taker_v - v) / v AS x FROM bars)""")

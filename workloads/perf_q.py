@@ -408,3 +408,18 @@ def _(s, d):
     x = V.resolves(s, d).withColumn("latency_ms", F.col("size") * 137.0)
     e = S.latency_ema(x, keys=["asset"], order=V.RES_ORDER)
     return e.groupBy("asset").agg(round_to(F.max_by("ema", F.struct(*V.RES_ORDER)), 6).alias("ema"))
+
+
+# Days stand for seconds here: the dates have no time of day.
+_SW = """b AS (SELECT *, CASE l_partkey % 3 WHEN 0 THEN 'balanced' WHEN 1 THEN 'momentum' ELSE 'empirical' END AS best FROM resolves),
+r AS (SELECT wallet, list({'t': t, 'b': best, 'k': l_orderkey, 'l': l_linenumber} ORDER BY t, l_orderkey, l_linenumber, l_partkey) AS xs FROM b GROUP BY 1),
+w AS (SELECT wallet, list_reduce(xs, lambda a, x: CASE WHEN x.b <> a.v AND x.t - a.s >= 864000000000
+    THEN {'v': x.b, 's': x.t, 'o': list_append(a.o, {'k': x.k, 'l': x.l, 'v': x.b})} ELSE {'v': a.v, 's': a.s, 'o': list_append(a.o, {'k': x.k, 'l': x.l, 'v': a.v})} END,
+  {'v': 'balanced', 's': -9000000000000000::BIGINT, 'o': [{'k': 0::BIGINT, 'l': 0::INT, 'v': ''}]}).o[2:] AS os FROM r)"""
+
+
+@add("variant_switch", V.with_views("resolves", _SW) + "SELECT wallet, o.k AS l_orderkey, o.l AS l_linenumber, o.v AS active FROM (SELECT wallet, unnest(os) AS o FROM w)")
+def _(s, d):
+    best = F.element_at(F.array(F.lit("balanced"), F.lit("momentum"), F.lit("empirical")), (F.col("l_partkey") % 3 + 1).cast("int"))
+    x = V.resolves(s, d).select("wallet", *V.RES_ORDER, best.alias("best"))
+    return R.variant_switch(x, ["wallet"], V.RES_ORDER, hold_s=864_000, start="balanced").select("wallet", "l_orderkey", "l_linenumber", "active")
