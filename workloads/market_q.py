@@ -270,12 +270,29 @@ def _(s, d):
     return P.exposure_caps(b, ["ts"]).select(V.us("ts").alias("t_us"), "trending", "assets", "total_cap", "side_cap")
 
 
-@add("pick_with_caps")
+# Slots of a wallet and year hold some 85 signals, far over max_open; one position is held at the start of each. Sizes are
+# exact binary fractions, so sums do not depend on rounding.
+_PICK = """sg AS (SELECT l_suppkey AS w, year(l_shipdate) AS y, row_number() OVER (PARTITION BY l_suppkey, year(l_shipdate) ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey) AS r,
+    l_orderkey AS k, l_linenumber AS l, l_partkey % 40 AS c, l_partkey % 12 AS f, CASE WHEN l_linestatus = 'O' THEN 'Up' ELSE 'Down' END AS s, l_quantity * 0.125 AS z FROM lineitem),
+ls AS (SELECT w, y, list({'k': k, 'l': l, 'c': c, 'f': f, 's': s, 'z': z::DOUBLE} ORDER BY r) AS xs, CASE WHEN y % 2 = 0 THEN 12.0 ELSE 60.0 END AS tc, CASE WHEN y % 2 = 0 THEN 8.0 ELSE 25.0 END AS sc FROM sg GROUP BY 1, 2),
+pk AS (SELECT w, y, list_reduce(xs, lambda a, x: CASE WHEN len(a.p) < 8 AND len(list_filter(a.p, lambda q: (q.c = x.c OR q.f = x.f) AND q.s <> x.s AND q.z > 0)) = 0
+      AND (len(list_filter(a.p, lambda q: q.c = x.c)) = 0 OR coalesce(list_sum(list_transform(list_filter(a.p, lambda q: q.c = x.c AND q.s = x.s), lambda q: q.z)), 0) + x.z <= 10)
+      AND (len(list_filter(a.p, lambda q: q.f = x.f)) = 0 OR coalesce(list_sum(list_transform(list_filter(a.p, lambda q: q.f = x.f AND q.s = x.s), lambda q: q.z)), 0) + x.z <= 10)
+      AND coalesce(list_sum(list_transform(a.p, lambda q: q.z)), 0) + x.z <= a.tc AND coalesce(list_sum(list_transform(list_filter(a.p, lambda q: q.s = x.s), lambda q: q.z)), 0) + x.z <= a.sc
+    THEN {'p': list_append(a.p, x), 'tc': a.tc, 'sc': a.sc} ELSE a END,
+  {'p': [{'k': 0::BIGINT, 'l': 0::INT, 'c': w % 40, 'f': 99::BIGINT, 's': 'Up', 'z': 3.0::DOUBLE}], 'tc': tc::DOUBLE, 'sc': sc::DOUBLE}).p[2:] AS ps FROM ls)"""
+
+
+@add("pick_with_caps", f"WITH {_PICK} SELECT w AS wallet, y AS period, p.k AS l_orderkey, p.l AS l_linenumber, p.s AS side, p.z AS size FROM (SELECT w, y, unnest(ps) AS p FROM pk)")
 def _(s, d):
-    x = V.signals(s, d).withColumns({"slot": F.col("l_orderkey"), "rank": F.col("l_linenumber") * 1_000_000 + F.col("l_partkey"), "condition_id": F.col("l_partkey"),
-                                     "fingerprint": F.concat("asset", F.col("duration").cast("string")), "size": F.col("entry") * 20})
-    y = x.select("slot", "rank", "condition_id", "fingerprint", "side", "size")
-    return P.pick_with_caps(y, ["slot"], bankroll=100.0)
+    x = V.table(s, d, "lineitem")
+    y = F.year("l_shipdate").cast("bigint")
+    sig = x.select(F.col("l_suppkey").alias("wallet"), y.alias("period"), F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey").alias("rank"), "l_orderkey", "l_linenumber",
+                   (F.col("l_partkey") % 40).alias("condition_id"), (F.col("l_partkey") % 12).alias("fingerprint"), F.when(F.col("l_linestatus") == "O", "Up").otherwise("Down").alias("side"),
+                   (F.col("l_quantity") * 0.125).cast("double").alias("size"), F.when(y % 2 == 0, 0.12).otherwise(0.60).alias("tc"), F.when(y % 2 == 0, 0.08).otherwise(0.25).alias("sc"))
+    held = sig.select("wallet", "period").distinct().withColumns({"condition_id": F.col("wallet") % 40, "fingerprint": F.lit(99).cast("bigint"), "side": F.lit("Up"), "size": F.lit(3.0)})
+    got = P.pick_with_caps(sig, ["wallet", "period"], bankroll=100.0, total_cap="tc", side_cap="sc", open_positions=held)
+    return got.select("wallet", "period", "l_orderkey", "l_linenumber", "side", "size")
 
 
 # ---------------------------------------------------------------- calibration
