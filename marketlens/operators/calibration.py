@@ -11,6 +11,7 @@ from ..functions.base import clamp
 from ..functions.prob import logistic, logit
 from .asof import asof_backward
 from .features import BarFrame
+from .ordered import checkpointed
 
 # Correlation of each asset with the leader.
 LEADER_CORR = {"ETH": 0.82, "SOL": 0.80, "XRP": 0.78}
@@ -67,20 +68,25 @@ def calibration_curve(hist: DataFrame, bins: int = 18, lo: float = 0.05, hi: flo
         F.avg(F.pow(F.col("true_prob") - F.col("won"), F.lit(2.0))).alias("brier"))
 
 
-def platt_fit(hist: DataFrame, *, max_iter: int = 50) -> DataFrame:
-    """One row (a, b): P = logistic(a * logit(p) + b) fitted by maximum likelihood.
+def platt_fit(hist: DataFrame, *, steps: int = 20, tol: float = 1e-10) -> DataFrame:
+    """One row (a, b): P = logistic(a * logit(p) + b) fitted by maximum likelihood, by Newton steps from (1, 0).
 
-    Probabilities carry 6 decimals, so the data is first counted per (p, outcome); the regression then
-    iterates over at most 2 x 900,001 weighted rows, whatever the size of the history.
+    Probabilities carry 6 decimals, so the data is first counted per (p, outcome), at most 2 x 900,001 cells; each step
+    sums five numbers over the cells. Rows with a null are left out. Without a unique fit (no rows, one p) a step that
+    cannot be solved ends the fit.
     """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
-
-    pts = (hist.groupBy("true_prob", "won").agg(F.count(F.lit(1)).cast("double").alias("weight"))
-           .select(array_to_vector(F.array(logit("true_prob"))).alias("features"), F.col("won").cast("double").alias("label"), "weight")).persist()
-    try:
-        model = LogisticRegression(weightCol="weight", regParam=0.0, maxIter=max_iter, tol=1e-9, standardization=False).fit(pts)
-    finally:
-        pts.unpersist()
-    a, b = float(model.coefficients[0]), float(model.intercept)
+    cells = checkpointed(hist.where(F.col("true_prob").isNotNull() & F.col("won").isNotNull()).groupBy("true_prob", "won")
+                         .agg(F.count(F.lit(1)).cast("double").alias("n")).select(logit("true_prob").alias("x"), F.col("won").cast("double").alias("y"), "n"))
+    a, b = 1.0, 0.0
+    for _ in range(steps):
+        q = logistic(F.lit(a) * F.col("x") + F.lit(b))
+        miss, w = F.col("n") * (F.col("y") - q), F.col("n") * q * (1.0 - q)
+        ga, gb, haa, hab, hbb = (v or 0.0 for v in cells.agg(F.sum(miss * F.col("x")), F.sum(miss), F.sum(w * F.col("x") * F.col("x")), F.sum(w * F.col("x")), F.sum(w)).first())
+        det = haa * hbb - hab * hab
+        if det <= 1e-12 * max(1.0, haa * hbb):
+            break
+        da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
+        a, b = a + da, b + db
+        if abs(da) + abs(db) < tol:
+            break
     return hist.sparkSession.range(1).select(F.lit(a).alias("a"), F.lit(b).alias("b"))

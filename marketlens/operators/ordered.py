@@ -45,17 +45,22 @@ def part_keys(keys: Sequence[str]) -> list[Column]:
     return [F.col(f"{PART}.{k}") for k in keys]
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder of the session; a temporary one only where none is set (tests)."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint()
+
+
 def balanced_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = CHUNK) -> DataFrame:
     """Adds a chunk number that grows with (keys, order) and holds about equally many rows.
 
     Chunks are the range partitions of one sort over sampled bounds; they are written to the checkpoint folder, so
     that every later use sees the same ones. Equal (keys, order) stay together: make ``order`` unique.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(n, *[F.col(x) for x in [*keys, *order]]).withColumn(name, F.spark_partition_id().cast("bigint")).checkpoint()
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return checkpointed(df.repartitionByRange(n, *[F.col(x) for x in [*keys, *order]]).withColumn(name, F.spark_partition_id().cast("bigint")))
 
 
 def add_chunk(df: DataFrame, ts: str, width_s: float, name: str = CHUNK) -> DataFrame:

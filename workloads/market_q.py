@@ -331,6 +331,17 @@ def _(s, d):
     return x.withColumns({k: round_to(k, 6) for k in ("mean_prob", "win_rate", "brier")})
 
 
-@add("platt_fit")
+def _newton() -> str:
+    """Newton steps on the counted (p, won) cells as one fold over a range."""
+    q = "(1 / (1 + exp(-(s.a * c.x + s.b))))"
+    total = lambda e: f"list_sum(list_transform(cs, lambda c: {e}))"
+    ga, gb = total(f"c.n * (c.y - {q}) * c.x"), total(f"c.n * (c.y - {q})")
+    haa, hab, hbb = (total(f"c.n * {q} * (1 - {q}){m}") for m in (" * c.x * c.x", " * c.x", ""))
+    det = f"({haa} * {hbb} - {hab} * {hab})"
+    return f"""cl AS (SELECT list({{'x': ln(p / (1 - p)), 'y': won::DOUBLE, 'n': n::DOUBLE}}) AS cs FROM (SELECT true_prob AS p, won, count(*) AS n FROM hist GROUP BY 1, 2)),
+nw AS (SELECT list_reduce(range(12), lambda s, i: {{'a': s.a + ({hbb} * {ga} - {hab} * {gb}) / {det}, 'b': s.b + ({haa} * {gb} - {hab} * {ga}) / {det}}}, {{'a': 1.0::DOUBLE, 'b': 0.0::DOUBLE}}) AS f FROM cl)"""
+
+
+@add("platt_fit", V.with_views("bars rounds", _HIST, _newton()) + f"SELECT {rnd('f.a', 4)} AS a, {rnd('f.b', 4)} AS b FROM nw")
 def _(s, d):
     return C.platt_fit(hist(s, d)).withColumns({"a": round_to("a", 4), "b": round_to("b", 4)})
