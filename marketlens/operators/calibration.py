@@ -25,12 +25,15 @@ def hist_calibration(rounds: DataFrame, bars: DataFrame, *, leader: str = "BTC",
 
     Bars are matched by *open* time at or before the round start, although a bar's close is only
     known ``bar_s`` later; ``strict`` uses the close time instead. Features are computed once per bar
-    over its last 14 closes and carried to rounds by as-of joins.
+    over its last 14 closes and carried to rounds by as-of joins. Features and rounds are used several times, so both are
+    written to the checkpoint folder once instead of being derived anew for every use.
     """
+    rounds = checkpointed(rounds)
     f = BarFrame(bars.select("asset", "ts", "c"), n=14, width_s=width_s, block=block)
     feats = f.with_features(_n=f.bars_seen(14), _k=F.count("_ret").over(f.rows(12)), _sigma=f.rms_sigma(14), _ret12=f.displacement(12))
     if strict:
         feats = feats.withColumn("ts", F.timestamp_micros(F.unix_micros("ts") + int(bar_s * 1e6)))
+    feats = checkpointed(feats)
     take = {"_n": "_n", "_k": "_k", "_sigma": "_sigma", "_ret12": "_ret12"}
     d = asof_backward(rounds, feats, ["asset"], left_ts="start_ts", right_ts="ts", take=take, width_s=width_s)
     d = d.where((F.col("_n") >= 5) & (F.col("_k") >= 3) & F.col("_ret12").isNotNull())
