@@ -294,3 +294,16 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     out = rows.select("vec_id", "key").join(info, "key", "left")
     comp_id = F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), comp_id.alias("component_id"), F.col("vec_id").eqNullSafe(comp_id).alias("kept"))
+
+
+#: Brute force: all pairs of a label, components as the smallest id over all reachable ones.
+TWIN = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+    AND CASE WHEN len(a.e) = len(b.e) THEN list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= {THRESHOLD} ELSE false END),
+r AS (SELECT vec_id, vec_id AS c FROM embeddings UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.vec_id),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
+SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, r.c AS component_id, e.vec_id = r.c AS kept
+FROM embeddings e LEFT JOIN n ON n.a = e.vec_id JOIN (SELECT vec_id, min(c) AS c FROM r GROUP BY 1) r ON r.vec_id = e.vec_id
+"""

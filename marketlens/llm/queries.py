@@ -64,6 +64,7 @@ def op4_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TWINS["op4_temperature_mixing"] = mixing.TWIN
+TWINS["op8_hnsw_dedup"] = hnsw.TWIN
 
 
 @query
