@@ -83,6 +83,22 @@ def test_picks_count_open_positions_and_caps_per_time(spark):
     assert got == [(0, 0), (0, 1), (0, 2), (0, 3), (1, 2), (1, 3)]
 
 
+def test_variant_switch_equals_loop(spark):
+    import random
+    rng = random.Random(5)
+    rows = [(f"r{rng.randrange(3)}", i * 40 + rng.randrange(40), rng.choice(["a", "a", "a", "b", "c"])) for i in range(400)]
+    d = spark.createDataFrame([*rows, ("r0", None, "b")], "run string, s long, best string").withColumn("ts", F.timestamp_seconds("s"))
+    got = {(r.run, r.s): r.active for r in R.variant_switch(d, ["run"], ["ts"], hold_s=300, start="a").collect()}
+    for run in ("r0", "r1", "r2"):
+        active, last = "a", -1e9
+        for _, s, best in sorted(x for x in rows if x[0] == run):
+            if best != active and s - last >= 300:
+                active, last = best, s
+            assert got[run, s] == active
+    assert got["r0", None] == "a" and len(got) == 401
+    assert R.variant_switch(d.where("false"), ["run"], ["ts"]).count() == 0
+
+
 def test_platt_recovers_slope(spark):
     import math
     import random
