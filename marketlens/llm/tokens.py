@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import os
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -20,10 +20,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.exact = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
@@ -45,6 +42,14 @@ class Encoder:
 
         self.fast = tiktoken.Encoding("same", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
+    @cached_property
+    def exact(self):
+        """The ``tokenizers`` encoder, loaded when first needed."""
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def encode(self, text: str) -> np.ndarray:
         """Ids of one text as int64. Lone surrogates count as U+FFFD."""
         text = text.encode("utf-8", "replace").decode() if not text.isascii() else text
