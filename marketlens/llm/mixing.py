@@ -15,6 +15,8 @@ from .common import checkpointed
 TARGET_ENTROPY, MAX_EPOCHS = 0.9, 2.0
 #: Hash digits that name a block of a source's permutation: 16^3 blocks.
 BLOCK_DIGITS = 3
+#: Up to so many sources their table (some 100 bytes a row) is broadcast to the documents; beyond it Spark chooses the join.
+BROADCAST_SOURCES = 50_000
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -109,10 +111,12 @@ def mix(docs: DataFrame, sources: DataFrame, doc_id: str = "doc_id", source: str
 
     Each whole epoch holds every row of the source, the last one those up to the cut; rows by rising ``at`` (0 to 1) are
     the mixture, in which every stretch has the sources in their weights. A source without words is left out; a null
-    source is a source like others; repeated rows of one id come or stay out together. Only the table of sources is joined:
-    no text moves. Columns of ``docs`` named epoch, at or weight are replaced."""
+    source is a source like others; repeated rows of one id come or stay out together. The table of sources, if not
+    larger than BROADCAST_SOURCES, is broadcast: then no text moves. Columns of ``docs`` named epoch, at or weight are replaced."""
     columns = [c for c in docs.columns if c not in ("epoch", "at", "weight")]
     s = sources.select(F.col("source").alias("__s"), F.col("tokens").alias("__t"), F.col("weight").alias("__w"), F.col("quota").alias("__q"), F.col("full").alias("__f"), F.col("cut").alias("__c"))
+    if sources.count() <= BROADCAST_SOURCES:
+        s = F.broadcast(s)
     x = docs.select(*columns).join(s, F.col(source).eqNullSafe(F.col("__s")))
     x = x.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("__f").cast("int")))).withColumn("__k", key(doc_id, F.col("epoch")))
     x = x.filter((F.col("epoch") < F.col("__f")) | (F.col("__k") <= F.col("__c")))
