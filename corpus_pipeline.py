@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.llm import mixing, packing, quality, simhash, toxicity
-from marketlens.llm.common import id_remainder
+from marketlens.llm.common import checkpointed, id_remainder
 
 #: Words of a shingle in the near-duplicate stage.
 SHINGLE = 5
@@ -56,8 +56,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table."""
+    """All stages over the documents table; what a stage kept is written to the checkpoint folder for the next one, so no
+    stage is computed again by a later one or by a lost executor."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = checkpointed(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
