@@ -53,9 +53,19 @@ class Encoder:
     def encode(self, text: str) -> np.ndarray:
         """Ids of one text as int64. Lone surrogates count as U+FFFD."""
         text = text.encode("utf-8", "replace").decode() if not text.isascii() else text
-        if len(text) > LONG_RUN and (max(map(len, text.split()), default=0) > LONG_RUN or any(c * LONG_RUN in text for c in " \n\t\r")):
+        if has_long_run(text):
             return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.int64)
-        return np.array(self.fast.encode(text, allowed_special="all"), np.int64)
+        return self.fast.encode_to_numpy(text, allowed_special="all").astype(np.int64)
+
+
+def has_long_run(text: str) -> bool:
+    """Whether more than LONG_RUN characters stand together without, or as the same, white space. A run of that length
+    covers a whole block of half of it, so only texts with such a block are split."""
+    step = LONG_RUN // 2
+    if len(text) <= LONG_RUN:
+        return False
+    bare = any(" " not in text[i: i + step] for i in range(0, len(text) - step + 1, step))
+    return bare and max(map(len, text.split()), default=0) > LONG_RUN or any(c * LONG_RUN in text for c in " \n\t\r")
 
 
 def byte_letters() -> dict[int, str]:
