@@ -67,8 +67,8 @@ def _hinted(attributes: str, outer: bool) -> bool:
 
 
 def blocks(page: str | None) -> list[tuple[str, int]]:
-    """Text blocks of a page in order, with their zone: inside the article or main element, plain (a page without one),
-    or chrome (menus, headers, footers, sidebars, notices, adverts, forms, comments; all else where there is an article).
+    """Text blocks of a page in order, with their zone: inside the article or main element, plain (anywhere else), or chrome
+    (menus, headers, footers, sidebars, notices, adverts, forms, comments).
 
     Scripts, styles, comments and markup go; character references are decoded; white space becomes one space. An element
     of chrome that is never closed ends where an article starts.
@@ -77,7 +77,7 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
     out: list[tuple[str, int]] = []
     buffer: list[str] = []
     main = skip = 0
-    skip_tag, main_tag, seen_main = "", "", False
+    skip_tag, main_tag = "", ""
     zone = PLAIN
 
     def flush() -> None:
@@ -130,7 +130,7 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
             hinted = _hinted(page[m.end(): end], not main) if end - m.end() > 4 else False
             opens_main = name in ("article", "main") and not hinted
             if opens_main and not main:
-                skip, main, main_tag, seen_main = 0, 1, name, True
+                skip, main, main_tag = 0, 1, name
             elif main and name == main_tag and not skip and not hinted:
                 main += 1
             elif skip:
@@ -141,7 +141,7 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
                 skip, skip_tag = 1, name
         zone = CHROME if skip else MAIN if main else PLAIN
     flush()
-    return [(t, CHROME if z == PLAIN else z) for t, z in out] if seen_main else out
+    return out
 
 
 def shared_lines(a: list[int], b: list[int]) -> list[int]:
@@ -205,15 +205,15 @@ def _signature(page: str | None) -> tuple[list[int], list[int]]:
 
 
 def deletions(sig: list[int], zones: list[int], path: str, others: list[tuple[str, list[int]]]) -> list[int]:
-    """Lines of a page to delete: plain lines that it shares with the nearest of ``others`` (path, lines): the one with the
-    longest common start of the path, the first of equals."""
+    """Lines of a page to delete: lines outside an article that it shares with the nearest of ``others`` (path, lines): the
+    one with the longest common start of the path, the first of equals. Markup is applied to what is left."""
     if not others:
         return []
     near = max(others, key=lambda o: len(commonprefix([path, o[0]])))
     shared = shared_lines(sig, near[1])
     if len(shared) >= COPY_SHARE * len(sig):
         return []
-    return [i for i in shared if zones[i] == PLAIN]
+    return [i for i in shared if zones[i] != MAIN]
 
 
 def neighbours(lines: DataFrame) -> DataFrame:
@@ -237,9 +237,9 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
     """``pages`` with text (blocks of the main text joined by an empty line; '' if none) and n_chars.
 
     Null html counts as empty. Each page is compared with the page of its host whose path is nearest in path order
-    (query and fragment do not count; pages of the same path share a neighbour); plain lines on a longest common
-    subsequence with it are deleted, unless the neighbour is a copy of the page. Lines inside an article or main element
-    stay: there a shared line is text that both articles hold. Pages without a host have no neighbour. Repeated rows get
+    (query and fragment do not count; pages of the same path share a neighbour); lines on a longest common subsequence
+    with it are deleted, unless the neighbour is a copy of the page; then chrome goes by markup, and the other lines stay,
+    beside an article too. Lines inside an article or main element stay: there a shared line is text that both articles hold. Pages without a host have no neighbour. Repeated rows get
     equal results; ``pages`` must have page_id; columns named text or n_chars are replaced."""
     spark = pages.sparkSession
     bounded_batches(spark)

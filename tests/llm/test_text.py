@@ -172,6 +172,12 @@ def test_copies_do_not_delete_each_other(spark):
     assert {r["text"] for r in htmlmain.extract(df).collect()} == {"one\n\ntwo\n\nthree"}
 
 
+def test_differencing_decides_the_lines_beside_an_article(spark):
+    page = lambda i: f"<nav>menu</nav><p>unmarked menu</p><p>own {i}</p><article><p>text {i}</p><p>both say this</p></article><p>unmarked foot</p>"
+    df = spark.createDataFrame([(i, f"http://h/a/{i}", page(i)) for i in range(3)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in htmlmain.extract(df).collect()} == {i: f"own {i}\n\ntext {i}\n\nboth say this" for i in range(3)}
+
+
 # ---------------------------------------------------------------- tokens
 @settings(max_examples=80, deadline=None)
 @given(st.text(max_size=200) | st.text(alphabet=" \n\t'asdl<|endoftext|>0é", max_size=80))
