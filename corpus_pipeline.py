@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from marketlens.llm import mixing, packing, quality, simhash, toxicity
 from marketlens.llm.common import checkpointed, id_remainder
 
-#: Words of a shingle in the near-duplicate stage.
-SHINGLE = 5
+#: Words of a shingle in the near-duplicate stage, and the similarity of shingle sets from which on texts are near-duplicates.
+SHINGLE, SIMILAR = 5, 0.8
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +34,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near fingerprints over five-word shingles: the one with the smallest id."""
-    return simhash.keep_first(docs, shingle=SHINGLE).select(*docs.columns)
+    """One document of each component of near-duplicates by five-word shingles, that is near fingerprints or shingle sets of
+    similarity 0.8 or more: the one with the smallest id."""
+    return simhash.keep_first(docs, shingle=SHINGLE, jaccard=SIMILAR).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

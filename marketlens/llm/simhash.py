@@ -22,21 +22,38 @@ LEAF_PAIRS = 64
 #: Leaf pairs held at once, and rows of one trie forest.
 SLICE, FOREST = 1 << 20, 1 << 17
 
+#: Sets of shingles of similarity s agree on one of BANDS bands of BAND_ROWS least hashes but for a chance of
+#: (1 - s ** BAND_ROWS) ** BANDS: 5e-8 at 0.8.
+BANDS, BAND_ROWS = 32, 4
+#: A band group of at most SMALL_GROUP sets yields its pairs. Of a larger one LEADERS sets, four times as many each round, are
+#: compared with all others; after LEADER_ROUNDS rounds all pairs that are still apart are compared, GROUP_CHUNK sets a side.
+SMALL_GROUP, LEADERS, LEADER_ROUNDS, GROUP_CHUNK = 16, 4, 4, 512
+
 _byte_bits = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
-    """64-bit fingerprint: bit set where over half of the shingle hashes have it; no words: zero."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Hash of every shingle of a text in order; a text of fewer words is one shingle; no words: empty."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
     k = min(shingle, len(words))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter([digest(line[a:b], 42) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1:].tolist())], np.uint64, len(words) - k + 1)
+    return np.fromiter([digest(line[a:b], 42) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1:].tolist())], np.uint64, len(words) - k + 1)
+
+
+def fingerprint(text: str | None, shingle: int = 4) -> int:
+    """64-bit fingerprint: bit set where over half of the shingle hashes have it; no words: zero."""
+    return _fold(shingle_hashes(text, shingle))
+
+
+def _fold(hashes: np.ndarray) -> int:
     n = len(hashes)
+    if not n:
+        return 0
     data = hashes.view(np.uint8).reshape(n, 8)
     ones = np.concatenate([(np.bincount(data[:, 7 - j], minlength=256) @ _byte_bits) for j in range(8)])  # high byte first
     bits = (2 * ones > n).astype(np.uint8)
@@ -54,6 +71,89 @@ def with_fingerprint(df: DataFrame, text: str = "text", shingle: int = 4, into:
     return with_text_column(df, text, make, f"{into} long")
 
 
+_mixers = np.random.default_rng(7).integers(0, 2**64, (BANDS * BAND_ROWS, 2), np.uint64) | np.uint64(1)
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """One number per band for a set of shingle hashes; sets share it where they share the least hashes of that band."""
+    least = np.empty(len(_mixers), np.uint64)
+    for k, (a, b) in enumerate(_mixers):
+        x = (hashes ^ b) * a
+        least[k] = ((x ^ (x >> np.uint64(32))) * b).min()
+    return [xxhash.xxh64_intdigest(row.tobytes(), k) - 2**63 for k, row in enumerate(least.reshape(BANDS, BAND_ROWS))]
+
+
+def with_signature(df: DataFrame, text: str, shingle: int) -> DataFrame:
+    """``df`` with fp, and of the set of shingles its hash s (null: no words), size and bands."""
+    def make():
+        def f(texts: list) -> dict:
+            lists = [shingle_hashes(t, shingle) for t in texts]
+            sets = [np.unique(x) for x in lists]
+            return {"fp": np.array([_fold(x) for x in lists], np.uint64).view(np.int64), "s": [xxhash.xxh64_intdigest(x.tobytes()) - 2**63 if len(x) else None for x in sets],
+                    "size": [len(x) for x in sets], "bands": [bands(x) if len(x) else [] for x in sets]}
+        return f
+
+    return with_text_column(df, text, make, "fp long, s long, size int, bands array<long>")
+
+
+def _side(x: DataFrame, side: str, *keys: str) -> DataFrame:
+    return x.select(*keys, *[F.col(c).alias(f"{c}_{side}") for c in ("s", "fp", "size", "c")])
+
+
+def _all_pairs(x: DataFrame) -> DataFrame:
+    """Pairs of each group g of n rows; large groups are split by hash into chunks that meet pair by pair."""
+    x = x.withColumn("parts", F.ceil(F.col("n") / GROUP_CHUNK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("s"), F.col("parts")).cast("int"))
+    x = x.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("ci", F.least("chunk", "o")).withColumn("cj", F.greatest("chunk", "o"))
+    keys = ["g", "ci", "cj"]
+    both = _side(x, "a", *keys, "chunk").join(_side(x, "b", *keys, F.col("chunk").alias("other")), keys)
+    return both.filter("s_a < s_b AND (ci = cj OR chunk <> other)")
+
+
+def similar(fps: DataFrame, rows: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Edges (a, b) of fingerprints that connect all texts whose sets of shingles have a Jaccard similarity of ``least`` or
+    more. Bands name the candidates, the whole sets decide. fps: fp, tk, s, size, bands; rows: tk, __t.
+
+    Equal sets are collapsed first. A large group of a band is not paired: some of its sets (leaders) are compared with all
+    others and leave, and the group ends as soon as its sets are connected; each pair not compared is connected or in a
+    group of a later round."""
+    sets = fps.filter("s IS NOT NULL").groupBy("s").agg(F.min(F.struct("fp", "tk")).alias("m"), F.max("fp").alias("hi"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    sets = checkpointed(sets.select("s", "m.fp", "m.tk", "hi", "size", "bands"))
+    edges = checkpointed(fps.select("s", F.col("fp").alias("b")).join(sets.filter("fp <> hi").select("s", F.col("fp").alias("a")), "s").select("a", "b").distinct())
+    live = sets.select("s", F.explode("bands").alias("g"))
+    live = live.join(live.groupBy("g").count().filter("count > 1").select("g"), "g").join(sets.select("s", "fp", "tk", "size"), "s")
+    live = checkpointed(live.withColumn("c", F.col("fp")))
+
+    def spell():
+        def f(texts: list) -> dict:
+            return {"hashes": [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in texts]}
+        return f
+
+    texts = rows.join(live.select("s", "tk").distinct(), "tk").groupBy("s").agg(F.first("__t").alias("__t"))
+    hashes = checkpointed(with_text_column(texts, "__t", spell, "hashes array<long>").select("s", "hashes"))
+    live = live.drop("tk")
+    for k in range(LEADER_ROUNDS + 1):
+        size = live.groupBy("g").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("g", "n")
+        live = checkpointed(live.join(size, "g"))
+        if live.isEmpty():
+            break
+        small = F.col("n") <= SMALL_GROUP if k < LEADER_ROUNDS else F.lit(True)
+        large = live.filter(~small).drop("n")
+        rare = large.groupBy("g", "c").agg(F.count("*").alias("alike"))
+        first = Window.partitionBy("g").orderBy("alike", "s")  # sets that few others are connected with leave first
+        leaders = checkpointed(large.join(rare, ["g", "c"]).withColumn("r", F.row_number().over(first)).filter(F.col("r") <= LEADERS * 4**k).drop("r", "alike"))
+        pairs = _side(large, "b", "g").join(_side(leaders, "a", "g"), "g").filter("s_a <> s_b").select("s_a", "fp_a", "size_a", "c_a", "s_b", "fp_b", "size_b", "c_b")
+        pairs = pairs.unionByName(_all_pairs(live.filter(small)).select(*pairs.columns))
+        pairs = pairs.filter((F.col("c_a") != F.col("c_b")) & (F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b") - 1e-9)).drop("c_a", "c_b").distinct()
+        pairs = pairs.join(hashes.select(F.col("s").alias("s_b"), F.col("hashes").alias("h_b")), "s_b").join(hashes.select(F.col("s").alias("s_a"), F.col("hashes").alias("h_a")), "s_a")
+        both = F.size(F.array_intersect("h_a", "h_b"))
+        edges = checkpointed(edges.unionByName(pairs.filter(both >= least * (F.col("size_a") + F.col("size_b") - both) - 1e-9).select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))))
+        live = large.join(leaders.select("g", "s"), ["g", "s"], "left_anti")
+        if k == LEADER_ROUNDS or live.isEmpty():
+            break
+        live = live.drop("c").join(components(edges), F.col("fp") == F.col("node"), "left").select("g", "s", "fp", "size", F.coalesce("component", "fp").alias("c"))
+    return edges
+
+
 def popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 
@@ -199,19 +299,28 @@ def links(fps: DataFrame, budget: int = BUDGET, chunk: int = CHUNK) -> DataFrame
     return x.mapInPandas(run, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 4, budget: int = BUDGET) -> DataFrame:
+def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 4, budget: int = BUDGET, jaccard: float | None = None) -> DataFrame:
     """One row per row of ``df``: (doc_id, fingerprint, component_id).
 
-    fingerprint: 16 hex digits; component_id: smallest id reachable over links of ``budget`` or fewer differing bits.
+    fingerprint: 16 hex digits; component_id: smallest id reachable over links of ``budget`` or fewer differing bits and,
+    with ``jaccard``, links of that similarity of shingle sets or more.
     Null and empty texts have fingerprint zero and link with it. Repeated rows and equal texts share a component. A row
     with a null id is linked like any other; it only gives its component a name where no row with an id is in reach
     (component_id null). Empty table: empty result.
     """
-    fps = checkpointed(with_fingerprint(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__t")), "__t", shingle).select("doc_id", "fp"))
+    rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__t"))
+    if jaccard is None:
+        signed = checkpointed(with_fingerprint(rows, "__t", shingle).select("doc_id", "fp"))
+    else:
+        rows = rows.withColumn("tk", F.xxhash64("__t"))
+        signed = checkpointed(with_signature(rows, "__t", shingle).drop("__t"))
+    fps = signed.select("doc_id", "fp")
     distinct = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("low")))
     # nodes are named by a dense place in id order within the data: the id itself, or the fingerprint where there is none
     nodes = distinct.select("fp", F.coalesce("low", F.lit(2**63 - 1)).alias("low"))
     edges = links(nodes.select("fp", F.col("fp").alias("rep")), budget)
+    if jaccard is not None:
+        edges = edges.unionByName(similar(signed.drop("doc_id"), rows.select("tk", "__t"), shingle, jaccard))
     comp = components(edges)  # names components by fingerprint
     named = nodes.join(comp, nodes["fp"] == comp["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("c"))
     first = named.groupBy("c").agg(F.min("low").alias("component_id"))

@@ -106,6 +106,31 @@ def test_large_dense_group_is_whole(spark):
     assert [got.get(i, i) for i in range(len(fps))] == want
 
 
+@pytest.mark.parametrize("small", [simhash.SMALL_GROUP, 3])
+def test_stage_drops_copies_by_shingle_similarity(spark, monkeypatch, small):
+    monkeypatch.setattr(simhash, "SMALL_GROUP", small)
+    monkeypatch.setattr(simhash, "LEADERS", 1)
+    monkeypatch.setattr(simhash, "GROUP_CHUNK", 5)
+    r = random.Random(8)
+    vocab = [f"w{i}" for i in range(500)]
+    texts = ["", None, "one two", "two one"]
+    for size in (12, 60, 200):
+        for n in (2, 3, 30):
+            base = [r.choice(vocab) for _ in range(size)]
+            for _ in range(n):
+                at = r.randrange(size)
+                texts.append(" ".join(base[:at] + [r.choice(vocab) for _ in range(r.randint(0, size // 12))] + base[at:]))
+    sets = [frozenset(" ".join(w[i: i + 5]) for i in range(max(1, len(w) - 4))) for w in [(t or "").split() for t in texts]]
+    fp = [plain_fingerprint(t, 5) for t in texts]
+    n = len(texts)
+    near = [(i, j) for i in range(n) for j in range(i) if bin(fp[i] ^ fp[j]).count("1") <= 4]
+    alike = [(i, j) for i in range(n) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    want = roots(n, near + alike)
+    assert len(set(want)) < len(set(roots(n, near))) - 20
+    docs = spark.createDataFrame([(i, t, "en", "x", 0) for i, t in enumerate(texts)], DOC)
+    assert sorted(x["doc_id"] for x in corpus_pipeline.simhash_stage(spark, docs, "").collect()) == sorted(set(want))
+
+
 def test_odd_documents(spark):
     rows = [(5, "a b c d e f", "x"), (5, "a b c d e f", "x"), (None, "a b c d e f", "x"), (None, "only this one here", "x"), (9, None, "x"), (8, "", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, fp string")
