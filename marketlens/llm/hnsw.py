@@ -24,6 +24,8 @@ TOGETHER = 256
 #: Audit: queries compared with an exact scan of the shard, the recall they must reach, and the beam beyond which the
 #: rest is scanned exactly.
 AUDIT, RECALL, WIDEST = 64, 0.999, 256
+#: Nodes of a shard from which copies are planted for the audit, and copies of each.
+COPIES, COPIES_EACH = 512, 2
 
 
 class Graph:
@@ -167,12 +169,29 @@ def scan(q: np.ndarray, x: np.ndarray, least: float) -> Iterator[tuple[np.ndarra
 def within(graph: Graph, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (row of q, node) of similarity ``least`` or more, and the crowded rows: those whose beam is full of such
     nodes, left to an exact scan. The beam widens until an audit of evenly spaced rows against an exact scan finds RECALL
-    of the pairs; where the widest beam fails, every row counts as crowded."""
+    of the pairs, and as many of evenly spaced nodes are found from copies turned to similarity ``least``, so the audit is
+    never empty; where the widest beam fails, every row counts as crowded."""
     audit = np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int))
     n = len(graph.x)
     truth = np.concatenate([audit[i] * np.int64(n) + j for i, j in scan(q[audit], graph.x, least)])
+    nodes = np.repeat(np.unique(np.linspace(0, n - 1, min(COPIES, n)).astype(int)), COPIES_EACH)
+    away = np.random.default_rng(5).standard_normal((len(nodes), graph.x.shape[1]))
+    away -= np.einsum("nd,nd->n", away, graph.x[nodes])[:, None] * graph.x[nodes]
+    away /= np.maximum(np.sqrt((away * away).sum(1, keepdims=True)), 1e-30)
+    near = min(max(least, 0.0), 1.0)
+    copies = (near * graph.x[nodes] + math.sqrt(1 - near * near) * away).astype(np.float32)
+    copies /= np.maximum(np.sqrt((copies * copies).sum(1, keepdims=True)), 1e-30)
+    to_node = np.einsum("nd,nd->n", copies, graph.x[nodes])
     beam = BEAM
     while beam <= WIDEST:
+        met = 0
+        for s in range(0, len(copies), TOGETHER):
+            ids, sims = graph.search(copies[s: s + TOGETHER], beam)
+            # a beam full of nodes as near as the planted one would be scanned
+            met += ((ids == nodes[s: s + TOGETHER, None]).any(1) | (sims[:, -1] >= to_node[s: s + TOGETHER] - 1e-6)).sum()
+        if met < RECALL * len(copies):
+            beam *= 2
+            continue
         found_i, found_j, full = [], [], []
         for s in range(0, len(q), TOGETHER):
             ids, sims = graph.search(q[s: s + TOGETHER], beam)

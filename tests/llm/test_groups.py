@@ -196,6 +196,19 @@ def test_search_recall_and_repeated_ids(spark):
     assert sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"])) for r in got) == [("1", 2, "1"), ("1", 2, "1"), ("None", 0, "None"), ("None", 2, "1")]
 
 
+def test_two_shards_with_sparse_pairs():
+    rng = np.random.default_rng(1)
+    a, b = hnsw._unit(rng.standard_normal((1500, 32))), hnsw._unit(rng.standard_normal((1500, 32)))
+    own = np.setdiff1d(np.arange(0, 1500, 20), np.linspace(0, 1499, hnsw.AUDIT).astype(int))  # none is an audited row
+    a[own] = hnsw._unit(b[own] + rng.standard_normal((len(own), 32)) * 0.01)
+    g = hnsw.Graph(b)
+    for level in g.levels:  # a graph that has lost its links to a third of the nodes
+        level[(level >= 0) & (level % 3 == 0)] = -1
+    i, j, rest = hnsw.within(g, a.astype("f4"), 0.98 - 1e-4)
+    got = set(zip(i.tolist(), j.tolist())) | {(x, x) for x in rest.tolist()}
+    assert {(x, x) for x in own.tolist()} <= got
+
+
 # ---------------------------------------------------------------- packing
 @pytest.mark.parametrize("kind", ["mixed", "tiny", "same", "large"])
 def test_packing(spark, kind):
