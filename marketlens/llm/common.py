@@ -53,11 +53,15 @@ def with_text_column(df: DataFrame, text: str, make: Callable, ddl: str) -> Data
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the session's checkpoint folder; a temporary one is set only where none is configured (tests)."""
+    """``df`` written to the session's checkpoint folder; a temporary one is set only where none is configured and all tasks
+    run on this machine (tests). Raises on a cluster without one: executors would write to folders of their own."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 
 
