@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import gif, hnsw, htmlmain, mixing, packing, quality, simhash, tokencount, toxicity, langid
+from . import gif, hnsw, htmlmain, langid, mixing, packing, pieces, quality, simhash, tokencount, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -83,3 +83,9 @@ def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_hnsw_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings at cosine 0.98 within their label."""
     return hnsw.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+@query
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentence-piece ids and decoded text of every document, as digests."""
+    return pieces.digest_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
