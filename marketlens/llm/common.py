@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -52,19 +53,32 @@ def with_text_column(df: DataFrame, text: str, make: Callable, ddl: str) -> Data
     return df.withColumn("__made", f(F.col(text))).select(*keep, *(F.col("__made")[n].alias(n) for n in names))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the session's checkpoint folder; a temporary one is set only where none is configured and all tasks
-    run on this machine (tests). Raises on a cluster without one: executors would write to folders of their own."""
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; a temporary one is set only where none is configured and all tasks run on this
+    machine (tests). Raises on a cluster without one: executors would write to folders of their own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet below the checkpoint folder and read again. For loops of joins: a checkpoint keeps the
+    planner's guess of its size, which such a loop multiplies from round to round; a written table has its true one."""
+    path = f"{checkpoint_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def id_remainder(col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as held out (null)."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % n
@@ -79,10 +93,10 @@ def sample_per_class(df: DataFrame, cls: str, order: Column, n: int) -> DataFram
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a long, b long): one row (node, component) per node that has an edge to
-    another node, component = smallest node. Alternating large-star / small-star steps; each round is checkpointed.
+    another node, component = smallest node. Alternating large-star / small-star steps; each round is written.
     Null ends and self-loops are dropped (no edge). Raises if ``rounds`` do not suffice (each halves the distances)."""
     e = (edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    e = checkpointed(e)
+    e = written(e)
     state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -91,7 +105,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        e = checkpointed(small)
+        e = written(small)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
