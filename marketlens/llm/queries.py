@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import gif, hnsw, htmlmain, langid, mixing, packing, pieces, quality, simhash, tokencount, toxicity
+from . import gif, hnsw, htmlmain, langid, mixing, packing, pieces, quality, simhash, tokencount, toxicity, trie
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -89,3 +89,12 @@ def op8_hnsw_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentence-piece ids and decoded text of every document, as digests."""
     return pieces.digest_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of all rebuilt conversations, with its subtree sums."""
+    return trie.trie(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+TWINS["op12_conversation_trie"] = trie.TWIN

@@ -1,10 +1,13 @@
 """Sentence pieces, spelling variants and the conversation trie against the library and brute force."""
 import hashlib
+import random
+import re
+import zlib
 
 import numpy as np
 import pytest
 
-from marketlens.llm import pieces
+from marketlens.llm import pieces, trie
 
 ODD = ["", None, " ", "  a  b  ", "x▁y ▁ z", "  a  b  ", "é\U0001F600　q\x00r\n\tz" + "a" * 5000, "the the the\n\nthe", "\n", "<s> </s> <0x0A>"]
 
@@ -72,3 +75,73 @@ def test_a_model_whose_pieces_cross_markers_is_refused(spark, tmp_path):
     (tmp_path / "m.model").write_bytes(m.SerializeToString())
     with pytest.raises(ValueError):
         pieces.processor(str(tmp_path / "m.model"))
+
+
+# ---------------------------------------------------------------- conversation trie
+CONV = "conv_id long, turn long, role string, text string, words long, node long"
+
+
+def plain_trie(rows):
+    """Nodes by sequence, with sums over subtrees by definition; ties in turn must be equal rows."""
+    own = {}
+    for c, turn, role, text in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], r[1] is not None, r[1] or 0)):
+        own.setdefault(c, []).append((role or "", text or ""))
+    built = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 4
+        built[c] = tuple(own.get(c - c % 20, [])[:h] + turns[h:])
+    members = {}
+    for c, t in built.items():
+        for d in range(len(t) + 1):
+            members.setdefault(t[:d], []).append(c)
+    kids = {}
+    for k in members:
+        if k:
+            kids.setdefault(k[:-1], []).append(k)
+    leaves, saved = {}, {}
+    for k in sorted(members, key=len, reverse=True):
+        leaves[k] = sum(leaves[x] for x in kids[k]) if k in kids else 1
+        w = len(re.findall(r"[^\x20\x09-\x0D]+", k[-1][1])) if k else 0
+        saved[k] = (len(members[k]) - 1) * w + sum(saved[x] for x in kids.get(k, []))
+    out = []
+    for k, m in members.items():
+        ends = ",".join(str(c) for c in sorted(m) if built[c] == k)
+        out.append((min(m), len(k), min(members[k[:-1]]) if k else None, len(m), len(kids.get(k, [])), leaves[k], saved[k], hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def conversations(seed):
+    r = random.Random(seed)
+    rows = []
+    for c in range(120):
+        for t in range(r.choice([1, 2, 2, 3, 5, 8])):
+            rows.append((c * r.choice([1, 1, 3]) if c else 0, t, r.choice(["user", None, ""]), r.choice(["a b", "a", None, "", "c  d\te"])))
+    rows = [x for i, x in enumerate(rows) if not any(x[:2] == y[:2] for y in rows[:i])]
+    rows += [(2000, t, "u", "same words here") for t in range(90)] + [(2001, t, "u", "same words here") for t in range(70)]
+    rows += [(c, t, "u", "common") for c in range(3000, 3100) for t in range(2)]
+    rows += [(7, None, "u", "first"), (None, 1, "u", "nobody's"), (9, 50, "u", "twice"), (9, 50, "u", "twice")]
+    return rows
+
+
+@pytest.mark.parametrize("small", [30, trie.SMALL])
+def test_trie_equals_plain(spark, small, monkeypatch):
+    rows = conversations(small)
+    if small == 30:
+        monkeypatch.setattr(trie, "HOT", 10)  # frequent keys go by broadcast
+    df = spark.createDataFrame([(*x, 5, 6) for x in rows], CONV)
+    got = sorted((tuple(r) for r in trie.trie(df, small=small).collect()), key=str)
+    assert got == plain_trie(rows)
+
+
+def test_trie_of_nothing(spark):
+    assert trie.trie(spark.createDataFrame([(None, 1, "u", "x", 1, 1)], CONV)).count() == 0
+
+
+def test_cuts_halve_the_load(spark, monkeypatch):
+    """A path of 60 turns is cut in about as many rounds as its length has binary digits."""
+    rounds = []
+    small = trie._small
+    monkeypatch.setattr(trie, "_small", lambda *a: rounds.append(1) or small(*a))
+    df = spark.createDataFrame([(40, t, "u", "w", 1, 1) for t in range(60)], CONV)
+    assert trie.trie(df, small=1).count() == 61
+    assert len(rounds) <= 8
