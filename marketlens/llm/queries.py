@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import gif, hnsw, htmlmain, langid, mixing, packing, pieces, quality, simhash, tokencount, toxicity, trie
+from . import gif, hnsw, htmlmain, langid, mixing, packing, pieces, quality, simhash, spelling, tokencount, toxicity, trie
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -98,3 +98,12 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TWINS["op12_conversation_trie"] = trie.TWIN
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their near words, dominant forms and roots."""
+    return spelling.group_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+TWINS["op11_spelling_variants"] = spelling.TWIN

@@ -6,8 +6,9 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from marketlens.llm import pieces, trie
+from marketlens.llm import pieces, spelling, trie
 
 ODD = ["", None, " ", "  a  b  ", "x▁y ▁ z", "  a  b  ", "é\U0001F600　q\x00r\n\tz" + "a" * 5000, "the the the\n\nthe", "\n", "<s> </s> <0x0A>"]
 
@@ -145,3 +146,64 @@ def test_cuts_halve_the_load(spark, monkeypatch):
     df = spark.createDataFrame([(40, t, "u", "w", 1, 1) for t in range(60)], CONV)
     assert trie.trie(df, small=1).count() == 61
     assert len(rounds) <= 8
+
+
+# ---------------------------------------------------------------- spelling variants
+def one_change(a, b):
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    return len(b) == len(a) + 1 and any(b[:i] + b[i + 1:] == a for i in range(len(b)))
+
+
+def plain_variants(docs):
+    n = {}
+    for i, t in docs:
+        for run in re.findall("[a-zÀ-ÿ]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")):
+            h = 1 if i is None else zlib.crc32(f"{i}:{run}".encode())
+            if h % 97 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1:]
+            n[run] = n.get(run, 0) + 1
+    n = {w: k for w, k in n.items() if len(w) >= 5 and k >= 3}
+    near = {w: [v for v in n if v != w and one_change(w, v)] for w in n}
+    form = {w: next((v for v in sorted(vs, key=lambda v: (-n[v], v)) if n[v] >= 2 * n[w]), None) if vs and max(n[v] for v in vs) >= 2 * n[w] else None for w, vs in near.items()}
+    out = []
+    for w in n:
+        root = w
+        while form[root]:
+            root = form[root]
+        out.append((w, form[w], root, n[w], len(near[w]), n[form[w]] if form[w] else None))
+    return sorted(out, key=str)
+
+
+def test_variants_equal_plain(spark):
+    r = random.Random(5)
+    base = ["".join(r.choice("abcdeéÿ×") for _ in range(r.randrange(4, 9))) for _ in range(60)] + ["aaaaa", "aaaaaa", "ababab", "bababa", "abababa"]
+    words = []
+    for w in base:
+        for _ in range(3):
+            i, v = r.randrange(len(w)), w
+            v = r.choice([v[:i] + v[i + 1:], v[:i] + r.choice("abé") + v[i:], v[:i] + r.choice("abcÿ") + v[i + 1:]])
+            words += [v] * r.choice([1, 3, 4, 9])
+        words += [w] * r.choice([3, 8, 20, 60])
+    r.shuffle(words)
+    docs = [(i % 300 or None, r.choice([" ", "-", "1", "\n"]).join(w.upper() if w.isascii() and r.random() < 0.2 else w for w in words[i: i + 9])) for i in range(0, len(words), 9)]
+    docs += [(1, None), (2, ""), (3, "ab " * 2000), (3, "ab " * 2000), (4, "x" * 3000)]
+    df = spark.createDataFrame([(i, t, 1, "w") for i, t in docs], "doc_id long, text string, n long, word string").repartition(4)
+    got = sorted((tuple(x) for x in spelling.group_documents(df).collect()), key=str)
+    assert got == plain_variants(docs) and any(x[1] and x[1] != x[2] for x in got)
+    assert spelling.group_documents(df.filter("false")).count() == 0
+
+
+def test_pivots_are_the_rarest_two_that_do_not_overlap(spark):
+    r = random.Random(2)
+    cases = []
+    for _ in range(200):
+        at = sorted(r.sample(range(9), r.randrange(3, 7)))
+        cases.append([(a, "g%d" % a, r.randrange(1, 6)) for a in at])
+    df = spark.createDataFrame([(c,) for c in cases], "p array<struct<at:int,gram:string,uses:bigint>>")
+    uses = [dict((a, u) for a, _, u in c) for c in cases]
+    for (p,), u, c in zip(df.select(F.transform(spelling.pivots(F.col("p")), lambda x: x["at"])).collect(), uses, cases):
+        best = min(u[a] + u[b] for a in u for b in u if b >= a + 2)
+        assert p[1] >= p[0] + 2 and u[p[0]] + u[p[1]] == best
