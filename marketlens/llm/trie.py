@@ -129,8 +129,8 @@ def rollup(nodes: DataFrame, rows: DataFrame, values: list[str], small: int = SM
     hot = max(1, n // HOT)
     sums = [f"s_{v}" for v in values]
     root = nodes.filter("parent IS NULL").agg(F.max("load")).first()[0] or 0
-    state = nodes.select("node", "parent", "conv", "depth", "load", *values, *[F.lit(0).cast("long").alias(s) for s in sums],
-                         root_key().alias("comp"), F.lit(root).cast("long").alias("total"))
+    state = written(nodes.select("node", "parent", "conv", "depth", "load", *values, *[F.lit(0).cast("long").alias(s) for s in sums],
+                                 root_key().alias("comp"), F.lit(root).cast("long").alias("total")))
     paths = rows.select("conv", "depth", "node", "parent")
     finished: list[DataFrame] = []
     while True:
