@@ -31,7 +31,7 @@ from .common import bounded_batches
 
 #: Bytes of text of a block (a longer text is a block of its own), codes in one row of it, and bytes of text whose distinct
 #: words share a bucket.
-BLOCK, PIECE, SHARE = 16 << 20, 1 << 18, 64 << 20
+BLOCK, PIECE, SHARE = 8 << 20, 1 << 18, 64 << 20
 #: Stands between words of a row: no byte of UTF-8.
 STOP = b"\xff"
 CODES, WORDS, ROW = 0, 1, 2
@@ -63,11 +63,21 @@ def processor(model: str):
     return sp
 
 
-def marked_words(texts: pa.Array) -> pa.ListArray:
-    """Marked words of each text as bytes, without their first marker; other markers are spaces. Null and empty: none."""
-    texts = pc.replace_substring(pc.fill_null(texts, "").cast(pa.large_string()), "▁", " ").cast(pa.large_binary())
-    plain = pc.replace_substring_regex(texts, pattern=b"([^ ]) ", replacement=b"\\1" + STOP)
-    return pc.split_pattern(pc.if_else(pc.equal(pc.binary_length(plain), 0), None, plain), STOP)
+def marked_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Marked words of all texts as bytes, without their first marker and with spaces for others, and how many each text has.
+    Null and empty: none."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    count = np.zeros(len(size), np.int64)
+    some = pc.replace_substring(texts.filter(pa.array(size > 0)), "▁", " ").cast(pa.binary())
+    odd = pc.or_(pc.match_substring(some, b"  "), pc.or_(pc.starts_with(some, b" "), pc.ends_with(some, b" ")))
+    even = pc.invert(odd)
+    # runs of spaces: only the space behind another letter parts two words
+    lists = pa.concat_arrays([pc.split_pattern(some.filter(even), b" "), pc.split_pattern(
+        pc.replace_substring_regex(some.filter(odd), pattern=b"([^ ]) ", replacement=b"\\1" + STOP), STOP)])
+    if pc.any(odd).as_py():
+        lists = lists.take(pa.array(np.argsort(np.concatenate([np.flatnonzero(even), np.flatnonzero(odd)]), kind="stable")))
+    count[size > 0] = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    return lists.flatten(), count
 
 
 def squeeze(values: np.ndarray) -> bytes:
@@ -81,7 +91,7 @@ def unsqueeze(blob: bytes) -> np.ndarray:
     planes = np.frombuffer(zstandard.decompress(blob[1:]), np.uint8).reshape(blob[0], -1)
     out = np.zeros((planes.shape[1], 4), np.uint8)
     out[:, :blob[0]] = planes.T
-    return out.view("<u4").ravel().astype(np.int64)
+    return out.view("<i4").ravel()
 
 
 def encode(df: DataFrame, text: str = "text", keep: list[str] | None = None, *, model: str | None = None, into: str = "ids",
@@ -144,25 +154,23 @@ def _wire(to, kind, block, at, n, blob, row, row_type) -> Iterator[pa.RecordBatc
 
 def _block(block: int, rows: list, texts: list, buckets: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
     """Rows of one block: its documents, the codes by position, and its distinct words by bucket."""
-    lists = pa.chunked_array([marked_words(t) for t in texts]).combine_chunks()
-    rows = pa.concat_arrays(rows)
-    count = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-    coded = lists.flatten().dictionary_encode()
-    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    found = [marked_words(t) for t in texts]
+    rows, count = pa.concat_arrays(rows), np.concatenate([c for _, c in found])
+    coded = pa.concat_arrays([w for w, _ in found]).dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False)
     words = coded.dictionary.to_pylist()
     home = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
     away = -1 - (block * 2654435761 % (1 << 31))
     yield from _wire(np.full(len(count), away), ROW, block, np.arange(len(count)), count, None, rows, kind)
-    tag = np.int64(len(words))
     pieces = [squeeze(codes[i: i + PIECE]) for i in range(0, len(codes), PIECE)]
     homes = [squeeze(home[i: i + PIECE]) for i in range(0, len(home), PIECE)]
     blobs = [*pieces, *homes]
     yield from _wire(np.full(len(blobs), away), CODES, block, [*range(len(pieces)), *(-1 - i for i in range(len(homes)))],
-                     np.full(len(blobs), tag), blobs, None, kind)
+                     np.full(len(blobs), len(words)), blobs, None, kind)
     order = np.argsort(home, kind="stable")
     used, starts = np.unique(home[order], return_index=True)
     ends = [*starts[1:], len(order)]
-    packed = [STOP.join([words[i] for i in order[a:b]]) for a, b in zip(starts, ends)]
+    packed = [zstandard.compress(STOP.join([words[i] for i in order[a:b]]), 3) for a, b in zip(starts, ends)]
     for i in range(0, len(used), 256):
         yield from _wire(used[i: i + 256], WORDS, block, used[i: i + 256], [b - a for a, b in zip(starts[i: i + 256], ends[i: i + 256])],
                          packed[i: i + 256], None, kind)
@@ -171,7 +179,7 @@ def _block(block: int, rows: list, texts: list, buckets: int, kind: pa.DataType)
 def _segment(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:
     """Ids of the words of each row; other rows pass. Rows come by bucket: a word of a bucket is segmented once."""
     sp, now, table = processor(model), None, {}
-    single = np.array([sp.piece_to_id("▁")], np.int64)
+    single = np.array([sp.piece_to_id("▁")], np.int32)
     for batch in batches:
         kinds, tos, blobs = batch["kind"].to_numpy(), batch["to"].to_numpy(), batch["blob"]
         if (kinds == WORDS).any():
@@ -181,9 +189,9 @@ def _segment(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.Recor
                 if kind == WORDS:
                     if to != now:
                         now, table = to, {b"": single}
-                    words = blob.split(STOP)
+                    words = zstandard.decompress(blob).split(STOP)
                     fresh = [w for w in words if w not in table]
-                    table.update(zip(fresh, (np.array(x, np.int64) for x in sp.encode([w.decode("utf-8", "replace") for w in fresh]))))
+                    table.update(zip(fresh, (np.array(x, np.int32) for x in sp.encode([w.decode("utf-8", "replace") for w in fresh]))))
                     ids = [table[w] for w in words]
                     lengths = squeeze(np.fromiter(map(len, ids), np.int64, len(ids)))
                     blob = len(lengths).to_bytes(4, "little") + lengths + squeeze(np.concatenate(ids))
@@ -200,7 +208,7 @@ def _rebuild(t: pa.Table, begin: int, end: int, into: str) -> pa.Table:
         return t["blob"].take(which[np.argsort(order[which])]).to_pylist()
 
     def joined(parts: list[np.ndarray]) -> np.ndarray:
-        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        return np.concatenate(parts) if parts else np.zeros(0, np.int32)
 
     docs = np.flatnonzero(kind == ROW)
     docs = docs[np.argsort(at[docs])]
@@ -216,17 +224,16 @@ def _rebuild(t: pa.Table, begin: int, end: int, into: str) -> pa.Table:
         raise RuntimeError("a block lost words: the input changed between tasks")
     by_code = np.argsort(home, kind="stable")  # words came back by bucket, within it by code
     start, length = np.zeros(len(home), np.int64), np.zeros(len(home), np.int64)
-    length[by_code], start[by_code] = lengths, np.cumsum(lengths) - lengths
-    each = length[codes]
-    ends = np.cumsum(each)
-    total = int(ends[-1]) if len(ends) else 0
-    flat = ids[np.repeat(start[codes] - ends + each, each) + np.arange(total)]
-    word_end = np.concatenate([[0], ends])[np.cumsum(n[docs])]
-    per_doc = np.diff(word_end, prepend=0)
-    out = np.empty(total + 2 * len(docs), np.int32)
-    offsets = np.concatenate([[0], np.cumsum(per_doc + 2)])
-    out[np.arange(total) + 2 * np.repeat(np.arange(len(docs)), per_doc) + 1] = flat
+    length[by_code], start[by_code] = lengths, np.cumsum(lengths, dtype=np.int64) - lengths
+    word_end = np.concatenate([[0], np.cumsum(length[codes])])[np.cumsum(n[docs], dtype=np.int64)]
+    offsets = np.concatenate([[0], np.cumsum(np.diff(word_end, prepend=0) + 2)])
+    out = np.empty(offsets[-1], np.int32)
     out[offsets[:-1]], out[offsets[1:] - 1] = begin, end
+    a = 0
+    for first, last, words in zip(offsets[:-1], offsets[1:], n[docs]):  # one text at a time: places of all ids need several arrays
+        own = codes[a: a + words]
+        each, a = length[own], a + words
+        out[first + 1: last - 1] = ids[np.repeat(start[own] - np.cumsum(each) + each, each) + np.arange(last - first - 2)]
     ids_col = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(out))
     return pa.table({"row": t["row"].take(docs), into: ids_col})
 

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from marketlens.llm import pieces, spelling, trie
@@ -51,7 +52,7 @@ def test_each_word_is_segmented_once(spark, monkeypatch):
     import pyarrow as pa
 
     def sent(block, words):
-        return next(pieces._wire([3], pieces.WORDS, block, [3], [len(words)], [pieces.STOP.join(words)], None, pa.int32()))
+        return next(pieces._wire([3], pieces.WORDS, block, [3], [len(words)], [zstandard.compress(pieces.STOP.join(words))], None, pa.int32()))
 
     list(pieces._segment(iter([sent(0, [b"one", b"two", b""]), sent(1, [b"two", b"six"])]), "m"))
     assert sorted(seen) == ["one", "six", "two"]
