@@ -31,7 +31,7 @@ from .common import bounded_batches
 
 #: Bytes of text of a block (a longer text is a block of its own), codes in one row of it, and bytes of text whose distinct
 #: words share a bucket.
-BLOCK, PIECE, SHARE = 8 << 20, 1 << 18, 64 << 20
+BLOCK, PIECE, SHARE = 12 << 20, 1 << 18, 64 << 20
 #: Stands between words of a row: no byte of UTF-8.
 STOP = b"\xff"
 CODES, WORDS, ROW = 0, 1, 2
@@ -139,6 +139,7 @@ def _cut(batches: Iterator[pa.RecordBatch], buckets: int, limit: int) -> Iterato
             if stop < len(lengths):
                 yield from _block(base + seq, rows, texts, buckets, kind)
                 seq, rows, texts, size = seq + 1, [], [], 0
+                pa.default_memory_pool().release_unused()
             at = stop
     if texts:
         yield from _block(base + seq, rows, texts, buckets, kind)
@@ -158,8 +159,14 @@ def _block(block: int, rows: list, texts: list, buckets: int, kind: pa.DataType)
     rows, count = pa.concat_arrays(rows), np.concatenate([c for _, c in found])
     coded = pa.concat_arrays([w for w, _ in found]).dictionary_encode()
     codes = coded.indices.to_numpy(zero_copy_only=False)
-    words = coded.dictionary.to_pylist()
-    home = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
+    home = np.fromiter((zlib.crc32(w) % buckets for w in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+    # frequent words get small codes, equally frequent ones lie by bucket and letters: both pack well
+    table = pa.table({"uses": np.bincount(codes, minlength=len(home)), "home": home, "word": coded.dictionary})
+    order = pc.sort_indices(table, [("uses", "descending"), ("home", "ascending"), ("word", "ascending")]).to_numpy()
+    code_of = np.empty(len(order), np.int32)
+    code_of[order] = np.arange(len(order))
+    codes, home, words = code_of[codes], home[order], coded.dictionary.take(pa.array(order)).to_pylist()
+    del found, coded, table
     away = -1 - (block * 2654435761 % (1 << 31))
     yield from _wire(np.full(len(count), away), ROW, block, np.arange(len(count)), count, None, rows, kind)
     pieces = [squeeze(codes[i: i + PIECE]) for i in range(0, len(codes), PIECE)]
@@ -238,36 +245,32 @@ def _rebuild(t: pa.Table, begin: int, end: int, into: str) -> pa.Table:
     return pa.table({"row": t["row"].take(docs), into: ids_col})
 
 
-def decode(ids: str | Column, *, model: str | None = None) -> Column:
-    """The library's text of an id list (array<int>); null: null, no ids: empty."""
-    model = model or default_model()
+def _ids(batch: pa.Array) -> Iterator[np.ndarray | None]:
+    """The lists of a batch one by one, so that no batch of them becomes Python integers at once."""
+    flat, ends = batch.flatten().to_numpy(zero_copy_only=False), np.cumsum(pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    for known, end, size in zip(batch.is_valid().to_pylist(), ends, np.diff(ends, prepend=0)):
+        yield flat[end - size: end] if known else None
 
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        sp = processor(model)
-        for batch in batches:
-            yield pa.array([None if x is None else sp.decode(x) for x in batch.to_pylist()], pa.string())
 
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, returnType="string")(F.col(ids) if isinstance(ids, str) else ids)
-
-
-def ids_sha256(ids: str) -> Column:
-    """Lowercase hex SHA-256 of ids as little-endian unsigned 32-bit integers; null: null."""
+def decode(ids: str, *, model: str | None = None) -> Column:
+    """From an id list (array<int>) a struct of the library's ``text`` and ``sha256``, lowercase hex, of the ids as little-endian
+    unsigned 32-bit integers. A null list: nulls; no ids: the empty text."""
+    model = model or default_model()
+    kind = pa.struct([("text", pa.string()), ("sha256", pa.string())])
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        sp = processor(model)
         for batch in batches:
-            flat, ends = batch.flatten().to_numpy(zero_copy_only=False).astype("<u4"), np.cumsum(pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False))
-            starts = np.concatenate([[0], ends[:-1]]).astype(int) if len(ends) else []
-            known = batch.is_valid().to_pylist()
-            yield pa.array([hashlib.sha256(flat[a:b].tobytes()).hexdigest() if ok else None for a, b, ok in zip(starts, ends, known)], pa.string())
+            out = [None if x is None else {"text": sp.decode(x.tolist()), "sha256": hashlib.sha256(x.astype("<u4").tobytes()).hexdigest()} for x in _ids(batch)]
+            yield pa.array([x or {"text": None, "sha256": None} for x in out], kind)
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, returnType="string")(F.col(ids))
+    return F.arrow_udf(run, returnType="text string, sha256 string")(F.col(ids))
 
 
 def digest_documents(docs: DataFrame, *, model: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text; nulls and repeated rows as in ``encode``."""
     bounded_batches(docs.sparkSession)
-    ids = encode(docs, "text", ["doc_id"], model=model)
-    return ids.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), ids_sha256("ids").alias("ids_sha256"),
-                      F.sha2(decode("ids", model=model).cast("binary"), 256).alias("decoded_sha256"))
+    back = encode(docs, "text", ["doc_id"], model=model).withColumn("back", decode("ids", model=model))
+    return back.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.col("back.sha256").alias("ids_sha256"),
+                       F.sha2(F.col("back.text").cast("binary"), 256).alias("decoded_sha256"))

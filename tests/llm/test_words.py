@@ -29,7 +29,7 @@ def test_pieces_equal_the_library(spark, library, block, share):
     assert sorted((r["doc_id"] or -1, r["text"] or "") for r in got) == sorted((d or -1, t or "") for d, t, _ in rows)
     assert all(r["ids"] == library.encode(r["text"] or "", add_bos=True, add_eos=True) for r in got)
     assert pieces.encode(df.filter("false"), block=block, share=share).count() == 0
-    back = pieces.encode(df, keep=["text"], block=block, share=share).select("text", pieces.decode("ids").alias("d")).collect()
+    back = pieces.encode(df, keep=["text"], block=block, share=share).select("text", pieces.decode("ids")["text"].alias("d")).collect()
     assert all(r["d"] == library.decode(library.encode(r["text"] or "")) for r in back)
 
 
