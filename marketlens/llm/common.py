@@ -14,6 +14,8 @@ from pyspark.sql.types import StructType
 
 #: Rows and bytes of one Arrow batch sent to Python: bound a worker's memory when texts are long.
 BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
+#: A join key of at least 1 / HOT of the rows goes by broadcast: at most HOT keys can.
+HOT = 1000
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -91,6 +93,14 @@ def sample_per_class(df: DataFrame, cls: str, order: Column, n: int) -> DataFram
     return df.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= n).drop("__r")
 
 
+def split_join(left: DataFrame, right: DataFrame, keys: list[str], hot: Column, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right`` (unique ``keys``), whose ``hot`` rows are few and are broadcast, so that a frequent
+    key of ``left`` stays where its rows are. Left rows without a partner stay for how="left"."""
+    at_hot = F.broadcast(right.filter(hot))
+    cold = left.join(at_hot.select(*keys), keys, "left_anti")
+    return left.join(at_hot, keys).unionByName(cold.join(right.filter(~hot), keys, how))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a long, b long): one row (node, component) per node that has an edge to
     another node, component = smallest node. Alternating large-star / small-star steps; each round is written.

@@ -167,7 +167,7 @@ def _block(block: int, rows: list, texts: list, buckets: int, kind: pa.DataType)
     code_of[order] = np.arange(len(order))
     codes, home, words = code_of[codes], home[order], coded.dictionary.take(pa.array(order)).to_pylist()
     del found, coded, table
-    away = -1 - (block * 2654435761 % (1 << 31))
+    away = -1 - zlib.crc32(str(block).encode())
     yield from _wire(np.full(len(count), away), ROW, block, np.arange(len(count)), count, None, rows, kind)
     pieces = [squeeze(codes[i: i + PIECE]) for i in range(0, len(codes), PIECE)]
     homes = [squeeze(home[i: i + PIECE]) for i in range(0, len(home), PIECE)]

@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, checkpointed, components, with_text_column
+from .common import HOT, bounded_batches, checkpointed, components, split_join, with_text_column, written
 
 #: Two fingerprints of 64 bits within BUDGET differing bits agree on one of BUDGET + 1 blocks of bits.
 BUDGET = 4
@@ -25,9 +26,8 @@ SLICE, FOREST = 1 << 20, 1 << 17
 #: Sets of shingles of similarity s agree on one of BANDS bands of BAND_ROWS least hashes but for a chance of
 #: (1 - s ** BAND_ROWS) ** BANDS: 5e-8 at 0.8.
 BANDS, BAND_ROWS = 32, 4
-#: A band group of at most SMALL_GROUP sets yields its pairs. Of a larger one LEADERS sets, four times as many each round, are
-#: compared with all others; after LEADER_ROUNDS rounds all pairs that are still apart are compared, GROUP_CHUNK sets a side.
-SMALL_GROUP, LEADERS, LEADER_ROUNDS, GROUP_CHUNK = 16, 4, 4, 512
+#: Shingles of a family of sets that one task joins; larger families are split into parts that meet pair by pair.
+FAMILY = 1 << 21
 
 _byte_bits = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
@@ -96,62 +96,96 @@ def with_signature(df: DataFrame, text: str, shingle: int) -> DataFrame:
     return with_text_column(df, text, make, "fp long, s long, size int, bands array<long>")
 
 
-def _side(x: DataFrame, side: str, *keys: str) -> DataFrame:
-    return x.select(*keys, *[F.col(c).alias(f"{c}_{side}") for c in ("s", "fp", "size", "c")])
-
-
-def _all_pairs(x: DataFrame) -> DataFrame:
-    """Pairs of each group g of n rows; large groups are split by hash into chunks that meet pair by pair."""
-    x = x.withColumn("parts", F.ceil(F.col("n") / GROUP_CHUNK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("s"), F.col("parts")).cast("int"))
-    x = x.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("ci", F.least("chunk", "o")).withColumn("cj", F.greatest("chunk", "o"))
-    keys = ["g", "ci", "cj"]
-    both = _side(x, "a", *keys, "chunk").join(_side(x, "b", *keys, F.col("chunk").alias("other")), keys)
-    return both.filter("s_a < s_b AND (ci = cj OR chunk <> other)")
+def join_sets(sets: list[np.ndarray], least: float, half: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Edges that connect all pairs of sets (sorted, distinct) of Jaccard similarity ``least`` or more, at most one per set.
+
+    Exact: in the order of how few sets hold an element, two such sets share one of their first n - ceil(least * n) + 1
+    elements, so only sets that meet there are compared, and none that are connected already. With ``half``, only sets of
+    different halves are compared."""
+    size = np.array([len(x) for x in sets])
+    if len(sets) < 2:
+        return []
+    every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    _, token, uses = np.unique(every, return_inverse=True, return_counts=True)
+    by_size = np.argsort(size, kind="stable")
+    turn = np.empty(len(sets), np.int64)
+    turn[by_size] = np.arange(len(sets))
+    order = np.lexsort((token, uses[token], owner))
+    place = np.arange(len(every)) - np.repeat(np.cumsum(size) - size, size)
+    prefix = order[place < (size - np.ceil(least * size - 1e-9).astype(np.int64) + 1)[owner]]
+    prefix = prefix[uses[token[prefix]] > 1]
+    at = prefix[np.lexsort((turn[owner[prefix]], token[prefix]))]  # sets that hold a token in front, small ones first
+    lists, who = token[at], owner[at]
+    first, own = np.searchsorted(lists, lists, "left"), np.arange(len(at))
+    mine = [[] for _ in sets]
+    for k, (f, w) in enumerate(zip(first.tolist(), who.tolist())):
+        if f < k:
+            mine[w].append((f, k))
+    elements = np.split(token, np.cumsum(size)[:-1])
+    label, members, edges = np.arange(len(sets)), [[i] for i in range(len(sets))], []
+    for i in by_size.tolist():
+        if not mine[i]:
+            continue
+        near = np.unique(np.concatenate([who[f:k] for f, k in mine[i]]))
+        near = near[(size[near] >= least * size[i] - 1e-9) & (near != i)]
+        if half is not None:
+            near = near[half[near] != half[i]]
+        near = near[label[near] != label[i]]
+        while len(near):
+            j, near = int(near[0]), near[1:]
+            both = len(np.intersect1d(elements[i], elements[j], assume_unique=True))
+            if both >= least * (size[i] + size[j] - both) - 1e-9:
+                edges.append((i, j))
+                small, big = sorted((int(label[i]), int(label[j])), key=lambda c: len(members[c]))
+                label[members[small]] = big
+                members[big] += members[small]
+                members[small] = []
+                near = near[label[near] != label[i]]
+    return edges
 
 
 def similar(fps: DataFrame, rows: DataFrame, shingle: int, least: float) -> DataFrame:
     """Edges (a, b) of fingerprints that connect all texts whose sets of shingles have a Jaccard similarity of ``least`` or
     more. Bands name the candidates, the whole sets decide. fps: fp, tk, s, size, bands; rows: tk, __t.
 
-    Equal sets are collapsed first. A large group of a band is not paired: some of its sets (leaders) are compared with all
-    others and leave, and the group ends as soon as its sets are connected; each pair not compared is connected or in a
-    group of a later round."""
+    Equal sets are collapsed first. Sets that share a band lie in one family (components over one edge per set and band). A text
+    moves once to its family's task, which joins the whole sets and yields at most one edge per set. A family of more than
+    FAMILY shingles is split by hash into parts, and every pair of parts is a task of its own."""
     sets = fps.filter("s IS NOT NULL").groupBy("s").agg(F.min(F.struct("fp", "tk")).alias("m"), F.max("fp").alias("hi"), F.first("size").alias("size"), F.first("bands").alias("bands"))
-    sets = checkpointed(sets.select("s", "m.fp", "m.tk", "hi", "size", "bands"))
-    edges = checkpointed(fps.select("s", F.col("fp").alias("b")).join(sets.filter("fp <> hi").select("s", F.col("fp").alias("a")), "s").select("a", "b").distinct())
+    sets = written(sets.select("s", "m.fp", "m.tk", "hi", "size", "bands"))
+    edges = fps.select("s", F.col("fp").alias("b")).join(sets.filter("fp <> hi").select("s", F.col("fp").alias("a")), "s").select("a", "b").distinct()
     live = sets.select("s", F.explode("bands").alias("g"))
-    live = live.join(live.groupBy("g").count().filter("count > 1").select("g"), "g").join(sets.select("s", "fp", "tk", "size"), "s")
-    live = checkpointed(live.withColumn("c", F.col("fp")))
+    heads = written(live.groupBy("g").agg(F.min("s").alias("head"), F.count("*").alias("n")).filter("n > 1"))
+    hot = F.col("n") >= max(2, sets.count() * BANDS // HOT)
+    family = components(split_join(live, heads, ["g"], hot).select(F.col("s").alias("a"), F.col("head").alias("b")))
+    family = written(family.select(F.col("node").alias("s"), F.col("component").alias("f")).join(sets.select("s", "fp", "tk", "size"), "s"))
+    parts = family.groupBy("f").agg(F.ceil(F.sum(F.col("size").cast("long")) / FAMILY).cast("int").alias("parts"), F.count("*").alias("n"))
+    wide = F.col("n") >= max(2, family.count() // HOT)
+    family = split_join(family, parts, ["f"], wide).withColumn("part", F.pmod(F.xxhash64("s"), F.col("parts")).cast("int"))
+    texts = rows.join(family.select("tk", "s", "fp", "f", "parts", "part"), "tk").groupBy("s").agg(F.first(F.struct("fp", "f", "parts", "part", "__t")).alias("x")).select("x.*")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    texts = texts.withColumn("o", other).select("fp", "f", "part", "__t", F.least("part", "o").alias("pi"), F.greatest("part", "o").alias("pj"))
+    keys = ["f", "pi", "pj"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for f, i, j, part, fp, text in zip(*[batch[c].to_pylist() for c in (*keys, "part", "fp", "__t")]):
+                if (f, i, j) != now:
+                    yield _family(held, least)
+                    now, held = (f, i, j), []
+                held.append((fp, part != i, np.unique(shingle_hashes(text, shingle))))
+        yield _family(held, least)
 
-    def spell():
-        def f(texts: list) -> dict:
-            return {"hashes": [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in texts]}
-        return f
+    bounded_batches(fps.sparkSession)
+    found = texts.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    return edges.unionByName(found)
 
-    texts = rows.join(live.select("s", "tk").distinct(), "tk").groupBy("s").agg(F.first("__t").alias("__t"))
-    hashes = checkpointed(with_text_column(texts, "__t", spell, "hashes array<long>").select("s", "hashes"))
-    live = live.drop("tk")
-    for k in range(LEADER_ROUNDS + 1):
-        size = live.groupBy("g").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("g", "n")
-        live = checkpointed(live.join(size, "g"))
-        if live.isEmpty():
-            break
-        small = F.col("n") <= SMALL_GROUP if k < LEADER_ROUNDS else F.lit(True)
-        large = live.filter(~small).drop("n")
-        rare = large.groupBy("g", "c").agg(F.count("*").alias("alike"))
-        first = Window.partitionBy("g").orderBy("alike", "s")  # sets that few others are connected with leave first
-        leaders = checkpointed(large.join(rare, ["g", "c"]).withColumn("r", F.row_number().over(first)).filter(F.col("r") <= LEADERS * 4**k).drop("r", "alike"))
-        pairs = _side(large, "b", "g").join(_side(leaders, "a", "g"), "g").filter("s_a <> s_b").select("s_a", "fp_a", "size_a", "c_a", "s_b", "fp_b", "size_b", "c_b")
-        pairs = pairs.unionByName(_all_pairs(live.filter(small)).select(*pairs.columns))
-        pairs = pairs.filter((F.col("c_a") != F.col("c_b")) & (F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b") - 1e-9)).drop("c_a", "c_b").distinct()
-        pairs = pairs.join(hashes.select(F.col("s").alias("s_b"), F.col("hashes").alias("h_b")), "s_b").join(hashes.select(F.col("s").alias("s_a"), F.col("hashes").alias("h_a")), "s_a")
-        both = F.size(F.array_intersect("h_a", "h_b"))
-        edges = checkpointed(edges.unionByName(pairs.filter(both >= least * (F.col("size_a") + F.col("size_b") - both) - 1e-9).select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))))
-        live = large.join(leaders.select("g", "s"), ["g", "s"], "left_anti")
-        if k == LEADER_ROUNDS or live.isEmpty():
-            break
-        live = live.drop("c").join(components(edges), F.col("fp") == F.col("node"), "left").select("g", "s", "fp", "size", F.coalesce("component", "fp").alias("c"))
-    return edges
+
+def _family(held: list[tuple], least: float) -> pa.RecordBatch:
+    half = np.array([h for _, h, _ in held], bool)
+    pairs = join_sets([x for _, _, x in held], least, half if half.any() and not half.all() else None)
+    return pa.RecordBatch.from_arrays([pa.array([held[i][0] for i, _ in pairs], pa.int64()), pa.array([held[j][0] for _, j in pairs], pa.int64())], ["a", "b"])
 
 
 def popcount(x: np.ndarray) -> np.ndarray:

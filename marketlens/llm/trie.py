@@ -21,27 +21,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.ordered import balanced_chunks
-from .common import written
+from .common import HOT, split_join, written
 from .mixing import words as count_words
 
 #: Conversations share the start of the conversation at the next lower multiple of SHARED.
 SHARED, STARTS = 20, 4
 #: Load up to which a component is summed in one task, and nodes of such a task.
 SMALL, TASK_NODES = 1 << 14, 1 << 15
-#: A join key of more than 1 / HOT of the rows goes by broadcast: at most HOT keys can.
-HOT = 1000
 #: Places of a path that are listed at once.
 RUN = 4096
 
 
-def split_join(left: DataFrame, right: DataFrame, keys: list[str], hot: Column, how: str = "inner") -> DataFrame:
-    """``left`` joined with ``right`` (unique ``keys``), whose ``hot`` rows are few and are broadcast, so that a frequent
-    key of ``left`` stays where its rows are. Left rows without a partner stay for how="left"."""
-    at_hot = F.broadcast(right.filter(hot))
-    cold = left.join(at_hot.select(*keys), keys, "left_anti")
-    return left.join(at_hot, keys).unionByName(cold.join(right.filter(~hot), keys, how))
-
-
 def shared_start(conv: Column) -> tuple[Column, Column]:
     """The conversation whose first turns another one takes, and how many it takes."""
     return conv - conv % SHARED, (F.crc32(conv.cast("string").cast("binary")) % STARTS).cast("int")

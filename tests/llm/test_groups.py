@@ -106,11 +106,26 @@ def test_large_dense_group_is_whole(spark):
     assert [got.get(i, i) for i in range(len(fps))] == want
 
 
-@pytest.mark.parametrize("small", [simhash.SMALL_GROUP, 3])
-def test_stage_drops_copies_by_shingle_similarity(spark, monkeypatch, small):
-    monkeypatch.setattr(simhash, "SMALL_GROUP", small)
-    monkeypatch.setattr(simhash, "LEADERS", 1)
-    monkeypatch.setattr(simhash, "GROUP_CHUNK", 5)
+@pytest.mark.parametrize("halves", [False, True])
+def test_sets_join_equals_all_pairs(halves):
+    """One hot group: a passage in every set, copies of one set with changes, sets on their own."""
+    r = random.Random(3)
+    passage = list(range(40))
+    sets = [r.sample(range(100, 10**6), r.randrange(1, 60)) + passage[: r.randrange(41)] for _ in range(150)]
+    base = r.sample(range(10**6, 10**7), 50)
+    sets += [[x for x in base if r.random() > 0.08] + r.sample(range(10**7, 10**8), r.randrange(6)) + passage[: r.choice([0, 40])] for _ in range(150)]
+    sets = [np.unique(np.array(x, np.uint64)) for x in sets]
+    half = np.array([r.random() < 0.5 for _ in sets])
+    exact = [set(x.tolist()) for x in sets]
+    near = [(i, j) for i in range(300) for j in range(i) if 5 * len(exact[i] & exact[j]) >= 4 * len(exact[i] | exact[j]) and (not halves or half[i] != half[j])]
+    got = simhash.join_sets(sets, 0.8, half if halves else None)
+    assert roots(300, got) == roots(300, near) and len(got) == 300 - len(set(roots(300, near))) and len(near) > 1000
+    assert simhash.join_sets([], 0.8) == [] and simhash.join_sets([sets[0]], 0.8) == []
+
+
+@pytest.mark.parametrize("family", [simhash.FAMILY, 400])
+def test_stage_drops_copies_by_shingle_similarity(spark, monkeypatch, family):
+    monkeypatch.setattr(simhash, "FAMILY", family)
     r = random.Random(8)
     vocab = [f"w{i}" for i in range(500)]
     texts = ["", None, "one two", "two one"]
