@@ -31,7 +31,7 @@ def text_column(spark: SparkSession, make: Callable[[], Callable[[list], dict[st
     """A column function of one string column, evaluated over Arrow batches.
 
     ``make`` runs once per task and returns a function from a list of texts (None for null) to a dict of
-    lists, one per field of ``ddl``. Only this column goes to Python; all other columns stay in the JVM.
+    lists or Arrow arrays, one per field of ``ddl``. Only this column goes to Python; all other columns stay in the JVM.
     """
     bounded_batches(spark)
     struct = StructType.fromDDL(ddl)
@@ -41,7 +41,8 @@ def text_column(spark: SparkSession, make: Callable[[], Callable[[list], dict[st
         f = make()
         for batch in batches:
             out = f(batch.to_pylist())
-            yield pa.StructArray.from_arrays([pa.array(out[x.name], type=x.type) for x in kind], fields=list(kind))
+            cols = [out[x.name] if isinstance(out[x.name], pa.Array) else pa.array(out[x.name], type=x.type) for x in kind]
+            yield pa.StructArray.from_arrays(cols, fields=list(kind))
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, returnType=struct)

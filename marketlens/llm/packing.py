@@ -8,6 +8,7 @@ from itertools import count as count_up
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,17 +33,22 @@ def with_pieces(df: DataFrame, text: str = "text", capacity: int = CAPACITY, end
         enc = encoder(path)
 
         def f(texts: list) -> dict:
-            out = []
-            for t in texts:
-                all_ids = np.append(enc.encode(t or ""), end_id).astype("<u4")
-                at, rows = 0, []
-                for k, n in enumerate(piece_lengths(len(all_ids), capacity)):
-                    part = all_ids[at: at + n]
-                    row = {"piece": k, "start": at, "length": n, "ids_crc32": zlib.crc32(part.tobytes())}
-                    rows.append(row | {"ids": part.astype(np.int32)} if ids else row)
-                    at += n
-                out.append(rows)
-            return {"pieces": out}
+            all_ids = [enc.encode(t or "", end_id) for t in texts]
+            flat, sizes = np.concatenate([np.zeros(0, "<u4"), *all_ids]), np.fromiter(map(len, all_ids), np.int64, len(all_ids))
+            count = -(-sizes // capacity)
+            rows, doc = np.arange(count.sum()), np.repeat(np.arange(len(sizes)), count)
+            piece = rows - np.repeat(np.cumsum(count) - count, count)
+            short = (sizes - (count - 1) * capacity)[doc]  # the first piece; the others are full
+            start = np.where(piece > 0, short + (piece - 1) * capacity, 0)
+            length = np.where(piece > 0, capacity, short)
+            at = start + (np.cumsum(sizes) - sizes)[doc]
+            data = memoryview(flat.tobytes())
+            crc = [zlib.crc32(data[4 * a: 4 * (a + n)]) for a, n in zip(at.tolist(), length.tolist())]
+            cols = {"piece": pa.array(piece, pa.int32()), "start": pa.array(start), "length": pa.array(length), "ids_crc32": pa.array(crc, pa.int64())}
+            if ids:
+                cols["ids"] = pa.ListArray.from_arrays(pa.array(np.append(at, len(flat)), pa.int32()), pa.array(flat.view(np.int32)))
+            struct = pa.StructArray.from_arrays(list(cols.values()), names=list(cols))
+            return {"pieces": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)), pa.int32()), struct)}
         return f
 
     kind = "piece: int, start: bigint, length: bigint, ids_crc32: bigint" + (", ids: array<int>" if ids else "")

@@ -50,12 +50,18 @@ class Encoder:
 
         return Tokenizer.from_file(self.path)
 
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of one text as int64. Lone surrogates count as U+FFFD."""
-        text = text.encode("utf-8", "replace").decode() if not text.isascii() else text
+    def encode(self, text: str, end_id: int | None = None) -> np.ndarray:
+        """Ids of one text as unsigned 32-bit integers, with ``end_id`` behind them if given. Lone surrogates count as "?"."""
+        if not text.isascii():
+            try:
+                text.encode()
+            except UnicodeEncodeError:
+                text = text.encode("utf-8", "replace").decode()
         if has_long_run(text):
-            return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.int64)
-        return self.fast.encode_to_numpy(text, allowed_special="all").astype(np.int64)
+            found = np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4")
+        else:
+            found = self.fast.encode_to_numpy(text, allowed_special="all")
+        return found if end_id is None else np.append(found, np.uint32(end_id))
 
 
 def has_long_run(text: str) -> bool:
