@@ -7,13 +7,14 @@ ever formed.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.base import epoch_us, int_div
-from .ordered import CHUNK, block_window, lookback, own_rows
+from .ordered import CHUNK, add_chunk, balanced_chunks, block_window, lookback, own_rows
 
 
 def _asof(left: DataFrame, right: DataFrame, on: Sequence[str], left_ts: str, right_ts: str,
@@ -113,3 +114,52 @@ def market_token_price(token_prices: DataFrame, rounds: DataFrame) -> DataFrame:
     return (token_prices.where(F.col("price") > 0).join(tokens, "token_id")
             .select("condition_id", "ts", F.when(F.col("_pos") == 0, F.col("price"))
                     .otherwise(1 - F.col("price")).alias("up_price")))
+
+
+@dataclass(frozen=True)
+class Source:
+    """One right side of ``asof_many``: its rows, their time, what to take (output name -> column), the longest age of a match in
+    seconds (None: any), and the columns that order rows of equal time (the last one wins)."""
+
+    rows: DataFrame
+    ts: str
+    take: Mapping[str, str]
+    tolerance_s: float | None = None
+    tie: Sequence[str] = ()
+
+
+def asof_many(left: DataFrame, sources: Sequence[Source], on: Sequence[str], *, left_ts: str, width_s: float | None = None) -> DataFrame:
+    """Every left row with the newest row of each source at or before it: all sides in one union and one order.
+
+    A chain of as-of joins moves the left rows once per source; here they move once, whatever the number of sources, and each
+    source is one carried column set. Chunks hold equally many rows (``width_s`` None), so neither a hot key nor a
+    dense day lies in one task, or span ``width_s`` seconds. A source row without a key or a time matches nothing; a left row
+    without one stays and gets nulls; repeated left rows stay repeated.
+    """
+    on, keys = list(on), [f"_k{i}" for i in range(len(on))]
+    lkeys = [F.col(k).alias(n) for k, n in zip(on, keys)]
+    sets = [f"_r{i}" for i in range(len(sources))]
+    ties = [f"_tie{i}" for i, x in enumerate(sources) if x.tie]
+    both = left.select(*lkeys, epoch_us(left_ts).alias("_t"), F.lit(1).alias("_side"), F.struct(*[F.col(x) for x in left.columns]).alias("_l"))
+    for i, x in enumerate(sources):
+        tie = [F.struct(*[F.col(c) for c in x.tie]).alias(f"_tie{i}")] if x.tie else []
+        row = F.struct(epoch_us(x.ts).alias("_at"), *[F.col(c).alias(n) for n, c in x.take.items()]).alias(f"_r{i}")
+        rows = x.rows.select(*lkeys, epoch_us(x.ts).alias("_t"), F.lit(0).alias("_side"), *tie, row)
+        for c in [*keys, "_t"]:
+            rows = rows.where(F.col(c).isNotNull())
+        both = both.unionByName(rows, allowMissingColumns=True)
+    order = ["_t", "_side", *ties]
+    both = balanced_chunks(both, keys, order) if width_s is None else add_chunk(both.withColumn("_ts", F.timestamp_micros("_t")), "_ts", width_s).drop("_ts")
+    part = [*keys, CHUNK]
+    newest = both.groupBy(*part).agg(*[F.max_by(r, F.when(F.col(r).isNotNull(), F.struct(*order))).alias(r) for r in sets])
+    before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    carry = newest.select(*part, *[F.last(r, True).over(before).alias(f"_c{r}") for r in sets])
+    local = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.select(*part, "_t", "_side", "_l", *[F.last(r, True).over(local).alias(r) for r in sets]).where("_side = 1")
+    out = seen.join(carry, part, "left")
+    taken = []
+    for r, x in zip(sets, sources):
+        hit = F.coalesce(r, f"_c{r}")
+        ok = hit["_at"] <= F.col("_t") if x.tolerance_s is None else F.col("_t") - hit["_at"] <= int(x.tolerance_s * 1_000_000)
+        taken += [F.when(ok, hit[n]).alias(n) for n in x.take]
+    return out.select("_l.*", *taken)

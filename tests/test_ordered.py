@@ -102,6 +102,30 @@ def test_asof_against_merge_asof(spark, df, rows, strict):
         assert got == {int(a): (None if pd.isna(b) else int(b)) for a, b in zip(want["n"], want["i"])}
 
 
+@pytest.mark.parametrize("width", [None, 300])
+def test_asof_many_equals_one_by_one(spark, df, rows, width):
+    """Three sources of different columns, one with a tolerance; hot key, rows without a key or a time, repeated left rows."""
+    rng = random.Random(4)
+    left = [(k, n, 1_700_000_000 + rng.uniform(-200, 90_000)) for n, k in enumerate(["hot", "mid", "one", "none"] * 40)]
+    left += [(r[0], 1000 + r[1], r[2]) for r in rows[:40]] + [(None, 5000, 1_700_000_500.0), ("hot", 5001, None), ("hot", 5002, 1_700_000_500.0), ("hot", 5002, 1_700_000_500.0)]
+    l = spark.createDataFrame(left, "k string, n long, s double").withColumn("at", F.timestamp_micros((F.col("s") * 1e6).cast("long")))
+    sides = [df.groupBy("k", "ts").agg(F.max("i").alias("i")), df.where("i % 7 = 0").groupBy("k", "ts").agg(F.max("pnl").alias("pnl")), df.where("i % 11 = 0").select("k", "ts", "i", "won")]
+    sides[0] = sides[0].unionByName(spark.createDataFrame([(None, None, 1), ("hot", None, 2)], "k string, ts timestamp, i long"))
+    got = A.asof_many(l, [A.Source(sides[0], "ts", {"a": "i"}), A.Source(sides[1], "ts", {"b": "pnl"}, tolerance_s=30), A.Source(sides[2], "ts", {"c": "won", "at_i": "i"}, tie=["i"])], ["k"], left_ts="at", width_s=width)
+    one = A.asof_backward(l, sides[0], ["k"], left_ts="at", right_ts="ts", take={"a": "i"})
+    one = A.asof_backward(one, sides[1], ["k"], left_ts="at", right_ts="ts", take={"b": "pnl"}, tolerance_s=30)
+    one = A.asof_backward(one, sides[2], ["k"], left_ts="at", right_ts="ts", take={"c": "won", "at_i": "i"}, right_tie=["i"])
+    want = sorted(map(str, one.collect()))
+    assert sorted(map(str, got.collect())) == want and len(want) == 204
+
+
+def test_asof_many_orders_once(spark, df):
+    l = df.select("k", F.col("ts").alias("at"))
+    x = A.asof_many(l, [A.Source(df, "ts", {f"c{n}": "i"}, tie=["i"]) for n in range(5)], ["k"], left_ts="at", width_s=300)
+    plan = x._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") <= 4, plan  # rows of all sides, chunk rows, and the join of both
+
+
 def test_asof_tolerance_and_no_key(spark, df):
     l = spark.createDataFrame([(1, 1_700_000_000.0), (2, 1_799_000_000.0)], "n long, s double").withColumn("at", F.timestamp_seconds("s"))
     got = {r.n: r.hit for r in A.asof_backward(l, df.groupBy("ts").agg(F.max("i").alias("i")), [], left_ts="at", right_ts="ts", take={"hit": "i"}, tolerance_s=60).collect()}

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marketlens.functions.base import round_to
+from marketlens.operators.asof import Source, asof_many
 from marketlens.plans import scoring as S
 
 from . import views as V
@@ -333,3 +334,51 @@ def _(s, d):
         "entry", "score", "edge", "true_prob", "cl_agree", "quote_age_ms", F.lit(0.0)), 9)).withColumnRenamed("l_partkey", "round_id")
     b = round_best(x, ["round_id"], tie=["l_orderkey", "l_linenumber", "l_suppkey"])
     return b.select("round_id", "duration_class", "l_orderkey", round_to("growth", 6).alias("growth"))
+
+
+# ---------------------------------------------------------------- decisions over market data
+# A decision of a line item falls into January 2024 and reads one feed; what its scores need comes from five sources as of then.
+_FEEDS = ("click", "error", "purchase", "signup", "view")
+_DECISION_S = "1704153600 + (l_orderkey * 1009 + l_partkey * 131 + l_linenumber * 17) % 2505600"
+_MID = "100e0 + value / 250e0"
+_MARKET = {
+    "current": "quote", "open_price": "bar_open", "quote_age_ms": "quote_age_s", "oracle_price": "oracle", "oracle_age_s": "oracle_age_s / 60e0",
+    "perp_basis": "(perp - quote) / quote", "ema5": "quote", "ema60": "bar_close", "taker_ratio": "bar_taker / bar_volume", "vol_ratio": "bar_volume / 8e0",
+    "vwap_dev": "(quote - bar_close) / bar_close", "dw_ob": "greatest(-0.6e0, least(0.6e0, (quote - bar_close) / 0.5e0))",
+}
+
+
+def decisions(s, d):
+    """Line items with the market as of their decision time: one union and one order for all five sources."""
+    feed = F.element_at(F.array(*[F.lit(x) for x in _FEEDS]), (F.col("l_suppkey") % len(_FEEDS) + 1).cast("int"))
+    left = V.table(s, d, "lineitem").withColumns({"feed": feed, "at": F.timestamp_seconds(F.expr(_DECISION_S))})
+    q = V.table(s, d, "events").select(F.col("event_type").alias("feed"), F.col("ts").cast("timestamp").alias("ts"), F.expr(_MID).alias("mid"), "user_id")
+    bars = V.bars(s, d).withColumnRenamed("asset", "feed").withColumns({"closed": F.col("ts") + F.expr("INTERVAL 1 HOUR"), "o": (F.col("o") - 100) / 250 + 100, "c": (F.col("c") - 100) / 250 + 100})
+    x = asof_many(left, [
+        Source(q, "ts", {"quote": "mid", "quote_ts": "ts"}), Source(bars, "ts", {"bar_open": "o"}),
+        Source(bars, "closed", {"bar_close": "c", "bar_volume": "v", "bar_taker": "taker_v"}),
+        Source(q.where("user_id % 5 = 0"), "ts", {"oracle": "mid", "oracle_ts": "ts"}, tolerance_s=43_200), Source(q.where("user_id % 3 = 0"), "ts", {"perp": "mid"})], ["feed"], left_ts="at")
+    return x.withColumns({"quote_age_s": (F.unix_micros("at") - F.unix_micros("quote_ts")) / 1e6, "oracle_age_s": (F.unix_micros("at") - F.unix_micros("oracle_ts")) / 1e6}) \
+        .where("quote IS NOT NULL AND bar_open IS NOT NULL AND bar_close IS NOT NULL AND perp IS NOT NULL")
+
+
+_DECISIONS = V.with_views("bars", f"""q AS (SELECT event_type AS feed, epoch_us(ts) AS t, {_MID} AS mid, user_id FROM events),
+oracles AS (SELECT * FROM q WHERE user_id % 5 = 0), perps AS (SELECT * FROM q WHERE user_id % 3 = 0),
+opened AS (SELECT asset AS feed, t, (o - 100) / 250 + 100 AS o FROM bars), closed AS (SELECT asset AS feed, t + 3600000000 AS t, (c - 100) / 250 + 100 AS c, v, taker_v FROM bars),
+dec AS (SELECT *, list_extract({list(_FEEDS)}, l_suppkey % {len(_FEEDS)} + 1) AS feed, ({_DECISION_S}) * 1000000 AS due FROM lineitem),
+market AS (SELECT dec.*, q.mid AS quote, (due - q.t) / 1e6 AS quote_age_s, opened.o AS bar_open, closed.c AS bar_close, closed.v AS bar_volume, closed.taker_v AS bar_taker,
+    CASE WHEN due - oracles.t <= 43200000000 THEN oracles.mid END AS oracle, CASE WHEN due - oracles.t <= 43200000000 THEN (due - oracles.t) / 1e6 END AS oracle_age_s, perps.mid AS perp
+  FROM dec ASOF JOIN q ON dec.feed = q.feed AND dec.due >= q.t ASOF JOIN opened ON dec.feed = opened.feed AND dec.due >= opened.t ASOF JOIN closed ON dec.feed = closed.feed AND dec.due >= closed.t
+  ASOF LEFT JOIN oracles ON dec.feed = oracles.feed AND dec.due >= oracles.t ASOF JOIN perps ON dec.feed = perps.feed AND dec.due >= perps.t),
+snap AS (SELECT """ + LINE_ID + ", " + ", ".join(f'{t} AS "{n}"' for n, t in (SNAPSHOT | _MARKET).items()) + " FROM market)").rstrip()
+
+
+@add("decision_reasons", _DECISIONS + ",\n" + _SIZE + f""" SELECT {LINE_ID}, {rnd('"current"', 6)} AS "current", {rnd('oracle_price', 6)} AS oracle_price, {rnd('oracle_age_s', 6)} AS oracle_age_s,
+  {rnd('taker_ratio', 6)} AS taker_ratio, {rnd('perp_basis', 6)} AS perp_basis, CASE WHEN quote_age_ms > 1200 THEN 'quote_stale'
+  WHEN pct_remaining < 0.15 THEN 'too_late' WHEN direction IS NULL THEN 'no_direction' WHEN open_src <> 'PM' THEN 'open_source' WHEN oracle_age_s > 90 THEN 'oracle_stale' WHEN jump_dir <> direction THEN 'jump_against'
+  WHEN ob_sig < -0.40 THEN 'book_against' WHEN side_blocked THEN 'edge_hard_block' WHEN NOT cl_agree THEN 'oracle_disagree' WHEN true_prob < CASE WHEN duration <= 5 THEN 0.58 ELSE 0.60 END THEN 'prob_low'
+  WHEN edge < 0.015 THEN 'edge_low' ELSE size_reason END AS reason FROM e8""")
+def _(s, d):
+    x = decisions(s, d)
+    snap = x.select(*LINE_COLS, *[F.expr(t).alias(n) for n, t in (SNAPSHOT | _MARKET).items()])
+    return S.score_snapshot(snap).select(*LINE_COLS, *[round_to(c, 6).alias(c) for c in ("current", "oracle_price", "oracle_age_s", "taker_ratio", "perp_basis")], "reason")
