@@ -1,5 +1,8 @@
 import json
 
+import pytest
+from pyspark.sql import functions as F
+
 from marketlens.sources import readers as R
 from marketlens.sources import sinks as K
 
@@ -82,3 +85,65 @@ def test_insert_or_ignore(spark, tmp_path):
 def test_write_events(spark, tmp_path):
     K.write_events(spark.createDataFrame([("ENTRY", "a"), ("RESOLVE", "a")], "event string, condition_id string"), str(tmp_path / "ev"))
     assert spark.read.json(str(tmp_path / "ev")).count() == 2
+
+
+def _hist(spark, *rows):
+    return spark.createDataFrame(rows, "asset string, round_ts long, side string, won long, llr double, true_prob double")
+
+
+def test_two_writers_leave_each_key_once(spark, tmp_path, monkeypatch):
+    """The second writer checks the store, then the first one commits: the second must check again."""
+    path, real, calls = str(tmp_path / "hist"), K.publish, []
+
+    def late(rows, *args, **kw):
+        if not calls:
+            calls.append(1)
+            K.upsert_hist_calib(_hist(spark, ("BTC", 1, "Up", 1, .1, .5)), path)
+        return real(rows, *args, **kw)
+
+    monkeypatch.setattr(K, "publish", late)
+    K.upsert_hist_calib(_hist(spark, ("BTC", 1, "Up", 0, 9.0, .9), ("BTC", 2, "Up", 0, .3, .5)), path)
+    for _ in range(2):  # a repeated job
+        K.upsert_hist_calib(_hist(spark, ("BTC", 2, "Up", 1, 8.0, .5), ("ETH", 1, "Up", 1, .2, .5)), path)
+    got = sorted((x.asset, x.round_ts, x.llr) for x in spark.read.parquet(path).collect())
+    assert got == [("BTC", 1, .1), ("BTC", 2, .3), ("ETH", 1, .2)]
+
+
+def test_a_failed_write_is_not_seen(spark, tmp_path):
+    path = str(tmp_path / "hist")
+    K.upsert_hist_calib(_hist(spark, ("BTC", 1, "Up", 1, .1, .5)), path)
+    bad = _hist(spark, ("BTC", 3, "Up", 1, .1, .5)).withColumn("llr", F.expr("raise_error('lost')").cast("double"))
+    with pytest.raises(Exception, match="lost"):
+        K.upsert_hist_calib(bad, path)
+    assert spark.read.parquet(path).count() == 1
+
+
+def test_streaming_sinks_take_a_batch_once(spark, tmp_path):
+    """A query that dies behind the write of a batch sends it again after its restart."""
+    put(tmp_path / "a.json", {"event": "ENTRY", "condition_id": "c1"}, {"event": "RESOLVE", "condition_id": "c1"})
+    (tmp_path / "in").mkdir()
+    (tmp_path / "a.json").rename(tmp_path / "in" / "a.json")
+    out, folder = str(tmp_path / "out"), str(tmp_path / "checkpoint")
+
+    def run(write):
+        src = spark.readStream.schema("event string, condition_id string").json(str(tmp_path / "in"))
+        q = src.writeStream.foreachBatch(write).option("checkpointLocation", folder).trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    write = K.event_batches(out)
+
+    def dies(batch, batch_id):
+        write(batch, batch_id)
+        raise RuntimeError("lost behind the write")
+
+    with pytest.raises(Exception, match="lost behind"):
+        run(dies)
+    run(write)
+    put(tmp_path / "in" / "b.json", {"event": "ENTRY", "condition_id": "c2"})
+    run(write)
+    got = sorted((x.event, x.condition_id, x.batch) for x in spark.read.json(out).collect())
+    assert got == [("ENTRY", "c1", 0), ("ENTRY", "c2", 1), ("RESOLVE", "c1", 0)]
+    ledger = spark.createDataFrame([{**{c: "" for c in K.LEDGER_COLUMNS}, "result": "WIN", "pnl": "+1.5"}])
+    for _ in range(2):
+        K.ledger_batches(str(tmp_path / "ledger"))(ledger, 7)
+    assert [x.pnl for x in R.read_ledger(spark, str(tmp_path / "ledger")).collect()] == [1.5]
