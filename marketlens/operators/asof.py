@@ -18,9 +18,9 @@ from .ordered import CHUNK, add_chunk, balanced_chunks, block_window, lookback,
 
 
 def _asof(left: DataFrame, right: DataFrame, on: Sequence[str], left_ts: str, right_ts: str,
-          take: dict[str, str], width_s: float, sign: int, tolerance_s: float | None, strict: bool,
+          take: dict[str, str], width_s: float | None, sign: int, tolerance_s: float | None, strict: bool,
           right_tie: Sequence[str]) -> DataFrame:
-    on, width = list(on), int(width_s * 1_000_000)
+    on = list(on)
     lkeys = [F.col(k).alias(f"_k{i}") for i, k in enumerate(on)]
     keys = [f"_k{i}" for i in range(len(on))]
     # Right rows sort before left rows at equal time, unless equality is excluded.
@@ -34,9 +34,14 @@ def _asof(left: DataFrame, right: DataFrame, on: Sequence[str], left_ts: str, ri
     # A right row without a key or a time matches nothing; such left rows stay, without a match.
     for x in [*keys, "_t"]:
         rhs = rhs.where(F.col(x).isNotNull())
-    chunk = F.floor(F.col("_t") / width) if sign < 0 else int_div("_t", width)
-    rhs, lhs = rhs.withColumn(CHUNK, chunk), lhs.withColumn(CHUNK, chunk)
     part, order = [*keys, CHUNK], ["_t", "_side", "_tie"]
+    if width_s is None:  # chunks of equal row counts, written once
+        both = balanced_chunks(rhs.unionByName(lhs, allowMissingColumns=True), keys, order)
+        rhs, lhs = both.where(F.col("_side") == side_right).drop("_l"), both.where(F.col("_side") == side_left).drop("_r", "_tie")
+    else:
+        width = int(width_s * 1_000_000)
+        chunk = F.floor(F.col("_t") / width) if sign < 0 else int_div("_t", width)
+        rhs, lhs = rhs.withColumn(CHUNK, chunk), lhs.withColumn(CHUNK, chunk)
     # Newest right row of every chunk, and the chunks that hold left rows. Only key columns of the left
     # side are read here, so a chain of as-of joins does not compute its input twice per link.
     seen = rhs.groupBy(*part).agg(F.max_by("_r", F.struct(*order)).alias("_c")).unionByName(
@@ -53,18 +58,19 @@ def _asof(left: DataFrame, right: DataFrame, on: Sequence[str], left_ts: str, ri
 
 
 def asof_backward(left: DataFrame, right: DataFrame, on: Sequence[str], *, left_ts: str, right_ts: str,
-                  take: dict[str, str], width_s: float = 86_400, tolerance_s: float | None = None,
+                  take: dict[str, str], width_s: float | None = 86_400, tolerance_s: float | None = None,
                   strict: bool = False, right_tie: Sequence[str] = ()) -> DataFrame:
     """Every left row with the newest right row at or before it (``strict``: before it).
 
-    ``take`` maps output names to right columns; a left row without a match gets nulls.
+    ``take`` maps output names to right columns; a left row without a match gets nulls. Chunks span ``width_s`` seconds, or hold
+    equally many rows (None), so that neither a hot key nor a dense day lies in one task.
     ``right_tie`` orders right rows of equal time (the last one wins).
     """
     return _asof(left, right, on, left_ts, right_ts, take, width_s, 1, tolerance_s, strict, right_tie)
 
 
 def asof_forward(left: DataFrame, right: DataFrame, on: Sequence[str], *, left_ts: str, right_ts: str,
-                 take: dict[str, str], width_s: float = 86_400, tolerance_s: float | None = None,
+                 take: dict[str, str], width_s: float | None = 86_400, tolerance_s: float | None = None,
                  strict: bool = False, right_tie: Sequence[str] = ()) -> DataFrame:
     """Every left row with the first right row at or after it; null means "not there yet".
 

@@ -29,7 +29,7 @@ def hist_calibration(rounds: DataFrame, bars: DataFrame, *, leader: str = "BTC",
     written to the checkpoint folder once instead of being derived anew for every use.
     """
     rounds = checkpointed(rounds)
-    f = BarFrame(bars.select("asset", "ts", "c"), n=14, width_s=width_s, block=block)
+    f = BarFrame(bars.select("asset", "ts", "c"), n=14, block=block)
     feats = f.with_features(_n=f.bars_seen(14), _k=F.count("_ret").over(f.rows(12)), _sigma=f.rms_sigma(14), _ret12=f.displacement(12))
     if strict:
         feats = feats.withColumn("ts", F.timestamp_micros(F.unix_micros("ts") + int(bar_s * 1e6)))

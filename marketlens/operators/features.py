@@ -33,7 +33,7 @@ class BarFrame:
     """
 
     def __init__(self, bars: DataFrame, keys: Sequence[str] = ("asset",), ts: str = "ts", n: int = 33, *,
-                 width_s: float = 30 * DAY_S, block: int = 65_536):
+                 width_s: float | None = None, block: int = 65_536):
         self.keys = list(keys)
         self.df = lookback(bars, self.keys, [ts], n, ts=ts, width_s=width_s, block=block)
         self.w = block_window(self.keys)
@@ -256,7 +256,7 @@ def price_velocity(ticks: DataFrame, *, min_age_s: float = 60, keys: Sequence[st
 
 
 def prev_round_direction(rounds: DataFrame, *, keys: Sequence[str] = ("asset", "duration"), ts: str = "start_ts",
-                         dead_band: float = 0.0002, width_s: float = 30 * DAY_S, block: int = 65_536) -> DataFrame:
+                         dead_band: float = 0.0002, width_s: float | None = None, block: int = 65_536) -> DataFrame:
     """Direction of each round's open against the previous one, with a dead band."""
     d = lookback(rounds, keys, [ts], 1, ts=ts, width_s=width_s, block=block)
     prev = F.lag("open").over(block_window(keys))
@@ -266,14 +266,31 @@ def prev_round_direction(rounds: DataFrame, *, keys: Sequence[str] = ("asset", "
     return own_rows(d)
 
 
+def trailing_sums(rows: DataFrame, window_s: float, values: dict[str, Column], *, keys: Sequence[str], ts: str, width_s: float) -> DataFrame:
+    """Adds, per name, the sum of a column (double; null: nothing) over the rows of the last ``window_s`` seconds, rows of the same time
+    included, and exactly 0.0 where no row holds a value.
+
+    Every row counts when it comes and is taken back when it leaves the window, so one running sum over both kinds of events
+    gives all windows: the cost of a row does not grow with the rows in a window. Rows without a time form one window."""
+    d = time_halo(rows, ts, width_s, window_s).withColumns({"_t": epoch_us(ts), **{f"_v_{n}": v.cast("double") for n, v in values.items()}})
+    event = lambda t, sign: F.struct(t.alias("t"), F.lit(sign).alias("sign"))
+    comes, leaves = event(F.col("_t"), 1), event(F.col("_t") + int(window_s * 1e6) + 1, -1)
+    d = d.withColumn("_e", F.explode(F.when(F.col("_t").isNull(), F.array(comes)).otherwise(F.array(comes, leaves))))
+    d = d.withColumns({"_at": F.col("_e.t"), "_sg": F.col("_e.sign")})
+    w = Window.partitionBy(*keys, CHUNK).orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
+    for n in values:
+        held = F.sum(F.when(F.col(f"_v_{n}").isNotNull(), F.col("_sg"))).over(w)
+        # what is left of rows that were taken back is rounding noise
+        d = d.withColumn(n, F.when(held > 0, F.round(F.sum(F.col(f"_v_{n}") * F.col("_sg")).over(w), 9)).otherwise(F.lit(0.0)))
+    return d.where((F.col("_sg") > 0) & F.col(OWN)).drop("_t", "_e", "_at", "_sg", CHUNK, OWN, *[f"_v_{n}" for n in values])
+
+
 def agg_ofi(trades: DataFrame, *, window_s: float = 30, keys: Sequence[str] = ("asset",), ts: str = "ts",
             width_s: float = DAY_S) -> DataFrame:
     """Signed share of taker volume over a trailing window (+1 all buys, -1 all sells)."""
-    d = time_halo(trades, ts, width_s, window_s).withColumn("_t", epoch_us(ts))
-    w = Window.partitionBy(*keys, CHUNK).orderBy("_t").rangeBetween(-int(window_s * 1e6), 0)
     signed = F.when(F.upper("side") == "BUY", F.col("size")).otherwise(-F.col("size"))
-    return (d.withColumn("ofi", div_or(F.sum(signed).over(w), F.sum("size").over(w), 0.0))
-            .where(OWN).drop("_t", CHUNK, OWN))
+    d = trailing_sums(trades, window_s, {"_signed": signed, "_size": F.col("size")}, keys=keys, ts=ts, width_s=width_s)
+    return d.withColumn("ofi", div_or("_signed", "_size", 0.0)).drop("_signed", "_size")
 
 
 def liquidation_signal(liqs: DataFrame, *, window_s: float = 60, strong: float = 3.0, keys: Sequence[str] = ("asset",),
@@ -283,10 +300,7 @@ def liquidation_signal(liqs: DataFrame, *, window_s: float = 60, strong: float =
     A liquidated short is a forced BUY and supports Up. One point when its value exceeds the
     other side's, two when it is ``strong`` times as large (limits are ours).
     """
-    d = time_halo(liqs, ts, width_s, window_s).withColumn("_t", epoch_us(ts))
-    w = Window.partitionBy(*keys, CHUNK).orderBy("_t").rangeBetween(-int(window_s * 1e6), 0)
-    buys = F.coalesce(F.sum(F.when(F.upper("side") == "BUY", F.col("size"))).over(w), F.lit(0.0))
-    sells = F.coalesce(F.sum(F.when(F.upper("side") != "BUY", F.col("size"))).over(w), F.lit(0.0))
-    pts = lambda a, b: (F.when((a > 0) & (a >= b * strong), 2).when(a > b, 1).otherwise(0))
-    return (d.withColumn("liq_up", pts(buys, sells)).withColumn("liq_down", pts(sells, buys))
-            .where(OWN).drop("_t", CHUNK, OWN))
+    sides = {"_buys": F.when(F.upper("side") == "BUY", F.col("size")), "_sells": F.when(F.upper("side") != "BUY", F.col("size"))}
+    d = trailing_sums(liqs, window_s, sides, keys=keys, ts=ts, width_s=width_s)
+    pts = lambda a, b: F.when((F.col(a) > 0) & (F.col(a) >= F.col(b) * strong), 2).when(F.col(a) > F.col(b), 1).otherwise(0)
+    return d.withColumn("liq_up", pts("_buys", "_sells")).withColumn("liq_down", pts("_sells", "_buys")).drop("_buys", "_sells")

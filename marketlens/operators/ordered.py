@@ -13,15 +13,17 @@ Keys and times may be null: a null key is a key like others, and rows without a
 are matched back to rows by one struct column, in which nulls are equal, so the rows move once.
 
 A time chunk is as large as the data in it. ``balanced_chunks`` instead cuts by rows: chunks are range
-partitions over (keys, order), so no task gets more than about its share, however dense one key or day is.
+partitions over (keys, order), so no task gets more than about its share, however dense one key or day is. Operators
+cut by rows unless their caller gives a width.
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.base import epoch_us, int_div
@@ -45,14 +47,32 @@ def part_keys(keys: Sequence[str]) -> list[Column]:
     return [F.col(f"{PART}.{k}") for k in keys]
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session; a temporary one is set only where none is configured and all tasks run on this machine
+    (tests). Raises on a cluster without one: executors would write to folders of their own."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder of the session; a temporary one only where none is set (tests)."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    """``df`` written to the checkpoint folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table below the checkpoint folder. For loops of joins: a checkpoint keeps the planner's guess of its size, which
+    such a loop multiplies from round to round; a written table has its true one."""
+    path = f"{checkpoint_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def balanced_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = CHUNK) -> DataFrame:
     """Adds a chunk number that grows with (keys, order) and holds about equally many rows.
 
@@ -135,7 +155,7 @@ def row_halo(df: DataFrame, n: int, block: int, idx: str = INDEX) -> DataFrame:
             .withColumn(OWN, F.col(BLOCK) == home))
 
 
-def lookback(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, *, ts: str, width_s: float,
+def lookback(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, *, ts: str, width_s: float | None,
              block: int = 65_536) -> DataFrame:
     """``dense_index`` + ``row_halo``: ready for any frame of at most ``n`` preceding rows."""
     return row_halo(dense_index(df, keys, order, ts=ts, width_s=width_s), n, block)

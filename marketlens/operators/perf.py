@@ -14,7 +14,8 @@ from pyspark.sql import types as T
 from ..functions.base import ColumnOrName, c, clamp, div_or, epoch_s, profit_factor, round_to, safe_double, sum_if
 from ..functions.normalize import age_bucket, score_bucket
 from ..functions.prob import direction_bias, drawdown_scale, fee_stake, wilson_lb
-from .ordered import CHUNK, PART, add_chunk, balanced_chunks, block_window, lookback, own_rows, part_keys, with_part
+from .asof import asof_forward
+from .ordered import CHUNK, PART, add_chunk, balanced_chunks, block_window, lookback, own_rows, part_keys, running, with_part, written
 
 MONTH_S = 30 * 86_400
 _PRIOR = (Window.unboundedPreceding, -1)
@@ -70,7 +71,7 @@ def _join_groups(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
 
 
 def pnl_summary(rows: DataFrame, by: Sequence[str], order: Sequence[str], *, pnl: str = "pnl", bank_after: str | None = None,
-                unit: float = 1000.0, ts: str = "ts", width_s: float = MONTH_S) -> DataFrame:
+                unit: float = 1000.0, ts: str = "ts", width_s: float | None = None) -> DataFrame:
     """Trades, win rate, totals, Sharpe, Sortino (99 without losses), maximum drawdown per group.
 
     A return is pnl over the bank before it; without a bank column, pnl / ``unit``. Sharpe and Sortino
@@ -190,7 +191,7 @@ def profile_adjustments(profile: DataFrame, *, min_n: int = 12, good_lb: float =
 
 
 def profile_results(ledger: DataFrame, order: Sequence[str], *, bankroll: float = 100.0, ts: str = "ts",
-                    width_s: float = MONTH_S) -> DataFrame:
+                    width_s: float | None = None) -> DataFrame:
     """Trades, wins, win rate, pnl and drawdown of every run."""
     x = ledger.where(F.upper("result").isin("WIN", "LOSS")).withColumn("_p", safe_double("pnl"))
     g = x.groupBy("profile").agg(F.count(F.lit(1)).alias("trades"), F.count_if(F.upper("result") == "WIN").alias("wins"), F.sum("_p").alias("_s"))
@@ -227,7 +228,7 @@ def _chunked(rows: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str
 
 
 def equity_curve(rows: DataFrame, keys: Sequence[str], order: Sequence[str], *, pnl: str = "pnl", start: float = 0.0,
-                 ts: str = "ts", width_s: float = MONTH_S) -> DataFrame:
+                 ts: str = "ts", width_s: float | None = None) -> DataFrame:
     """Adds equity, peak and drawdown after each row, and equity / peak before it.
 
     Windows run inside (key, time chunk); a chunk hands its total and its highest point to the next
@@ -249,7 +250,7 @@ def equity_curve(rows: DataFrame, keys: Sequence[str], order: Sequence[str], *,
 
 
 def max_drawdown(rows: DataFrame, keys: Sequence[str], order: Sequence[str], *, pnl: str = "pnl", start: float = 0.0,
-                 ts: str = "ts", width_s: float = MONTH_S) -> DataFrame:
+                 ts: str = "ts", width_s: float | None = None) -> DataFrame:
     """Largest fall from a running peak per key.
 
     Each chunk keeps four numbers (total, highest and lowest point, own drawdown); the chunks of a
@@ -269,7 +270,7 @@ def max_drawdown(rows: DataFrame, keys: Sequence[str], order: Sequence[str], *,
 
 
 def drawdown_scales(rows: DataFrame, keys: Sequence[str], order: Sequence[str], *, start: float, pnl: str = "pnl", ts: str = "ts",
-                    width_s: float = MONTH_S) -> DataFrame:
+                    width_s: float | None = None) -> DataFrame:
     """Stake multiplier before each trade from the relative drawdown at that time."""
     e = equity_curve(rows, keys, order, pnl=pnl, start=start, ts=ts, width_s=width_s)
     dd = F.when(F.col("peak_before") > 0, F.try_divide(F.col("peak_before") - F.col("equity_before"), F.col("peak_before")))
@@ -277,7 +278,7 @@ def drawdown_scales(rows: DataFrame, keys: Sequence[str], order: Sequence[str],
 
 
 def loss_streak_rows(rows: DataFrame, keys: Sequence[str], order: Sequence[str], *, won: str = "won", ts: str = "ts",
-                     width_s: float = MONTH_S) -> DataFrame:
+                     width_s: float | None = None) -> DataFrame:
     """Adds ``streak``: consecutive losses up to and including each row (0 after a win).
 
     The position of the last win is a running maximum, so chunks only hand over (rows, last win).
@@ -303,7 +304,7 @@ def loss_streaks(rows: DataFrame, keys: Sequence[str], order: Sequence[str], **k
 
 
 def booster_lock(addons: DataFrame, candidates: DataFrame, keys: Sequence[str], order: Sequence[str], *, k: int = 3,
-                 lock_hours: float = 6.0, ts: str = "ts", at: str = "ts", width_s: float = MONTH_S) -> DataFrame:
+                 lock_hours: float = 6.0, ts: str = "ts", at: str = "ts", width_s: float | None = None) -> DataFrame:
     """Candidates with ``locked``: k straight add-on losses lock for some hours, a win resets.
 
     Only the newest add-on before a candidate matters, so this is a streak plus an as-of join.
@@ -321,7 +322,7 @@ class PriorFrame:
     """Results with every frame of up to ``n`` earlier rows available (the row itself is left out)."""
 
     def __init__(self, results: DataFrame, keys: Sequence[str], order: Sequence[str], n: int = 20, *, ts: str = "ts",
-                 width_s: float = MONTH_S, block: int = 65_536):
+                 width_s: float | None = None, block: int = 65_536):
         self.df = lookback(results, keys, order, n, ts=ts, width_s=width_s, block=block)
         self.w = block_window(keys)
 
@@ -424,36 +425,38 @@ def variant_switch(rows: DataFrame, keys: Sequence[str], order: Sequence[str], *
                    ts: str = "ts") -> DataFrame:
     """Adds ``active``: the variant in use after each row, where ``best`` takes over at most once per ``hold_s`` seconds.
 
-    ``start`` is in use before the first row (None: the first best). When a switch may happen depends on the switch
-    before, so a run is read in order; partitions hold whole runs sorted and stream through Arrow batches, the state is
-    (active, time of the last switch), and work is done per stretch of equal ``best``, not per row. One run is one task.
+    ``start`` is in use before the first row (None: the first best). ``order`` begins with ``ts``. When a switch may happen depends on
+    the switch before; but where a switch at any row would be followed by the next one depends on that row alone: on the
+    first later row at least ``hold_s`` on whose best differs. So every row gets that successor by an as-of join, and the
+    switches that do happen are those reached from a run's first one, found by doubling the successors: twice as many per
+    round. A run is spread over chunks of equal row counts throughout, whatever its length.
     Rows without a time come first and never switch; a null best changes nothing.
     """
-    keys, names = list(keys), rows.columns
-    d = rows.withColumn("_at", epoch_s(ts))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        run_key, active, last = None, None, -math.inf
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            at, want = pdf["_at"].to_numpy(dtype=float), pdf[best].to_numpy(dtype=object)
-            own = list(pdf[keys].itertuples(index=False, name=None)) if keys else [()] * len(pdf)
-            cut = [i for i in range(len(pdf)) if not i or own[i] != own[i - 1] or want[i] != want[i - 1]]
-            out = np.empty(len(pdf), dtype=object)
-            for s, e in zip(cut, [*cut[1:], len(pdf)]):
-                if own[s] != run_key:
-                    run_key, active, last = own[s], start, -math.inf
-                if active is None:
-                    active = want[s]
-                i = e if want[s] is None or want[s] == active else s + int(np.searchsorted(np.nan_to_num(at[s:e], nan=-math.inf), last + hold_s))
-                if i < e and not math.isfinite(at[i]):
-                    i += int((~np.isfinite(at[i:e])).sum())
-                out[s:i] = active
-                if i < e:
-                    active, last = want[s], at[i]
-                    out[i:e] = active
-            yield pdf[names].assign(active=out)
-
-    schema = T.StructType([*rows.schema.fields, T.StructField("active", T.StringType())])
-    return d.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema) if keys else d.coalesce(1).sortWithinPartitions(*order).mapInPandas(run, schema)
+    names, at = rows.columns, ["_key", "_i"]
+    d = balanced_chunks(with_part(rows, keys, "_key"), ["_key"], order)
+    x = written(running(d, ["_key"], order, {"_i": ("sum", F.lit(1))}))
+    can = x.where(F.col(best).isNotNull() & F.col(ts).isNotNull()).select(*at, CHUNK, F.col(best).alias("_b"), F.col(ts).cast("timestamp").alias("_at"))
+    can = running(can, ["_key"], ["_i"], {"_before": ("last", F.col("_b"))}, exclusive=True)
+    # the next row of another variant, per row: the last start of a stretch that a reader from behind has seen
+    back = can.withColumns({"_ri": -F.col("_i"), "_rc": -F.col(CHUNK)}).drop(CHUNK)
+    other = F.when(F.col("_before").isNull() | (F.col("_before") != F.col("_b")), F.struct(F.col("_i").alias("i"), F.col("_b").alias("b")))
+    can = written(running(back, ["_key"], ["_ri"], {"_other": ("last", other)}, chunk="_rc", exclusive=True).select(*at, "_b", "_at", "_other"))
+    due = can.select(*at, "_b", (F.unix_micros("_at") + F.lit(int(hold_s * 1_000_000))).alias("_due")).withColumn("_due", F.timestamp_micros("_due"))
+    row = can.select("_key", "_at", (-F.col("_i")).alias("_ni"), F.col("_b").alias("_kb"), F.struct(F.col("_i").alias("i"), F.col("_b").alias("b")).alias("_self"), "_other")
+    hop = can.select(*at, F.col("_other.i").alias("_to")) if hold_s <= 0 else asof_forward(due, row, ["_key"], left_ts="_due", right_ts="_at", take={"_kb": "_kb", "_self": "_self", "_next": "_other"}, right_tie=["_ni"]).select(
+        *at, F.when(F.col("_kb") != F.col("_b"), F.col("_self.i")).otherwise(F.col("_next.i")).alias("_to"))
+    hop = written(hop.where("_to IS NOT NULL"))
+    first = x.groupBy("_key").agg(F.min_by(F.col(best), F.when(F.col(best).isNotNull(), F.col("_i"))).alias("_v"))
+    first = first.withColumn("_v", F.lit(start) if start is not None else F.col("_v"))
+    opening = can.groupBy("_key").agg(F.min_by(F.struct("_i", "_b", "_other"), "_i").alias("_o")).join(first, "_key")
+    opening = opening.select("_key", F.when(F.col("_o._b") != F.col("_v"), F.col("_o._i")).otherwise(F.col("_o._other.i")).alias("_i")).where("_i IS NOT NULL")
+    reached = fresh = written(opening)
+    while True:
+        fresh = written(reached.join(hop, at).select("_key", F.col("_to").alias("_i")).join(reached, at, "left_anti"))
+        if fresh.isEmpty():
+            break
+        reached = written(reached.unionByName(fresh))
+        hop = written(hop.join(hop.select("_key", F.col("_i").alias("_to"), F.col("_to").alias("_far")), ["_key", "_to"]).select(*at, F.col("_far").alias("_to")))
+    marked = x.join(reached.withColumn("_switch", F.lit(True)), at, "left").join(first, "_key")
+    out = running(marked, ["_key"], ["_i"], {"_now": ("last", F.when(F.col("_switch"), F.col(best)))})
+    return out.select(*names, F.coalesce("_now", "_v").cast("string").alias("active"))

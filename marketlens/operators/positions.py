@@ -36,7 +36,7 @@ def top_positions(positions: DataFrame, k: int = 8, *, redeemable: bool | None =
     return p.orderBy(F.desc("current_value"), F.asc("condition_id")).limit(k)
 
 
-def position_changes(snapshots: DataFrame, *, keys: Sequence[str] = ("wallet",), ts: str = "snapshot_ts", width_s: float = 30 * 86_400,
+def position_changes(snapshots: DataFrame, *, keys: Sequence[str] = ("wallet",), ts: str = "snapshot_ts", width_s: float | None = None,
                      block: int = 65_536) -> DataFrame:
     """Snapshots whose signature (counts and values) differs from the previous one."""
     sig = open_redeemable_summary(snapshots, [*keys, ts])
@@ -230,7 +230,7 @@ def prebid_arm(flow: DataFrame, rounds: DataFrame, *, min_conf: float = 0.58, le
 
 
 def retry_cooldown(attempts: DataFrame, keys: Sequence[str], order: Sequence[str], *, cooldown_s: float = 12, ts: str = "ts",
-                   width_s: float = 30 * 86_400, block: int = 65_536) -> DataFrame:
+                   width_s: float | None = None, block: int = 65_536) -> DataFrame:
     """Attempts with ``blocked``: another attempt of the same round and side came too shortly before."""
     d = lookback(attempts, keys, order, 1, ts=ts, width_s=width_s, block=block)
     prev = F.lag(epoch_s(ts)).over(block_window(keys))

@@ -42,7 +42,7 @@ def time_ema(ticks: DataFrame, tau_s: float, *, keys: Sequence[str] = ("asset",)
 
 
 def row_ema(rows: DataFrame, alpha: float, *, keys: Sequence[str], order: Sequence[str], value: ColumnOrName, seed: float | None = None,
-            ts: str = "ts", width_s: float = 30 * DAY_S, name: str = "ema") -> DataFrame:
+            ts: str = "ts", width_s: float | None = None, name: str = "ema") -> DataFrame:
     """x = (1 - alpha) * x + alpha * value per row, from ``seed`` or from the first value."""
     lam = -math.log1p(-alpha)
     halo = math.ceil(FORGET / lam)
@@ -121,7 +121,7 @@ def _filter_rows(t: list[float], price: list[float], vol: list[float]) -> tuple[
 
 
 def kalman_velocity(ticks: DataFrame, *, keys: Sequence[str] = ("asset",), ts: str = "ts", price: str = "price", vol: str = "vol",
-                    tie: Sequence[str] = (), width_s: float = DAY_S, halo: int = 512, block: int = 65_536) -> DataFrame:
+                    tie: Sequence[str] = (), width_s: float | None = None, halo: int = 512, block: int = 65_536) -> DataFrame:
     """Adds filtered ``pos`` and ``vel``.
 
     The covariance recursion is no weighted sum, so each index block runs in a pandas task, started

@@ -113,3 +113,29 @@ def test_upsert_keeps_first_write_and_raises_other_errors(spark, tmp_path):
 def test_peer_order_is_a_parameter(spark):
     t = spark.createDataFrame([("m", 1, "BUY", "Up", 1, 2), ("m", 1, "BUY", "Down", 1, 1)], "condition_id string, wallet long, side string, outcome string, ts long, n int")
     assert W.own_sides(t, 1, ("ts", "n")).first()["own_side"] == "Up"
+
+
+def test_defaults_split_a_hot_key_of_one_day(spark, monkeypatch):
+    """90 % of the rows in one key and one day: no chunk of any ordered operator holds much more than its share."""
+    from marketlens.operators import asof, features, perf, positions, smoothing
+
+    real, shares = O.balanced_chunks, []
+
+    def measured(df, keys, order, name=O.CHUNK):
+        out = real(df, keys, order, name)
+        n = [r["count"] for r in out.groupBy(name).count().collect()]
+        shares.append(max(n) / sum(n))
+        return out
+
+    for m in (O, perf, asof):
+        monkeypatch.setattr(m, "balanced_chunks", measured)
+    df = spark.range(0, 20000, 1, 8).select(
+        F.when(F.col("id") % 10 > 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 7)).alias("asset"), F.timestamp_micros(1_700_000_000_000_000 + F.col("id") * 4_000_000).alias("ts"),
+        (F.col("id") % 13 - 6.0).alias("pnl"), (F.col("id") % 3 == 0).alias("won"), (F.col("id") % 50 + 100.0).alias("c"), F.col("id").alias("i"))
+    key, order = ["asset"], ["ts"]
+    runs = [perf.equity_curve(df, key, order), perf.max_drawdown(df, key, order), perf.loss_streak_rows(df, key, order), perf.drawdown_scales(df, key, order, start=100.0),
+            smoothing.row_ema(df, 0.5, keys=key, order=order, value="pnl"), features.BarFrame(df.select("asset", "ts", "c"), n=14).df,
+            positions.retry_cooldown(df, key, order) if positions.retry_cooldown.__code__.co_argcount == 3 else df,
+            asof.asof_backward(df, df, key, left_ts="ts", right_ts="ts", take={"x": "i"}, width_s=None), asof.asof_many(df, [asof.Source(df, "ts", {"x": "i"})], key, left_ts="ts"),
+            perf.variant_switch(df.withColumn("best", F.when(F.col("won"), "a").otherwise("b")), key, order)]
+    assert all(x.count() for x in runs) and len(shares) >= 9 and max(shares) < 0.35

@@ -68,11 +68,12 @@ def test_time_halo(df, rows):
             assert got[r[1]] == sum(1 for x in rs if r[2] - 130 <= x[2] <= r[2])
 
 
-def test_drawdown_and_streaks(df, rows):
-    dd = {r.k: r.max_dd for r in R.max_drawdown(df, ["k"], ["ts", "i"], width_s=100).collect()}
-    cur = {r.i: r for r in R.equity_curve(df, ["k"], ["ts", "i"], start=10.0, width_s=100).collect()}
-    st = {r.i: r.streak for r in R.loss_streak_rows(df, ["k"], ["ts", "i"], width_s=100).collect()}
-    tot = {r.k: r for r in R.loss_streaks(df, ["k"], ["ts", "i"], width_s=100).collect()}
+@pytest.mark.parametrize("width", [100, None])
+def test_drawdown_and_streaks(df, rows, width):
+    dd = {r.k: r.max_dd for r in R.max_drawdown(df, ["k"], ["ts", "i"], width_s=width).collect()}
+    cur = {r.i: r for r in R.equity_curve(df, ["k"], ["ts", "i"], start=10.0, width_s=width).collect()}
+    st = {r.i: r.streak for r in R.loss_streak_rows(df, ["k"], ["ts", "i"], width_s=width).collect()}
+    tot = {r.k: r for r in R.loss_streaks(df, ["k"], ["ts", "i"], width_s=width).collect()}
     for k, rs in by_key(rows).items():
         eq = pk = worst = 0.0
         run = best = 0
@@ -87,15 +88,15 @@ def test_drawdown_and_streaks(df, rows):
         assert dd[k] == pytest.approx(worst) and (tot[k].max_streak, tot[k].current_streak) == (best, run)
 
 
-@pytest.mark.parametrize("strict", [False, True])
-def test_asof_against_merge_asof(spark, df, rows, strict):
+@pytest.mark.parametrize("strict,width", [(False, 300), (True, 300), (False, None), (True, None)])
+def test_asof_against_merge_asof(spark, df, rows, strict, width):
     rng = random.Random(3)
     left = [(k, n, 1_700_000_000 + rng.uniform(-200, 90_000)) for n, k in enumerate(["hot", "mid", "one", "none"] * 40)]
     left += [(r[0], 1000 + r[1], r[2]) for r in rows[:40]]  # exact hits
     l = spark.createDataFrame(left, "k string, n long, s double").withColumn("at", F.timestamp_micros((F.col("s") * 1e6).cast("long")))
     right = df.groupBy("k", "ts").agg(F.max("i").alias("i"))
     for fn, way in ((A.asof_backward, "backward"), (A.asof_forward, "forward")):
-        got = {r.n: r.hit for r in fn(l, right, ["k"], left_ts="at", right_ts="ts", take={"hit": "i"}, width_s=300, strict=strict).collect()}
+        got = {r.n: r.hit for r in fn(l, right, ["k"], left_ts="at", right_ts="ts", take={"hit": "i"}, width_s=width, strict=strict).collect()}
         pr = right.toPandas().sort_values("ts")
         pl = l.select("k", "n", "at").toPandas().sort_values("at")
         want = pd.merge_asof(pl, pr, left_on="at", right_on="ts", by="k", direction=way, allow_exact_matches=not strict)
@@ -132,6 +133,21 @@ def test_asof_tolerance_and_no_key(spark, df):
     assert got[2] is None
 
 
+def test_trailing_sums_match_a_scan(spark, df, rows):
+    """Chunks narrower and wider than the window, a null value, ties; nothing is left over where all rows have gone."""
+    from marketlens.operators.features import trailing_sums
+
+    x = df.withColumn("v", F.when(F.col("i") % 5 > 0, F.col("pnl") / 3))
+    for width in (70, 5000):
+        got = {r.i: (r.s, r.n) for r in trailing_sums(x, 130, {"s": F.col("v"), "n": F.lit(1)}, keys=["k"], ts="ts", width_s=width).collect()}
+        assert len(got) == len(rows)
+        for rs in by_key(rows).values():
+            for r in rs:
+                near = [q for q in rs if r[2] - 130 <= q[2] <= r[2]]
+                own = [q[3] / 3 for q in near if q[1] % 5 > 0]
+                assert got[r[1]] == (pytest.approx(sum(own), abs=1e-8), len(near)) and (own or got[r[1]][0] == 0.0)
+
+
 def test_time_ema_matches_loop(df, rows):
     got = {r.i: r.ema for r in S.time_ema(df.withColumn("price", F.col("pnl") + 10), 3.0, keys=["k"], tie=["i"]).collect()}
     for rs in by_key(rows).values():
@@ -142,9 +158,9 @@ def test_time_ema_matches_loop(df, rows):
             assert got[r[1]] == pytest.approx(x, rel=1e-11)
 
 
-@pytest.mark.parametrize("alpha,seed", [(0.5, None), (0.9, 0.25)])
-def test_row_ema_matches_loop(df, rows, alpha, seed):
-    got = {r.i: r.ema for r in S.row_ema(df, alpha, keys=["k"], order=["ts", "i"], value="pnl", seed=seed, width_s=100).collect()}
+@pytest.mark.parametrize("alpha,seed,width", [(0.5, None, 100), (0.9, 0.25, 100), (0.5, None, None)])
+def test_row_ema_matches_loop(df, rows, alpha, seed, width):
+    got = {r.i: r.ema for r in S.row_ema(df, alpha, keys=["k"], order=["ts", "i"], value="pnl", seed=seed, width_s=width).collect()}
     for rs in by_key(rows).values():
         x = seed
         for r in rs:
