@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.base import clamp, div_or, epoch_us, round_to, step
 from ..functions.prob import TRADING_MINUTES, norm_cdf
 from .asof import asof_backward
-from .ordered import CHUNK, OWN, add_chunk, block_window, lookback, own_rows, running, time_halo
+from .ordered import CHUNK, OWN, PART, add_chunk, block_window, lookback, own_rows, running, time_halo, with_part
 
 # Annualised volatility steps and the stake multiplier of each.
 VOL_REGIMES = ((0.40, 0.7), (0.80, 1.0), (1.50, 1.2))
@@ -208,22 +208,33 @@ def jump_z(ticks: DataFrame, *, recent_s: float = 10, base_s: float = 60, thresh
            keys: Sequence[str] = ("asset",), ts: str = "ts", price: str = "price", width_s: float = DAY_S) -> DataFrame:
     """Recent move over the RMS tick move of the preceding window; flags |z| above the threshold.
 
-    Range frames reach back ``base_s`` seconds, so only that much is copied over chunk borders.
+    Counts and sums over both windows are differences of running sums: a row counts when it comes, when it leaves the recent
+    window and when it leaves the base window, so a row costs the same however many a window holds. How many rows have left is also
+    the place of a window's first row, which one join by place brings. A row without a time has 0.
     """
     back, rec = int(base_s * 1e6), int(recent_s * 1e6)
-    d = time_halo(ticks, ts, width_s, base_s).withColumn("_t", epoch_us(ts))
-    w = Window.partitionBy(*keys, CHUNK).orderBy("_t")
+    d = with_part(time_halo(ticks, ts, width_s, base_s).withColumn("_t", epoch_us(ts)), [*keys, CHUNK])
+    w = Window.partitionBy(PART).orderBy("_t")
     prev = F.lag(price).over(w)
-    d = d.withColumn("_m2", F.pow(div_or(price, F.when(prev > 0, prev), None) - 1.0, F.lit(2.0)))
-    rw, bw = w.rangeBetween(-rec, 0), w.rangeBetween(-back, -rec - 1)
-    n_rec, n_base = F.count(price).over(rw), F.count(price).over(bw)
-    p0 = F.first(price).over(rw)
-    # The first base tick's own move starts outside the base window.
-    inner = F.sum("_m2").over(bw) - F.coalesce(F.first("_m2").over(bw), F.lit(0.0))
-    sigma = F.sqrt(F.greatest(inner, F.lit(0.0)) / (n_base - 1))
-    ok = (n_rec >= 2) & (n_base >= 5)
+    d = d.withColumns({"_m2": F.pow(div_or(price, F.when(prev > 0, prev), None) - 1.0, F.lit(2.0)), "_pos": F.row_number().over(w)})
+    event = lambda off, kind: F.struct((F.col("_t") + off).alias("t"), F.lit(kind).alias("kind"))
+    first = d.select(PART, "_pos", F.col(price).alias("_p"), F.col("_m2").alias("_m"))
+    e = d.withColumn("_e", F.explode(F.when(F.col("_t").isNull(), F.array(event(0, 0))).otherwise(F.array(event(0, 0), event(rec + 1, 1), event(back + 1, 2)))))
+    ew = Window.partitionBy(PART).orderBy("_e.t").rangeBetween(Window.unboundedPreceding, 0)
+    so_far = lambda kind, v: F.coalesce(F.sum(F.when(F.col("_e.kind") == kind, v)).over(ew), F.lit(0))
+    one, known, moved = F.lit(1), F.col(price).isNotNull().cast("int"), F.coalesce((F.col("_m2") > 0).cast("int"), F.lit(0))
+    e = e.withColumns({"_left1": so_far(1, one), "_left2": so_far(2, one), "_rec": so_far(0, known) - so_far(1, known), "_base": so_far(1, known) - so_far(2, known),
+                       "_sum": so_far(1, F.col("_m2")) - so_far(2, F.col("_m2")), "_moved": so_far(1, moved) - so_far(2, moved)})
+    d = e.where((F.col("_e.kind") == 0) & F.col(OWN)).drop("_m2", "_pos")
+    d = d.join(first.select(PART, (F.col("_pos") - 1).cast("long").alias("_left1"), F.col("_p").alias("_p0")), [PART, "_left1"], "left")
+    d = d.join(first.select(PART, (F.col("_pos") - 1).cast("long").alias("_left2"), F.col("_m").alias("_m0")), [PART, "_left2"], "left")
+    # The first base tick's own move starts outside the base window; where no other move is left, the rest is rounding noise.
+    own = F.when(F.col("_base") > 0, F.coalesce("_m0", F.lit(0.0))).otherwise(0.0)
+    inner = F.when(F.col("_moved") - (own > 0).cast("int") > 0, F.col("_sum") - own).otherwise(0.0)
+    sigma = F.sqrt(F.greatest(inner, F.lit(0.0)) / (F.col("_base") - 1))
+    ok, p0 = (F.col("_rec") >= 2) & (F.col("_base") >= 5), F.col("_p0")
     z = F.when(ok & (sigma > 0) & (p0 > 0), F.try_divide((F.col(price) - p0) / p0, sigma)).otherwise(F.lit(0.0))
-    out = d.withColumn("jump_z", z).where(OWN).drop("_t", "_m2", CHUNK, OWN)
+    out = d.select(*ticks.columns, z.alias("jump_z"))
     return out.withColumn("jump_dir", F.when(F.col("jump_z") > threshold, "Up").when(F.col("jump_z") < -threshold, "Down"))
 
 
