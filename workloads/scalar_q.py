@@ -133,6 +133,28 @@ zoned AS (SELECT o_orderkey,
     CASE WHEN (r1 - INTERVAL 1 HOUR) AT TIME ZONE 'America/New_York' = l1 THEN r1 - INTERVAL 1 HOUR ELSE r1 END AS z1 FROM raw)"""
 
 
+# Series, titles and slugs that mix known and unknown ones; the texts are valid in both engines.
+_SERIES = "CASE o_custkey % 10 WHEN 0 THEN 'btc-up-or-down-15m' WHEN 1 THEN 'eth-up-or-down-15m' WHEN 2 THEN 'sol-up-or-down-15m' WHEN 3 THEN 'xrp-up-or-down-15m' WHEN 4 THEN 'btc-up-or-down-5m' WHEN 5 THEN 'eth-up-or-down-5m' WHEN 6 THEN 'doge-up-or-down-5m' WHEN 7 THEN '' END"
+_TITLE = ("concat(CASE o_orderkey % 6 WHEN 0 THEN 'Bitcoin' WHEN 1 THEN 'Ethereum' WHEN 2 THEN 'Solana' WHEN 3 THEN 'XRP' WHEN 4 THEN 'Dogecoin' ELSE 'will BITCOIN' END,"
+          " CASE o_orderkey % 5 WHEN 0 THEN ' up or down 15m' WHEN 1 THEN ' 5m window' WHEN 2 THEN ' 15M' WHEN 3 THEN ' hourly' ELSE '' END)")
+_SLUG = "concat(CASE o_custkey % 6 WHEN 0 THEN 'btc' WHEN 1 THEN 'eth' WHEN 2 THEN 'sol' WHEN 3 THEN 'xbtc' WHEN 4 THEN 'BTC' ELSE 'xrp' END, CASE o_orderkey % 3 WHEN 0 THEN '-updown-5m-' WHEN 1 THEN '-updown-15m-' ELSE '-updown-5m' END, CAST(o_orderkey AS STRING))"
+
+
+@add("classify_family", f"""WITH t AS (SELECT o_orderkey, {_SERIES} AS series, lower({_TITLE}) AS q FROM orders),
+known AS (SELECT * FROM (VALUES ('btc-up-or-down-15m', 'BTC', 15), ('eth-up-or-down-15m', 'ETH', 15), ('sol-up-or-down-15m', 'SOL', 15), ('xrp-up-or-down-15m', 'XRP', 15),
+  ('btc-up-or-down-5m', 'BTC', 5), ('eth-up-or-down-5m', 'ETH', 5)) AS v(series, asset, minutes))
+SELECT o_orderkey, coalesce(asset, CASE WHEN q LIKE '%bitcoin%' THEN 'BTC' WHEN q LIKE '%ethereum%' THEN 'ETH' WHEN q LIKE '%solana%' THEN 'SOL' WHEN q LIKE '%xrp%' THEN 'XRP' ELSE '?' END) AS asset,
+  coalesce(minutes, CASE WHEN q LIKE '%15m%' THEN 15 WHEN q LIKE '%5m%' THEN 5 ELSE 0 END)::BIGINT AS minutes FROM t LEFT JOIN known ON known.series = t.series""")
+def _(s, d):
+    asset, minutes = N.classify_family(F.expr(_SERIES), F.expr(_TITLE))
+    return V.table(s, d, "orders").select("o_orderkey", asset.alias("asset"), minutes.cast("bigint").alias("minutes"))
+
+
+@add("slug_filter", f"SELECT o_orderkey, slug FROM (SELECT o_orderkey, {_SLUG} AS slug FROM orders) WHERE starts_with(slug, 'btc-updown-5m-') OR starts_with(slug, 'eth-updown-5m-')")
+def _(s, d):
+    return V.table(s, d, "orders").select("o_orderkey", F.expr(_SLUG).alias("slug")).where(N.slug_filter("slug"))
+
+
 @add("round_bounds_from_title", "WITH " + _TITLES_SQL + """
 SELECT o_orderkey, epoch_us(z0) / 1e6 AS start_s,
   CASE WHEN z1 <= z0 THEN epoch_us(z0) / 1e6 + 86400 ELSE epoch_us(z1) / 1e6 END AS end_s
@@ -157,6 +179,21 @@ def _(s, d):
     return t.select("o_orderkey", st.alias("start_s"), en.alias("end_s"))
 
 
+@add("window_from_title", "WITH " + _TITLES_SQL + """,
+titled AS (SELECT o_orderkey, epoch_us(z0) / 1e6 AS qs, CASE WHEN z1 <= z0 THEN epoch_us(z0) / 1e6 + 86400 ELSE epoch_us(z1) / 1e6 END AS qe,
+  CASE WHEN o_orderkey % 4 = 0 THEN 5 ELSE 15 END AS minutes FROM zoned),
+judged AS (SELECT *, abs((qe - qs) - minutes * 60) <= 2.5 AND qs::BIGINT % (minutes * 60) = 0 AND qe::BIGINT % (minutes * 60) = 0 AND qe <= 8.2e8 AS use FROM titled)
+SELECT o_orderkey, CASE WHEN use THEN qs ELSE o_orderkey * 7e0 END AS start_s, CASE WHEN use THEN qe ELSE o_orderkey * 7e0 + 900 END AS end_s FROM judged""")
+def _(s, d):
+    o = V.table(s, d, "orders")
+    at = lambda m: F.to_timestamp(F.concat(F.lit("2000-01-01 "), F.lpad(F.floor(m / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((m % 60).cast("string"), 2, "0")))
+    m0 = (F.col("o_custkey") % 96) * 15
+    title = F.concat(F.lit("Ethereum Up or Down - "), F.date_format("o_orderdate", "MMMM d, "), F.date_format(at(m0), "h:mma"), F.lit("-"), F.date_format(at((m0 + 15) % 1440), "h:mma"), F.lit(" ET"))
+    minutes, stored = F.when(F.col("o_orderkey") % 4 == 0, 5).otherwise(15), F.col("o_orderkey") * 7.0
+    st, en = R.window_from_title(title, minutes, stored, stored + 900, F.year("o_orderdate"), expired_before_s=F.lit(8.2e8))
+    return o.select("o_orderkey", st.alias("start_s"), en.alias("end_s"))
+
+
 @add("round_floor", """
 SELECT epoch_us(ts) // 300000000 * 300000000 AS slot5_us, epoch_us(ts) // 900000000 * 900000000 AS slot15_us,
   count(*) AS n FROM events GROUP BY 1, 2""")
