@@ -88,15 +88,16 @@ def _(s, d):
     return P.top_positions(V.positions(s, d), 20).select("condition_id", "outcome", round_to("current_value", 4).alias("current_value"))
 
 
-@add("position_changes", V.with_views("positions", """g AS (SELECT wallet % 40 AS w, t // 2592000000000 AS m, count(*) FILTER (WHERE NOT redeemable) AS open_n, count(*) FILTER (WHERE redeemable) AS redeem_n
-       FROM positions WHERE outcome <> '' GROUP BY 1, 2)""", """l AS (SELECT *, lag((open_n, redeem_n)) OVER (PARTITION BY w ORDER BY m) AS prev FROM g)""") + """
-SELECT w AS wallet, m AS month, open_n, redeem_n, prev IS NULL OR prev <> (open_n, redeem_n) AS changed FROM l""")
+@add("position_changes", V.with_views("positions", """g AS (SELECT wallet % 40 AS w, t // 2592000000000 AS m, count(*) FILTER (WHERE NOT redeemable) AS open_n, count(*) FILTER (WHERE redeemable) AS redeem_n,
+         coalesce(sum(floor(current_value / 16)) FILTER (WHERE NOT redeemable), 0) AS open_value, coalesce(sum(floor(current_value / 16)) FILTER (WHERE redeemable), 0) AS redeem_value
+       FROM positions WHERE outcome <> '' AND floor(current_value / 16) > 0 GROUP BY 1, 2)""", """l AS (SELECT *, lag((open_n, open_value, redeem_n, redeem_value)) OVER (PARTITION BY w ORDER BY m) AS prev FROM g)""") + """
+SELECT w AS wallet, m AS month, open_n, open_value, redeem_n, redeem_value, prev IS NULL OR prev <> (open_n, open_value, redeem_n, redeem_value) AS changed FROM l""")
 def _(s, d):
-    # Every position is worth one unit, so equal signatures follow each other now and then.
-    x = V.positions(s, d).select((F.col("wallet") % 40).alias("wallet"), "outcome", "redeemable", F.lit(1.0).alias("current_value"),
+    # Values in coarse units, so equal signatures follow each other now and then.
+    x = V.positions(s, d).select((F.col("wallet") % 40).alias("wallet"), "outcome", "redeemable", F.floor(F.col("current_value") / 16).cast("double").alias("current_value"),
                                  F.expr("timestamp_micros(unix_micros(snapshot_ts) div 2592000000000 * 2592000000000)").alias("snapshot_ts"))
     r = P.position_changes(x, block=16)
-    return r.select("wallet", F.expr("unix_micros(snapshot_ts) div 2592000000000").alias("month"), "open_n", "redeem_n", "changed")
+    return r.select("wallet", F.expr("unix_micros(snapshot_ts) div 2592000000000").alias("month"), "open_n", "open_value", "redeem_n", "redeem_value", "changed")
 
 
 _PEND = """pending AS (SELECT o_orderkey + 3000 AS condition_id, epoch_us(o_orderdate) / 1e6 AS placed_s, CASE WHEN o_custkey % 5 = 0 THEN 0.0 ELSE epoch_us(o_orderdate) / 1e6 + 900 END AS end_s FROM orders),

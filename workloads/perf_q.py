@@ -249,14 +249,14 @@ def _(s, d):
     return R.loss_streaks(V.resolves(s, d), ["asset"], V.RES_ORDER)
 
 
-@add("booster_lock", V.with_views("resolves signals", """ad AS (SELECT asset, max(t) AS t, l_orderkey, bool_and(won) AS won FROM resolves WHERE l_linenumber = 1 GROUP BY asset, l_orderkey)""",
+@add("booster_lock", V.with_views("resolves signals", """ad AS (SELECT asset, max(t) AS t, l_orderkey, bool_and(won) AS won FROM resolves GROUP BY asset, l_orderkey)""",
      """i AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY t, l_orderkey) AS i FROM ad)""",
      """s AS (SELECT *, i - coalesce(max(CASE WHEN won THEN i END) OVER (PARTITION BY asset ORDER BY i), 0) AS streak FROM i)""",
      """lastone AS (SELECT asset, t, arg_max(streak, i) AS streak FROM s GROUP BY 1, 2)""") + """
 SELECT g.asset, coalesce(s.streak >= 2 AND g.t < s.t + 36 * 3600000000, false) AS locked, count(*) AS n
 FROM signals g ASOF LEFT JOIN lastone s ON g.asset = s.asset AND s.t <= g.t GROUP BY 1, 2""")
 def _(s, d):
-    ad = V.resolves(s, d).where("l_linenumber = 1").groupBy("asset", "l_orderkey").agg(F.max("ts").alias("ts"), F.bool_and("won").alias("won"))
+    ad = V.resolves(s, d).groupBy("asset", "l_orderkey").agg(F.max("ts").alias("ts"), F.bool_and("won").alias("won"))
     x = R.booster_lock(ad, V.signals(s, d).select("asset", "ts"), ["asset"], ["ts", "l_orderkey"], k=2, lock_hours=36)
     return x.groupBy("asset", "locked").agg(F.count("*").alias("n"))
 
