@@ -87,11 +87,13 @@ def id_remainder(col: str, n: int) -> Column:
     return F.crc32(F.col(col).cast("string").cast("binary")) % n
 
 
-def sample_per_class(df: DataFrame, cls: str, order: Column, n: int) -> DataFrame:
-    """The n rows of each class that come first by ``order``. Spark applies the limit in every map task before it
-    shuffles, so a hot class sends at most n rows per task."""
-    w = Window.partitionBy(cls).orderBy(order)
-    return df.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= n).drop("__r")
+def sample_per_class(df: DataFrame, cls: str, order: Column, n: int, salts: int = 64) -> DataFrame:
+    """The n rows of each class that come first by ``order``. Spark applies the limit in every map task before it shuffles; a
+    class is first cut to n rows in each of ``salts`` shares, so no task sees a hot class's rows of all map tasks."""
+    def first(x: DataFrame, *by: str) -> DataFrame:
+        return x.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(order))).filter(F.col("__r") <= n).drop("__r")
+
+    return first(first(df.withColumn("__s", F.pmod(F.xxhash64(order), F.lit(salts))), cls, "__s"), cls).drop("__s")
 
 
 def split_join(left: DataFrame, right: DataFrame, keys: list[str], hot: Column, how: str = "inner") -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -19,7 +18,10 @@ LANES = 1024
 #: Training sample: pieces of PIECE characters, at most PER_LANG for each language.
 PER_LANG, PIECE, STEPS = 400, 160, 260
 
-_letter = re.compile(r"[^\W\d_]")
+
+def has_letter(text: str) -> bool:
+    """Whether a text holds a letter (Unicode category L): digits, fractions, Roman or circled numerals are none."""
+    return any(map(str.isalpha, text))
 
 
 class LangModel:
@@ -123,7 +125,7 @@ def identify(df: DataFrame, model: LangModel, text: str = "text") -> DataFrame:
     """
     def make():
         def f(texts: list) -> dict:
-            ok = [i for i, t in enumerate(texts) if t is not None and _letter.search(t)] if model.langs else []
+            ok = [i for i, t in enumerate(texts) if t is not None and has_letter(t)] if model.langs else []
             data = [texts[i].encode("utf-8", "replace") for i in ok]
             out = {"lang_pred": ["und"] * len(texts), "score": [0.0] * len(texts), "n_positions": [len((t or "").encode("utf-8", "replace")) for t in texts], "agree": [0.0] * len(texts)}
             if data:
@@ -140,9 +142,12 @@ def identify(df: DataFrame, model: LangModel, text: str = "text") -> DataFrame:
 
 
 def predict_documents(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
-    """Fit on the documents that are not held out (crc32 of the id modulo 4 is not 2) and label every document."""
-    held = F.coalesce(id_remainder(doc_id, 4) == 2, F.lit(False))
-    pieces = training_pieces(docs.filter(~held), text, lang, F.xxhash64(doc_id, text))
+    """Fit on the documents that are not held out (crc32 of the id modulo 4 is not 2) and label every document.
+
+    A row with a null id is labelled but not learned from: it counts as held out. Null texts and null languages teach
+    nothing; repeated rows are learned and labelled like others; no rows: no result."""
+    seen = F.coalesce(id_remainder(doc_id, 4) != 2, F.lit(False))
+    pieces = training_pieces(docs.filter(seen), text, lang, F.xxhash64(doc_id, text))
     model = train(pieces)
     out = identify(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), model)
-    return out.select("doc_id", F.coalesce(id_remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "n_positions", "agree")
+    return out.select("doc_id", F.coalesce(id_remainder("doc_id", 4) == 2, F.lit(True)).alias("held_out"), "lang_pred", "score", "n_positions", "agree")
