@@ -49,6 +49,13 @@ def test_bounded_sample(spark):
     assert sorted((x["c"], x["id"]) for x in got) == [("a", i) for i in range(5)] + [("b", i) for i in range(900, 905)]
 
 
+def test_a_hot_class_is_cut_in_shares_first(spark):
+    df = spark.range(0, 20000, 1, 16).select(F.when(F.col("id") % 9 > 0, "a").otherwise("b").alias("c"), "id")
+    plan = common.sample_per_class(df, "c", F.col("id"), 5)._jdf.queryExecution().executedPlan().toString()
+    moves = re.findall(r"hashpartitioning\((.*?), \d+\)", plan)
+    assert len(moves) == 2 and "__s" in moves[1] and "__s" not in moves[0]
+
+
 # ---------------------------------------------------------------- SimHash
 def plain_fingerprint(text, k=4):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
@@ -312,6 +319,17 @@ def test_mixing_odd_tables(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_mixing_replaces_clashing_columns(spark):
+    docs = skewed(spark).withColumns({"epoch": F.lit("x"), "at": F.lit("y"), "weight": F.lit("z"), "tokens": F.lit(1), "n": F.lit(2)})
+    plan = mixing.plan(docs)
+    got = mixing.mix(docs, plan)
+    assert sorted(got.columns) == sorted([*docs.columns])
+    plain = mixing.mix(skewed(spark), mixing.plan(skewed(spark)))
+    cols = ["doc_id", "source", "epoch", "at", "weight"]
+    assert sorted(map(str, got.select(*cols).collect())) == sorted(map(str, plain.select(*cols).collect()))
+    assert {(r["tokens"], r["n"]) for r in got.select("tokens", "n").distinct().collect()} == {(1, 2)}
+
+
 # ---------------------------------------------------------------- pipeline
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):

@@ -83,6 +83,19 @@ def test_language_ignores_held_out_labels(spark, docs):
     assert langid.predict_documents(twisted).filter("lang_pred = 'xx'").count() == 0
 
 
+def test_numerals_and_fractions_are_no_letters(spark, docs):
+    model = langid.train([("en", "the cat and the hat " * 8), ("de", "der hund und die katze " * 8)])
+    texts = ["½ ²", "① Ⅷ 12", "ª", "x²", "漢", None, ""]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    assert [got[i] == "und" for i in range(7)] == [True, True, False, False, False, True, True]
+
+
+def test_a_row_without_id_teaches_no_language(spark, docs):
+    odd = spark.createDataFrame([(None, "zz qq xx " * 40, "zz", "s", 1)] * 30, "doc_id long, text string, lang string, source string, n_chars long")
+    got = langid.predict_documents(docs.limit(200).unionByName(odd)).where("doc_id IS NULL").collect()
+    assert len(got) == 30 and all(r["lang_pred"] != "zz" and r["held_out"] for r in got)
+
+
 def test_quality_held_out(spark):
     docs, labels = (spark.read.parquet(f"{SF[:-4]}0.1/{t}.parquet") for t in ("documents", "labels"))
     got = quality.predict_documents(docs, labels).join(labels, "doc_id").filter("held_out").toPandas()
@@ -90,6 +103,21 @@ def test_quality_held_out(spark):
     assert (got["predicted"] == (got["score"] >= 0.3)).all()
 
 
+def test_quality_equals_a_plain_ridge_fit(spark):
+    """Sums over partitions and their solution against one least-squares fit of all rows with the penalty as further rows."""
+    rng = np.random.default_rng(4)
+    stats = rng.standard_normal((400, quality.STATS)) * rng.uniform(0.5, 3, quality.STATS)
+    y = (stats[:, 0] + 0.3 * rng.standard_normal(400) > 0).astype(float)
+    rows = spark.createDataFrame([(x.tolist(), float(v)) for x, v in zip(stats, y)], "stats array<double>, y double").repartition(5)
+    model = quality.fit(rows)
+    assert np.allclose(model.mean, stats.mean(0)) and np.allclose(model.scale, stats.std(0))
+    z = model.expand(stats)
+    d = z.shape[1]
+    penalty = np.sqrt(quality.RIDGE * len(y) / d) * np.eye(d)
+    plain = np.linalg.lstsq(np.vstack([z, penalty]), np.append(y, np.zeros(d)), rcond=None)[0]
+    assert np.allclose(z @ model.weights, z @ plain, atol=1e-6)
+
+
 def test_quality_of_odd_rows(spark, docs, labels):
     odd = spark.createDataFrame(ODD, DOC)
     out = quality.predict_documents(odd, labels).collect()
@@ -106,6 +134,45 @@ def test_isotonic_is_the_least_squares_monotone_fit():
     assert quality.isotonic(np.arange(5), y, w).tolist() == [0.5, 0.5, 1.5, 1.5, 3.0]
 
 
+def test_toxicity_gradients_match_differences():
+    """The whole network against central differences; attention pooling against its definition, one window at a time."""
+    rng = np.random.default_rng(3)
+    model = toxicity.train([(1, "a")])  # one class: start values
+    model.p["w"][:], model.p["v"][:], model.p["b"][:] = rng.standard_normal(model.p["w"].shape), rng.standard_normal(model.p["v"].shape), 0.1
+    words, chars, counts = toxicity.Pieces(["good", "bad", "ugly", "word", "x"]).take(np.arange(5))
+    ids, sizes, y = rng.integers(0, 5, (6, 4)), [6, 3, 1, 5], np.array([1, 0, 1, 0], np.float32)
+    mask = np.zeros((6, 4, 1), np.float32)
+    for j, n in enumerate(sizes):
+        mask[:n, j] = 1
+
+    def loss():
+        p = {k: x.astype(np.float64) for k, x in model.p.items()}
+        v = model.inputs(words, chars, counts).astype(np.float32)
+        gates = model.gates(v)
+        total = 0.0
+        for j, n in enumerate(sizes):
+            own, one = ids[:n, j], np.ones((n, 1, 1), np.float32)
+            f = gru.forward(np.stack(gates[:3], 1)[own][:, None], one, model.p["uf"])[0][:, 0].astype(np.float64)
+            b = gru.forward(np.stack(gates[3:], 1)[own[::-1]][:, None], one, model.p["ub"])[0][::-1, 0].astype(np.float64)
+            both = np.concatenate([f, b], 1)
+            e = np.exp(both @ p["v"])
+            z = (e / e.sum()) @ both @ p["w"] + p["b"][0]
+            total += np.log1p(np.exp(-z if y[j] else z))
+        return total / len(sizes)
+
+    grads = toxicity.gradients(model, words, chars, counts, ids, mask, y)
+    for name in ("v", "w", "b", "uf", "ub", "wf", "wb", "bf", "bb", "ew", "ec"):
+        x, g = model.p[name], grads[name]
+        for at in [np.unravel_index(k, x.shape) for k in np.argsort(-np.abs(g), axis=None)[:3]]:
+            keep, step = x[at], 2e-2
+            x[at] = keep + step
+            hi = loss()
+            x[at] = keep - step
+            lo = loss()
+            x[at] = keep
+            assert abs((hi - lo) / (2 * step) - g[at]) < 0.05 * abs(g[at]) + 2e-4, (name, at)
+
+
 def test_toxicity_finds_marked_words_in_long_texts(spark):
     rng = np.random.default_rng(0)
     clean = [f"wort{i}" for i in range(200)]
