@@ -36,13 +36,13 @@ def _if(cond: Column, a, b) -> Column:
     return F.when(F.coalesce(cond, F.lit(False)), a).otherwise(b)
 
 
-def settle(s: DataFrame) -> DataFrame:
-    """Stage boundary: evaluates the columns so far once per row.
+def settled(x: Column) -> Column:
+    """``x``, evaluated where it stands.
 
-    A filter on a late column would otherwise be pushed down through every step, and each step would
-    copy the earlier expressions into it several times over.
+    A filter on a late column would otherwise be pushed down through every step, and each step would copy the earlier
+    expressions into it several times over. Spark pushes no filter below a projection that depends on the partition.
     """
-    return s.select(F.inline(F.array(F.struct("*"))))
+    return F.when(F.spark_partition_id() >= 0, x)
 
 
 def direction(s: DataFrame, *, move_min: float = 0.0003, oracle_min: float = 0.0002, conflict_max: float = 0.0010) -> DataFrame:
@@ -115,7 +115,7 @@ def score_sheet(s: DataFrame) -> DataFrame:
     total = F.col(f"pts_{SHEET[0]}")
     for k in SHEET[1:]:
         total = total + F.col(f"pts_{k}")
-    return settle(s.withColumns({"score": total, "regime_mult": F.when(trend, 1.15).when(revert, 0.85).otherwise(1.0)}))
+    return s.withColumns({"score": settled(total), "regime_mult": F.when(trend, 1.15).when(revert, 0.85).otherwise(1.0)})
 
 
 @dataclass(frozen=True)
@@ -207,8 +207,8 @@ def choose_side(s: DataFrame, *, mode: str = "prob", forced_move: float = 0.0005
             pick = _if(u >= d, "Up", "Down")
         else:
             pick = _if(F.col("prob_up") >= F.col("prob_down"), "Up", "Down")
-        s = s.withColumn("side", pick).withColumn("edge", _by_side(F.col("side"), "edge_up", "edge_down"))
-    return settle(s.withColumn("true_prob", _by_side(F.col("side"), "prob_up", "prob_down")).drop("_base", "_e"))
+        s = s.withColumn("side", settled(pick)).withColumn("edge", _by_side(F.col("side"), "edge_up", "edge_down"))
+    return s.withColumn("true_prob", _by_side(F.col("side"), "prob_up", "prob_down")).drop("_base", "_e")
 
 
 def copy_adjust(s: DataFrame, *, bonus_max: int = 2, win_mode: bool = True, arm_score: int = 2, arm_edge: float = 0.05,
@@ -294,7 +294,7 @@ def entry_and_size(s: DataFrame, cfg: EntryConfig = EntryConfig()) -> DataFrame:
     inside = F.col("_live").between(F.col("min_entry"), F.col("max_entry"))
     pull = F.lit(cfg.pullback) & (F.col("pct_remaining") >= cfg.pullback_min_pct)
     s = s.withColumns({
-        "entry": F.when(hc, F.least(F.lit(cfg.hc15_target), F.col("max_entry"))).when(inside, F.col("_live")).when(pull, F.col("max_entry")),
+        "entry": settled(F.when(hc, F.least(F.lit(cfg.hc15_target), F.col("max_entry"))).when(inside, F.col("_live")).when(pull, F.col("max_entry"))),
         "use_limit": hc | (~inside & pull)})
     s = s.withColumns({"payout_mult": payout_mult("entry"), "ev": ev_net(p, "entry")})
     kf, bp = entry_tier("entry", "score")
@@ -317,11 +317,10 @@ def entry_and_size(s: DataFrame, cfg: EntryConfig = EntryConfig()) -> DataFrame:
     taker = F.coalesce(strong, F.lit(False))
     if cfg.fast_exec:
         taker = taker | ((score >= cfg.fast_score) & (F.col("edge") >= cfg.fast_edge) & (F.col("entry") <= cfg.max_entry))
-    s = s.withColumn("size_reason", reason)
-    s = s.withColumns({
+    s = s.withColumn("size_reason", settled(reason))
+    return s.withColumns({
         "size": F.when(F.col("size_reason") == "ok", size),
         "force_taker": (~F.col("use_limit") & taker) | F.col("arm_active")}).drop("_need", "_pay", "_ev", "_live", "_raw", "_model", "_floor")
-    return settle(s)
 
 
 def score_snapshot(s: DataFrame, *, mode: str = "prob", entry: EntryConfig = EntryConfig()) -> DataFrame:
@@ -330,7 +329,7 @@ def score_snapshot(s: DataFrame, *, mode: str = "prob", entry: EntryConfig = Ent
     The gates before scoring read a few columns of the snapshot, so they filter first: a row they refuse is never scored
     (its scored columns are null), and a caller that counts reasons reads only the gates' columns for it."""
     from ..functions.gates import high_win_reason, snapshot_gate_reason
-    d = settle(direction(s).withColumn("_pre", snapshot_gate_reason()))
+    d = direction(s).withColumn("_pre", settled(snapshot_gate_reason()))
     refused = d.where(F.col("_pre") != "ok").withColumnRenamed("_pre", "reason")
     d = copy_adjust(choose_side(llr_posterior(score_sheet(d.where(F.col("_pre") == "ok").drop("_pre"))), mode=mode))
     d = entry_and_size(d.withColumn("_win", high_win_reason() if mode == "prob" else F.lit("ok")), entry)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from marketlens.functions.base import round_to
 from marketlens.operators.asof import Source, asof_many
 from marketlens.plans import scoring as S
+from marketlens.session import tune
 
 from . import views as V
 from .util import LINE_COLS, LINE_ID, Registry, cdf_sql, rnd
@@ -64,7 +65,7 @@ _SNAP = "snap AS (SELECT " + LINE_ID + ", " + ", ".join(f'{t} AS "{n}"' for n, t
 
 
 def snapshot(s, d):
-    x = V.table(s, d, "lineitem")
+    x = V.table(tune(s), d, "lineitem")
     return x.select(*LINE_COLS, *[F.expr(t).alias(n) for n, t in SNAPSHOT.items()])
 
 
@@ -351,7 +352,7 @@ _MARKET = {
 def decisions(s, d):
     """Line items with the market as of their decision time: one union and one order for all five sources."""
     feed = F.element_at(F.array(*[F.lit(x) for x in _FEEDS]), (F.col("l_suppkey") % len(_FEEDS) + 1).cast("int"))
-    left = V.table(s, d, "lineitem").withColumns({"feed": feed, "at": F.timestamp_seconds(F.expr(_DECISION_S))})
+    left = V.table(tune(s), d, "lineitem").withColumns({"feed": feed, "at": F.timestamp_seconds(F.expr(_DECISION_S))})
     q = V.table(s, d, "events").select(F.col("event_type").alias("feed"), F.col("ts").cast("timestamp").alias("ts"), F.expr(_MID).alias("mid"), "user_id")
     bars = V.bars(s, d).withColumnRenamed("asset", "feed").withColumns({"closed": F.col("ts") + F.expr("INTERVAL 1 HOUR"), "o": (F.col("o") - 100) / 250 + 100, "c": (F.col("c") - 100) / 250 + 100})
     x = asof_many(left, [
