@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -422,15 +423,55 @@ def variant_weights(scores: DataFrame, *, by: Sequence[str] = (), min_samples: i
 
 
 def variant_switch(rows: DataFrame, keys: Sequence[str], order: Sequence[str], *, best: str = "best", hold_s: float = 300, start: str | None = None,
-                   ts: str = "ts") -> DataFrame:
+                   ts: str = "ts", block: int = 1_000_000) -> DataFrame:
     """Adds ``active``: the variant in use after each row, where ``best`` takes over at most once per ``hold_s`` seconds.
 
-    ``start`` is in use before the first row (None: the first best). ``order`` begins with ``ts``. When a switch may happen depends on
-    the switch before; but where a switch at any row would be followed by the next one depends on that row alone: on the
-    first later row at least ``hold_s`` on whose best differs. So every row gets that successor by an as-of join, and the
+    ``start`` is in use before the first row (None: the first best). ``order`` begins with ``ts``. A run of at most ``block`` rows is
+    read in order by one task, which keeps the variant and its switch time; its rows move once. Longer runs are spread over all
+    tasks (``_long_switch``). Rows without a time come first and never switch; a null best changes nothing.
+    """
+    d = with_part(rows, keys, "_key")
+    long_runs = written(d.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block).select("_key"))
+    if long_runs.isEmpty():
+        return _short_switch(d, order, best, hold_s, start, ts)
+    few = F.broadcast(long_runs)  # at most rows / block
+    short = _short_switch(d.join(few, "_key", "left_anti"), order, best, hold_s, start, ts)
+    return short.unionByName(_long_switch(d.join(few, "_key", "left_semi").drop("_key"), keys, order, best, hold_s, start, ts))
+
+
+def _short_switch(d: DataFrame, order: Sequence[str], best: str, hold_s: float, start: str | None, ts: str) -> DataFrame:
+    """``variant_switch`` run by run: sorted partitions stream through Arrow batches, and the variant in use is the only state."""
+    run = Window.partitionBy("_key")
+    whole = run.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = F.lit(start) if start is not None else F.first(F.col(best).cast("string"), True).over(whole)
+    d = d.withColumns({"_new": F.row_number().over(run.orderBy(*order)) == 1, "_v": first.cast("string"),
+                       "_b": F.col(best).cast("string"), "_at": F.unix_micros(F.col(ts).cast("timestamp"))}).drop("_key")
+    hold, helpers = int(hold_s * 1_000_000), ("_new", "_v", "_b", "_at")
+    schema = T.StructType([*[f for f in d.schema.fields if f.name not in helpers], T.StructField("active", T.StringType())])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = last = None
+        for batch in batches:
+            active = []
+            for new, v, b, at in zip(*(batch.column(x).to_pylist() for x in helpers)):
+                if new:
+                    now, last = v, None
+                if b is not None and at is not None and now is not None and b != now and (last is None or at - last >= hold):
+                    now, last = b, at
+                active.append(now)
+            kept = [n for n in batch.schema.names if n not in helpers]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in kept], pa.array(active, pa.string())], names=[*kept, "active"])
+
+    return d.mapInArrow(scan, schema)
+
+
+def _long_switch(rows: DataFrame, keys: Sequence[str], order: Sequence[str], best: str, hold_s: float, start: str | None, ts: str) -> DataFrame:
+    """``variant_switch`` of runs too long for one task.
+
+    When a switch may happen depends on the switch before; but where a switch at any row would be followed by the next one
+    depends on that row alone: on the first later row at least ``hold_s`` on whose best differs. So every row gets that successor by an as-of join, and the
     switches that do happen are those reached from a run's first one, found by doubling the successors: twice as many per
     round. A run is spread over chunks of equal row counts throughout, whatever its length.
-    Rows without a time come first and never switch; a null best changes nothing.
     """
     names, at = rows.columns, ["_key", "_i"]
     d = balanced_chunks(with_part(rows, keys, "_key"), ["_key"], order)

@@ -99,6 +99,19 @@ def test_variant_switch_equals_loop(spark):
     assert R.variant_switch(d.where("false"), ["run"], ["ts"]).count() == 0
 
 
+def test_variant_switch_short_and_long_runs_agree(spark):
+    """Runs read by one task (one shuffle, nothing written but the list of long runs) and runs that are spread out give the same rows."""
+    import random
+    rng = random.Random(6)
+    rows = [(rng.choice(["r0", "r0", "r0", "r1", None]), i, None if i % 50 == 7 else i * 40 + rng.randrange(40), rng.choice(["a", "b", "c", None])) for i in range(300)]
+    d = spark.createDataFrame(rows, "run string, i long, s long, best string").withColumn("ts", F.timestamp_seconds("s"))
+    for start in ("a", None):
+        mixed, short, long = (sorted(map(str, R.variant_switch(d, ["run"], ["ts", "i"], hold_s=300, start=start, block=n).collect())) for n in (100, 1000, 0))
+        assert short == long == mixed and len(short) == 300
+    plan = R.variant_switch(d, ["run"], ["ts", "i"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1, plan
+
+
 def test_platt_recovers_slope(spark):
     import math
     import random
