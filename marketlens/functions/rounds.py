@@ -27,27 +27,41 @@ def is_exact_round(start_s: ColumnOrName, end_s: ColumnOrName, minutes: ColumnOr
     return F.coalesce(good, F.lit(False))
 
 
-def bounds_from_title(title: ColumnOrName, year: int | ColumnOrName) -> tuple[Column, Column]:
-    """(start, end) epoch seconds from an Eastern-time title; nulls when unreadable.
+def _once(value: Column, use) -> Column:
+    """``use(value)``, with ``value`` evaluated once however often ``use`` names it: a column named twice is computed twice."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    Titles carry no year, so it is a parameter. A first time without AM/PM takes the second
-    one's; an end at or before the start is moved to the next day.
-    """
-    g = [F.regexp_extract(c(title), TITLE_PATTERN, i) for i in range(1, 7)]
-    month, day, t1, ap1, t2, ap2 = g
-    ap1 = F.when(ap1 == "", ap2).otherwise(ap1)
+
+def _title_bounds(title: ColumnOrName, year: int | ColumnOrName) -> Column:
+    """Struct (st, en) of a title's bounds, both null when unreadable; the title is matched once."""
     y = F.lit(year) if isinstance(year, int) else c(year)
+    found = F.regexp_extract(c(title), TITLE_PATTERN, 0)
+    groups = F.split(F.regexp_replace(found, TITLE_PATTERN, "$1,$2,$3,$4,$5,$6"), ",")
 
-    def instant(t: Column, ap: Column) -> Column:
-        text = F.concat_ws(" ", y.cast("string"), F.initcap(month), day, F.concat(t, ap))
+    def instant(g: Column, t: int, ap: Column) -> Column:
+        text = F.concat_ws(" ", y.cast("string"), F.initcap(F.get(g, F.lit(0))), F.get(g, F.lit(1)), F.concat(F.get(g, F.lit(t)), ap))
         local = F.try_to_timestamp(text, F.lit("yyyy MMMM d h:mma"))
         return F.unix_micros(F.to_utc_timestamp(local, TITLE_ZONE)) / 1e6
 
-    ok = F.regexp_like(c(title), F.lit(TITLE_PATTERN))
-    st = F.when(ok, instant(t1, ap1))
-    en = F.when(ok, instant(t2, ap2))
-    both = st.isNotNull() & en.isNotNull()
-    return F.when(both, st), F.when(both, F.when(en <= st, st + 86400.0).otherwise(en))
+    def read(g: Column) -> Column:
+        ok, ap1, ap2 = F.size(g) == 6, F.get(g, F.lit(3)), F.get(g, F.lit(5))
+        return F.struct(F.when(ok, instant(g, 2, F.when(ap1 == "", ap2).otherwise(ap1))).alias("st"), F.when(ok, instant(g, 4, ap2)).alias("en"))
+
+    def ordered(x: Column) -> Column:
+        both = x["st"].isNotNull() & x["en"].isNotNull()
+        return F.struct(F.when(both, x["st"]).alias("st"), F.when(both, F.when(x["en"] <= x["st"], x["st"] + 86400.0).otherwise(x["en"])).alias("en"))
+
+    return _once(_once(groups, read), ordered)
+
+
+def bounds_from_title(title: ColumnOrName, year: int | ColumnOrName) -> tuple[Column, Column]:
+    """(start, end) epoch seconds from an Eastern-time title; nulls when unreadable.
+
+    Titles carry no year, so it is a parameter. A first time without AM/PM takes the second
+    one's; an end at or before the start is moved to the next day.
+    """
+    b = _title_bounds(title, year)
+    return b["st"], b["en"]
 
 
 def window_from_title(title: ColumnOrName, minutes: ColumnOrName, start_s: ColumnOrName,
@@ -57,11 +71,14 @@ def window_from_title(title: ColumnOrName, minutes: ColumnOrName, start_s: Colum
 
     With ``expired_before_s`` only titles that ended by then replace the stored window.
     """
-    qs, qe = bounds_from_title(title, year)
-    use = is_exact_round(qs, qe, minutes)
-    if expired_before_s is not None:
-        use = use & (qe <= c(expired_before_s))
-    return F.when(use, qs).otherwise(c(start_s)), F.when(use, qe).otherwise(c(end_s))
+    def judged(b: Column) -> Column:
+        use = is_exact_round(b["st"], b["en"], minutes)
+        if expired_before_s is not None:
+            use = use & (b["en"] <= c(expired_before_s))
+        return F.when(use, b)
+
+    b = _once(_title_bounds(title, year), judged)
+    return F.when(b.isNotNull(), b["st"]).otherwise(c(start_s)), F.when(b.isNotNull(), b["en"]).otherwise(c(end_s))
 
 
 def _window_key(asset: Column, dur: Column, st: Column, en: Column) -> Column:
@@ -74,12 +91,16 @@ def _exact_window(minutes: Column, start_s: Column, end_s: Column, title: Column
     exact = is_exact_round(start_s, end_s, minutes)
     if title is None or year is None:
         return minutes, start_s, end_s, exact
-    qs, qe = bounds_from_title(title, year)
-    q_dur = F.round((qe - qs) / 60.0).cast("bigint")
-    dur = F.when(~exact & (minutes <= 0) & q_dur.isin(5, 15), q_dur).otherwise(minutes)
-    by_title = ~exact & is_exact_round(qs, qe, dur)
-    return (dur, F.when(by_title, qs).otherwise(start_s), F.when(by_title, qe).otherwise(end_s),
-            exact | by_title)
+
+    def judged(b: Column) -> Column:
+        q_dur = F.round((b["en"] - b["st"]) / 60.0).cast("bigint")
+        dur = F.when(~exact & (minutes <= 0) & q_dur.isin(5, 15), q_dur).otherwise(minutes)
+        by_title = ~exact & is_exact_round(b["st"], b["en"], dur)
+        return F.struct(dur.alias("dur"), F.when(by_title, b["st"]).otherwise(start_s).alias("st"),
+                        F.when(by_title, b["en"]).otherwise(end_s).alias("en"), (exact | by_title).alias("exact"))
+
+    w = _once(_title_bounds(title, year), judged)
+    return w["dur"], w["st"], w["en"], w["exact"]
 
 
 def round_key(asset: ColumnOrName, minutes: ColumnOrName, start_s: ColumnOrName, end_s: ColumnOrName,

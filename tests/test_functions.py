@@ -98,6 +98,15 @@ def test_title_window_and_key(spark):
     assert r["k"] == "BTC-15m-20260221T133000Z-20260221T134500Z" and r["n"] == "BTC-15m-cid0xabcdef0123456789"
 
 
+def test_title_is_matched_once_per_window(spark):
+    d = spark.createDataFrame([("Bitcoin - February 21, 8:30-8:45AM ET",), ("February 30, 8:30AM-8:45AM ET",), ("none",), (None,)], "t string")
+    st, en = R.window_from_title("t", F.lit(15), F.lit(1.0), F.lit(2.0), 2026)
+    got = d.select(st.alias("st"), en.alias("en"))
+    assert [tuple(r) for r in got.collect()] == [(1771680600.0, 1771681500.0), (1.0, 2.0), (1.0, 2.0), (1.0, 2.0)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("gettimestamp") <= 12, plan.count("gettimestamp")  # two per use of the window, not per use of a bound in it
+
+
 def test_families_and_quotes(spark):
     a, m = N.classify_family(F.lit("eth-up-or-down-5m"), F.lit(""))
     b, k = N.classify_family(F.lit(None).cast("string"), F.lit("Solana Up or Down 15m"))
