@@ -8,7 +8,7 @@ inside a chunk the average is a weighted window sum.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -41,18 +41,34 @@ def time_ema(ticks: DataFrame, tau_s: float, *, keys: Sequence[str] = ("asset",)
     return d.withColumn(name, total * F.exp(-F.col("_u"))).where(OWN).drop("_t", "_u", "_av", CHUNK, OWN)
 
 
+def row_emas(rows: DataFrame, emas: Mapping[str, tuple[float, ColumnOrName, float | None]], *, keys: Sequence[str], order: Sequence[str],
+             ts: str = "ts", width_s: float | None = None) -> DataFrame:
+    """Any number of averages, name -> (alpha, value, seed), over one order: rows are indexed once and move once for all of them.
+
+    Each is x = (1 - alpha) * x + alpha * value per row, from its seed or (None) from the first value.
+    """
+    lams = {n: -math.log1p(-alpha) for n, (alpha, _, _) in emas.items()}
+    halo = max(math.ceil(FORGET / lam) for lam in lams.values())
+    block = min(int(MAX_EXP / lam) - halo for lam in lams.values())
+    if block < halo:
+        raise ValueError("averages of too different length; compute them apart")
+    values = [c(v).cast("double").alias(f"_v_{n}") for n, (_, v, _) in emas.items()]
+    d = row_halo(dense_index(rows.select("*", *values), keys, order, ts=ts, width_s=width_s), halo, block)
+    w = Window.partitionBy(*keys, BLOCK).orderBy(INDEX).rowsBetween(Window.unboundedPreceding, 0)
+
+    def average(n: str, alpha: float, seed: float | None) -> Column:
+        lam, v = lams[n], F.col(f"_v_{n}")
+        u = (F.col(INDEX) - F.col(BLOCK) * block + halo) * lam
+        first = F.lit(float(seed)) if seed is not None else F.first(v).over(w)
+        return F.sum(v * alpha * F.exp(u)).over(w) * F.exp(-u) + first * F.exp(-(F.col(INDEX) + 1) * lam)
+
+    return own_rows(d.withColumns({n: average(n, alpha, seed) for n, (alpha, _, seed) in emas.items()})).drop(*[f"_v_{n}" for n in emas])
+
+
 def row_ema(rows: DataFrame, alpha: float, *, keys: Sequence[str], order: Sequence[str], value: ColumnOrName, seed: float | None = None,
             ts: str = "ts", width_s: float | None = None, name: str = "ema") -> DataFrame:
     """x = (1 - alpha) * x + alpha * value per row, from ``seed`` or from the first value."""
-    lam = -math.log1p(-alpha)
-    halo = math.ceil(FORGET / lam)
-    block = int(MAX_EXP / lam) - halo
-    d = row_halo(dense_index(rows.withColumn("_v", c(value).cast("double")), keys, order, ts=ts, width_s=width_s), halo, block)
-    w = Window.partitionBy(*keys, BLOCK).orderBy(INDEX).rowsBetween(Window.unboundedPreceding, 0)
-    u = (F.col(INDEX) - F.col(BLOCK) * block + halo) * lam
-    first = F.lit(float(seed)) if seed is not None else F.first("_v").over(w)
-    x = F.sum(F.col("_v") * alpha * F.exp(u)).over(w) * F.exp(-u) + first * F.exp(-(F.col(INDEX) + 1) * lam)
-    return own_rows(d.withColumn(name, x)).drop("_v")
+    return row_emas(rows, {name: (alpha, value, seed)}, keys=keys, order=order, ts=ts, width_s=width_s)
 
 
 def latency_ema(rows: DataFrame, *, keys: Sequence[str], order: Sequence[str], value: str = "latency_ms", alpha: float = 0.2,
@@ -69,8 +85,8 @@ def calibration_emas(outcomes: DataFrame, *, keys: Sequence[str], order: Sequenc
     """
     y = F.col(won).cast("double")
     hit = ((F.col(prob) >= 0.5) == F.col(won)).cast("double")
-    a = row_ema(outcomes, 0.04, keys=keys, order=order, value=F.pow(F.col(prob) - y, F.lit(2.0)), seed=0.25, name="cal_err_ema", **kw)
-    return row_ema(a, 0.03, keys=keys, order=order, value=0.60 + 0.80 * hit, seed=1.0, name="reliability", **kw)
+    return row_emas(outcomes, {"cal_err_ema": (0.04, F.pow(F.col(prob) - y, F.lit(2.0)), 0.25), "reliability": (0.03, 0.60 + 0.80 * hit, 1.0)},
+                    keys=keys, order=order, **kw)
 
 
 def nearest_tau(seconds: float, taus: Sequence[float] = TAUS) -> float:

@@ -396,7 +396,7 @@ _CAL_SEQ = f"""seq AS (SELECT asset, l_orderkey, l_linenumber, l_partkey, t, ent
 SELECT asset, n, {rnd("list_reduce(xs, lambda a, x: {{'e': a.e * 0.96 + x.e * 0.04, 'h': a.h * 0.97 + x.h * 0.03}}, {{'e': 0.25::DOUBLE, 'h': 1.0::DOUBLE}}).e".replace('{{', '{').replace('}}', '}'), 8)} AS cal_err_ema,
   {rnd("list_reduce(xs, lambda a, x: {{'e': a.e * 0.96 + x.e * 0.04, 'h': a.h * 0.97 + x.h * 0.03}}, {{'e': 0.25::DOUBLE, 'h': 1.0::DOUBLE}}).h".replace('{{', '{').replace('}}', '}'), 8)} AS reliability FROM lst""")
 def _(s, d):
-    x = S.calibration_emas(V.resolves(s, d), keys=["asset"], order=V.RES_ORDER, prob="entry")
+    x = S.calibration_emas(V.resolves(s, d).select("asset", *V.RES_ORDER, "entry", "won"), keys=["asset"], order=V.RES_ORDER, prob="entry")
     o = F.struct(*V.RES_ORDER)
     return x.groupBy("asset").agg(F.count("*").alias("n"), round_to(F.max_by("cal_err_ema", o), 8).alias("cal_err_ema"),
                                   round_to(F.max_by("reliability", o), 8).alias("reliability"))
@@ -405,7 +405,7 @@ def _(s, d):
 @add("latency_ema", V.with_views("resolves", _CAL_SEQ.replace("entry AS p", "size * 137.0 AS p"), """lst AS (SELECT asset, list(p ORDER BY i) AS xs FROM seq GROUP BY 1)""") + f"""
 SELECT asset, {rnd("list_reduce(xs, lambda a, x: a * 0.8 + x * 0.2)", 6)} AS ema FROM lst""")
 def _(s, d):
-    x = V.resolves(s, d).withColumn("latency_ms", F.col("size") * 137.0)
+    x = V.resolves(s, d).select("asset", *V.RES_ORDER, (F.col("size") * 137.0).alias("latency_ms"))
     e = S.latency_ema(x, keys=["asset"], order=V.RES_ORDER)
     return e.groupBy("asset").agg(round_to(F.max_by("ema", F.struct(*V.RES_ORDER)), 6).alias("ema"))
 
