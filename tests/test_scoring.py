@@ -20,3 +20,18 @@ def test_steps_are_plain_projections(spark):
         plan = late._jdf.queryExecution().optimizedPlan().toString()
         assert len([x for x in plan.split("\n") if "Filter" in x][0]) < 200, cond  # not the steps before, copied
         assert {r.l_orderkey for r in late.select("l_orderkey").collect()} == {r.l_orderkey for r in rows if keep(r)}
+
+
+def test_score_sheet_query_scores_every_row_in_compiled_projections(spark, tmp_path):
+    """Nothing is packed and unpacked, the loop limit is applied by the query itself, and null or repeated keys keep their rows."""
+    rows = [(k, k * 7 % 90, k * 3 % 40, k % 7 + 1, float(k % 50)) for k in range(300)] + [(5, 35, 15, 6, 5.0)] * 3 + [(None, 35, 15, 6, 5.0), (5, None, None, 6, None)]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double")
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    sheet = Q.REGISTERED["score_sheet"][0](spark, str(tmp_path))
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000  # the JVM compiles no longer method
+    assert "Generate" not in sheet._jdf.queryExecution().optimizedPlan().toString()
+    out = sheet.collect()
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    assert sorted((tuple(r[c] for c in Q.LINE_COLS) for r in out), key=key) == sorted(((o, n, p, s) for o, p, s, n, _ in rows), key=key)
+    assert all(r["score"] == sum(r[f"pts_{k}"] for k in S.SHEET) for r in out)
